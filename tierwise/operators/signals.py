@@ -1,0 +1,11 @@
+"""Tier 3: trajectories of a metric. Placeholder for the as-of helper."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def latest(df: DataFrame, time: str = "year_month") -> Column:
+    """The last time value of the table, as a scalar subquery that the scan can push down."""
+    return df.agg(F.max(time)).scalar()
