@@ -119,13 +119,13 @@ class SignalSpec:
 
 
 # Our default signal templates. The share and growth pairs carry the documented roles; the
-# forecast-gap pair gives the combination sweep a third signal per grain.
+# sales-growth pair gives the combination sweep a third signal per grain.
 SIGNALS = {
     s.id: s
     for s in (
         SignalSpec("mshare_deviation_mat", "mshare_deviation"),
         SignalSpec("growth_deviation_mat", "growth_deviation", strength_kind="growth"),
-        SignalSpec("growth_vs_fcst_mat", "growth_vs_fcst_eur", strength_kind="growth"),
+        SignalSpec("growth_py_sales_mat", "growth_py_sales", strength_kind="growth"),
         SignalSpec(
             "territory_mshare_deviation_mat",
             "mshare_deviation",
@@ -139,8 +139,8 @@ SIGNALS = {
             grain=TERRITORY,
         ),
         SignalSpec(
-            "territory_growth_vs_fcst_mat",
-            "growth_vs_fcst_eur",
+            "territory_growth_py_sales_mat",
+            "growth_py_sales",
             strength_kind="territory_growth",
             grain=TERRITORY,
         ),
