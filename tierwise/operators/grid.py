@@ -41,9 +41,9 @@ def brand_forecast(forecast: DataFrame, skus: DataFrame, brands: DataFrame) -> D
     )
 
 
-def own_brands(sales: DataFrame) -> DataFrame:
-    """(brand, franchise) pairs seen in own sales."""
-    return sales.filter(F.col("is_own_brand") == 1).select("brand_name", "franchise").distinct()
+def brand_pairs(sales: DataFrame, own: bool = True) -> DataFrame:
+    """(brand, franchise) pairs seen in own sales, or in those of the competitors."""
+    return sales.filter(F.col("is_own_brand") == int(own)).select("brand_name", "franchise").distinct()
 
 
 def _pair(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -58,15 +58,15 @@ def _pair(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.withColumn("_b", F.explode(buckets)).join(spread, "_b").drop("_b")
 
 
-def dense_grid(sales: DataFrame, regions: DataFrame) -> DataFrame:
-    """Months with own sales x own brands x regions.
+def dense_grid(sales: DataFrame, regions: DataFrame, own: bool = True) -> DataFrame:
+    """Months with own sales x own brands (or the competitors') x regions.
 
     The month list comes as one scalar subquery; it holds calendar months, so its size is bounded
     by the years covered and not by the rows.
     """
-    own = sales.filter(F.col("is_own_brand") == 1)
-    months = own.agg(F.array_sort(F.collect_set("year_month")))
-    pairs = _pair(regions, own_brands(sales))
+    sold = sales.filter(F.col("is_own_brand") == 1)
+    months = sold.agg(F.array_sort(F.collect_set("year_month")))
+    pairs = _pair(regions, brand_pairs(sales, own))
     return pairs.select(
         F.explode(months.scalar()).alias("year_month"),
         "brand_name",
@@ -77,8 +77,8 @@ def dense_grid(sales: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def dense_sales(sales: DataFrame, regions: DataFrame) -> DataFrame:
-    """The grid with own sales and market totals, zero where nothing was sold.
+def dense_sales(sales: DataFrame, regions: DataFrame, own: bool = True) -> DataFrame:
+    """The grid with each brand's sales and its market totals, zero where nothing was sold.
 
     Grid rows (as zeros) and fact rows are stacked and summed, which replaces two left joins by one
     shuffle. It is by (franchise, region): the cell sums, the market totals over the franchise and
@@ -88,7 +88,7 @@ def dense_sales(sales: DataFrame, regions: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     nothing = F.lit(0).cast(MONEY)
     key = ["franchise", "region_name", "year_month", "brand_name"]
-    grid = dense_grid(sales, regions).select(
+    grid = dense_grid(sales, regions, own).select(
         *key,
         "territory_id",
         "territory_name",
