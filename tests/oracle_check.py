@@ -82,7 +82,8 @@ def session(app: str = "tierwise-check"):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.codegen.cache.maxEntries", "3000")
+        .config("spark.sql.codegen.cache.maxEntries", "5000")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -13,25 +13,29 @@ from tierwise.specs import RANKED, Grain
 PEERS = ("brand_name", "year_month", "period_type")
 
 
-def growth(rows: DataFrame) -> DataFrame:
-    """Growth against prior year and prior period, for sales and units."""
+def growth_columns() -> dict[str, Column]:
     out = {}
     for shift in ("py", "pp"):
         for name, col in (("sales", "own_s"), ("units", "own_u")):
             out[f"growth_{shift}_{name}"] = rnd(pct_growth(F.col(col), F.col(f"{col}_{shift}")), 2)
-    return rows.withColumns(out)
+    return out
+
+
+def growth(rows: DataFrame) -> DataFrame:
+    """Growth against prior year and prior period, for sales and units."""
+    return rows.withColumns(growth_columns())
 
 
-def _deviation(share: Column, reference: Column) -> Column:
-    return rnd(share - reference, 2)
+def share_columns() -> dict[str, Column]:
+    return {"market_share": rnd(pct_of(F.col("own_s"), F.col("tot_s")), 2)}
 
 
 def share(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("market_share", rnd(pct_of(F.col("own_s"), F.col("tot_s")), 2))
+    return rows.withColumns(share_columns())
 
 
-def share_deviation(rows: DataFrame) -> DataFrame:
-    """Share minus the volume-weighted national share, and its change to prior year and period.
+def share_deviation_columns() -> dict[str, Column]:
+    """Deviations now, a year and a period before.
 
     The national reference is a window sum over the peers, and the earlier deviations are derived
     from the shifted sums of the same rows, so no join-back and no further shuffle is needed.
@@ -41,40 +45,49 @@ def share_deviation(rows: DataFrame) -> DataFrame:
     def deviation(suffix: str) -> Column:
         own, tot = f"own_s{suffix}", f"tot_s{suffix}"
         national = pct_of(F.sum(own).over(peers), F.sum(tot).over(peers))
-        return _deviation(rnd(pct_of(F.col(own), F.col(tot)), 2), national)
-
-    now = rows.withColumns(
-        {
-            "mshare_deviation": deviation(""),
-            "_dev_py": deviation("_py"),
-            "_dev_pp": deviation("_pp"),
-        }
-    )
-    return now.withColumns(
-        {
-            "growth_py_mshare_dev": rnd(F.col("mshare_deviation") - F.col("_dev_py"), 2),
-            "growth_pp_mshare_dev": rnd(F.col("mshare_deviation") - F.col("_dev_pp"), 2),
-        }
-    ).drop("_dev_py", "_dev_pp")
+        return rnd(rnd(pct_of(F.col(own), F.col(tot)), 2) - national, 2)
 
+    return {"mshare_deviation": deviation(""), "_dev_py": deviation("_py"), "_dev_pp": deviation("_pp")}
 
-def growth_deviation(rows: DataFrame) -> DataFrame:
-    """Prior-year sales growth minus the volume-weighted national growth."""
+
+def deviation_change_columns() -> dict[str, Column]:
+    return {
+        f"growth_{s}_mshare_dev": rnd(F.col("mshare_deviation") - F.col(f"_dev_{s}"), 2) for s in ("py", "pp")
+    }
+
+
+def share_deviation(rows: DataFrame) -> DataFrame:
+    """Share minus the volume-weighted national share, and its change to prior year and period."""
+    return rows.withColumns(share_deviation_columns()).withColumns(deviation_change_columns())
+
+
+def growth_deviation_columns() -> dict[str, Column]:
     peers = W.partitionBy(*PEERS)
     cur = F.sum("own_s").over(peers).cast("double")
     prev = F.sum("own_s_py").over(peers).cast("double")
     national = F.when(prev > 0, (cur - prev) / F.nullif(prev, F.lit(0.0)) * 100.0)
-    return rows.withColumn("growth_deviation", rnd(F.col("growth_py_sales") - national, 2))
+    return {"growth_deviation": rnd(F.col("growth_py_sales") - national, 2)}
+
+
+def growth_deviation(rows: DataFrame) -> DataFrame:
+    """Prior-year sales growth minus the volume-weighted national growth."""
+    return rows.withColumns(growth_deviation_columns())
+
+
+def growth_vs_forecast_columns() -> dict[str, Column]:
+    return {
+        "growth_vs_fcst_eur": rnd(F.col("growth_py_sales") - F.col("fcst_growth_py"), 2),
+        "growth_vs_fcst_units": rnd(F.col("growth_py_units") - F.col("fcst_growth_py_u"), 2),
+    }
+
+
+def join_forecast(rows: DataFrame, fcst_growth: DataFrame) -> DataFrame:
+    return rows.join(fcst_growth, ["brand_name", "year_month", "period_type"], "left")
 
 
 def growth_vs_forecast(rows: DataFrame, fcst_growth: DataFrame) -> DataFrame:
     """Growth minus the forecast's own growth, in points; NULL where no forecast exists."""
-    return rows.join(fcst_growth, ["brand_name", "year_month", "period_type"], "left").withColumns(
-        {
-            "growth_vs_fcst_eur": rnd(F.col("growth_py_sales") - F.col("fcst_growth_py"), 2),
-            "growth_vs_fcst_units": rnd(F.col("growth_py_units") - F.col("fcst_growth_py_u"), 2),
-        }
-    )
+    return join_forecast(rows, fcst_growth).withColumns(growth_vs_forecast_columns())
 
 
 def percentile_rank(value: str) -> Column:
@@ -89,13 +102,11 @@ def percentile_rank(value: str) -> Column:
     ).cast("int")
 
 
-def ranks(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({name: percentile_rank(value) for name, value in RANKED.items()})
+def rank_columns() -> dict[str, Column]:
+    return {name: percentile_rank(value) for name, value in RANKED.items()}
 
 
-def rank_trend(rows: DataFrame, grain: Grain) -> DataFrame:
+def rank_trend_column(grain: Grain) -> Column:
     """Change of the sales rank over three rows of the series."""
     series = W.partitionBy(*grain.series_keys, "period_type").orderBy("year_month")
-    return rows.withColumn(
-        "rank_trend_3m", F.col("rank_sales_eur") - F.lag("rank_sales_eur", 3).over(series)
-    )
+    return (F.col("rank_sales_eur") - F.lag("rank_sales_eur", 3).over(series)).alias("rank_trend_3m")

@@ -12,7 +12,7 @@ from tierwise.operators.grid import dense_sales, roll_up
 from tierwise.operators.periods import forecast_growth, period_rows
 from tierwise.sources import orderlines
 from tierwise.sources.store import Store
-from tierwise.specs import GRAINS, MEASURES, PERIODS, RANKED, REGION, Grain
+from tierwise.specs import GRAINS, MEASURES, PERIODS, REGION, Grain
 
 SUMS = ("own_u", "own_s", "tot_u", "tot_s")
 
@@ -34,20 +34,18 @@ def build_metrics(
     Shuffles: one by series (period windows), one by brand month (national reference and all nine
     ranks), one by series for the rank trend.
     """
-    rows = (
-        grain_rows(monthly, grain, periods)
-        .transform(c.share)
-        .transform(c.growth)
-        .transform(c.growth_vs_forecast, forecast_growth(brand_forecast, periods))
-        .transform(c.growth_deviation)
-        .transform(c.share_deviation)
+    rows = c.join_forecast(grain_rows(monthly, grain, periods), forecast_growth(brand_forecast, periods))
+    compared = (
+        rows.withColumns({**c.share_columns(), **c.growth_columns()})
+        .withColumns(
+            {**c.growth_vs_forecast_columns(), **c.growth_deviation_columns(), **c.share_deviation_columns()}
+        )
+        .withColumns(c.deviation_change_columns())
         .withColumnsRenamed({"own_u": "units", "own_s": "sales_eur"})
-        .transform(c.ranks)
-        .transform(c.rank_trend, grain)
-    )
-    return rows.select(
-        "year_month", "period_type", *grain.id_columns, *MEASURES, *RANKED, "rank_trend_3m"
     )
+    ids = ["year_month", "period_type", *grain.id_columns, *MEASURES]
+    ranked = compared.select(*ids, *[col.alias(name) for name, col in c.rank_columns().items()])
+    return ranked.select("*", c.rank_trend_column(grain))
 
 
 class Pipeline:
