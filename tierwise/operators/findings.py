@@ -14,6 +14,7 @@ from tierwise.operators.signals import (
     _asof,
     complete,
     filtered,
+    last_readings,
     oldest_first,
     recent,
     with_lags,
@@ -47,15 +48,11 @@ def _readings(table: DataFrame, axes: Sequence[Axis], asof: str | None) -> DataF
     require_columns(table, [a.signal.metric for a in axes], "metric")
     rows = filtered(table, first.filters)
     at = _asof(rows, asof, first.time)
-    series = W.partitionBy(*first.segment_by, first.entity).orderBy(first.time)
-    lags = {
-        f"{a.name}_{k}": F.lag(a.signal.metric, k).over(series).cast("double")
-        if k
-        else F.col(a.signal.metric).cast("double")
-        for a in axes
-        for k in range(a.signal.oldest + 1)
-    }
-    now = rows.filter(F.col(first.time) <= at).withColumns(lags).filter(F.col(first.time) == at)
+    wanted = {f"{a.name}_": (a.signal.metric, a.signal.oldest) for a in axes}
+    upto = rows.filter(F.col(first.time) <= at)
+    now = last_readings(upto, [*first.segment_by, first.entity], first.time, wanted).filter(
+        F.col(first.time) == at
+    )
     for a in axes:
         now = now.filter(complete(f"{a.name}_", range(a.signal.oldest + 1)))
     out: list[Column] = []

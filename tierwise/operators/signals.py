@@ -111,6 +111,26 @@ def latest_by_segment(table: DataFrame, signal: GenericSignal) -> DataFrame:
     return rows.groupBy(*signal.segment_by).agg(F.max(signal.time).alias("asof"))
 
 
+def last_readings(
+    rows: DataFrame, keys: Sequence[str], time: str, columns: Mapping[str, tuple[str, int]]
+) -> DataFrame:
+    """The last row of every series with its lags, ``<prefix>0 .. <prefix><oldest>`` per column.
+
+    ``columns`` maps a prefix to (column, oldest lag). Only the last rows of a series matter, and a
+    row-number limit is applied on the map side, so a series that holds a large part of the table
+    sends a handful of rows per task through the shuffle.
+    """
+    newest = W.partitionBy(*keys).orderBy(F.desc(time))
+    back = max(n for _, n in columns.values())
+    kept = rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= back + 1)
+    lags = {
+        f"{prefix}{k}": (F.lead(column, k).over(newest) if k else F.col(column)).cast("double")
+        for prefix, (column, oldest) in columns.items()
+        for k in range(oldest + 1)
+    }
+    return kept.withColumns(lags).filter(F.col("_n") == 1).drop("_n")
+
+
 def generic_signal(
     table: DataFrame,
     signal: GenericSignal,
@@ -127,10 +147,8 @@ def generic_signal(
     seg = list(signal.segment_by)
     if asof is not None:
         rows = rows.filter(F.col(signal.time) <= asof)
-    series = W.partitionBy(*seg, signal.entity).orderBy(signal.time)
     n = signal.oldest
-    lags = {f"v{k}": F.lag(signal.metric, k).over(series).cast("double") for k in range(1, n + 1)}
-    lagged = rows.withColumns({"v0": F.col(signal.metric).cast("double"), **lags})
+    lagged = last_readings(rows, [*seg, signal.entity], signal.time, {"v": (signal.metric, n)})
     if asof is not None:
         lagged = lagged.filter(F.col(signal.time) == asof)
     elif seg:

@@ -245,8 +245,8 @@ FROM fd WHERE whole AND year_month IN {last_two} GROUP BY ALL""",
         + """SELECT year_month, brand_name, region_name, finding_key AS finding, severity_band, severity_score, ms_now,
   growth_now, mat_rank, months_red, escalate::INTEGER AS escalate, improved::INTEGER AS improved
 FROM fd WHERE whole AND region_name = (SELECT min(n_name) FROM nation)""",
-        "plan_attainment": attainment(""),
-        "plan_attainment_covered": attainment(
+        "plan_attainment_latest": attainment(""),
+        "plan_attainment": attainment(
             "WHERE year_month <= (SELECT max(year_month) FROM brand_forecast)"
         ),
         "national_summary": nat

@@ -244,6 +244,14 @@ def _territory_rows(pipe: Pipeline) -> DataFrame:
     return pipe.compute("territory").select("year_month", "period_type", "brand_name", "sales_eur")
 
 
+def _covered_attainment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan attainment up to the last month that has a forecast for some brand."""
+    pipe = Pipeline(spark, sf_dir)
+    last = pipe.brand_forecast().agg(F.max("year_month")).scalar()
+    rows = _territory_rows(pipe).filter(F.col("year_month") <= last)
+    return readout.plan_attainment(rows, pipe.brand_forecast())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     keys = ("brand_name", "entity", "territory_name", "finding_key", "finding_label")
     sev = ("severity_score", "severity_band", "mat_rank")
@@ -280,10 +288,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "catalog_upsert": _catalog_upsert,
         "catalog_stats": lambda s, d: _full_catalog(s, d).stats(),
         "finding_history": _history,
-        "plan_attainment": lambda s, d: readout.plan_attainment(
-            _territory_rows(Pipeline(s, d)), Pipeline(s, d).brand_forecast(), None
+        "plan_attainment": _covered_attainment,
+        "plan_attainment_latest": lambda s, d: readout.plan_attainment(
+            _territory_rows(Pipeline(s, d)), Pipeline(s, d).brand_forecast()
         ),
-        "plan_attainment_covered": _covered_attainment,
         "national_summary": lambda s, d: readout.national_summary(Pipeline(s, d).metrics("national")),
         "territory_readout": lambda s, d: readout.territory_readout(
             Pipeline(s, d).metrics("territory"), Pipeline(s, d).regions()
@@ -298,11 +306,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "framing_id", "brand_name", "entity", "severity_band", "mat_rank", "surfaces"
         ),
     }
-
-
-def _covered_attainment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plan attainment up to the last month that has a forecast for some brand."""
-    pipe = Pipeline(spark, sf_dir)
-    last = pipe.brand_forecast().agg(F.max("year_month")).scalar()
-    rows = _territory_rows(pipe).filter(F.col("year_month") <= last)
-    return readout.plan_attainment(rows, pipe.brand_forecast())

@@ -81,4 +81,5 @@ class Pipeline:
         return self.store.table(
             f"{grain}_metrics/period_type={period}",
             lambda: self.compute(grain, [period]).drop("period_type"),
+            sort="year_month",
         ).withColumn("period_type", F.lit(period))

@@ -44,11 +44,15 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The written table, building it on first use in this application."""
+    def table(self, name: str, build: Callable[[], DataFrame], sort: str | None = None) -> DataFrame:
+        """The written table, building it on first use in this application.
+
+        Files sorted by month let readers of a few months skip row groups by their statistics.
+        """
         done = Store._written.setdefault(self.base, set())
         if name not in done:
-            build().write.mode("overwrite").parquet(self.path(name))
+            df = build() if sort is None else build().sortWithinPartitions(sort)
+            df.write.mode("overwrite").parquet(self.path(name))
             done.add(name)
         return self.spark.read.parquet(self.path(name))
 
