@@ -218,3 +218,36 @@ def test_store_writes_once(spark):
     store.forget()
     store.table("t", build)
     assert len(calls) == 2
+
+
+def test_kept_store_is_taken_over(spark, tmp_path):
+    folder = f"file://{tmp_path}/kept"
+    Store(spark, "src", folder).table("t", lambda: spark.range(3))
+    Store._written.pop(folder)  # as in a later application
+    later = Store(spark, "src", folder)
+    assert later.table("t", lambda: spark.range(9)).count() == 3
+    later.forget()
+    assert later.table("t", lambda: spark.range(9)).count() == 9
+    assert later.table("t", lambda: spark.range(1)).count() == 9
+
+
+def test_stream_feeds_the_catalog_once(spark, tmp_path):
+    from tierwise.streaming.catalog_feed import feed_catalog
+
+    m = metrics(spark, [-1.0, -2.0, -3.0, -4.0, -5.0], [-1.0, -2.0, -3.0, -4.0, -5.0])
+    folder = f"file://{tmp_path}"
+    m.write.parquet(f"{folder}/metrics")
+    catalog = Catalog(spark, f"{folder}/catalog")
+
+    def run(checkpoint):
+        arrivals = spark.readStream.schema(METRICS).parquet(f"{folder}/arrived")
+        feed_catalog(
+            arrivals, lambda: spark.read.parquet(f"{folder}/metrics"), catalog, f"{folder}/{checkpoint}"
+        ).awaitTermination()
+        return sorted(r.year_month for r in catalog.read().collect())
+
+    m.filter("year_month = '2020-04'").write.mode("append").parquet(f"{folder}/arrived")
+    assert run("c1") == ["2020-04"]
+    m.filter("year_month = '2020-05'").write.mode("append").parquet(f"{folder}/arrived")
+    assert run("c1") == ["2020-04", "2020-05"]
+    assert run("c2") == ["2020-04", "2020-05"]  # everything replayed under a new checkpoint

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwise.operators.findings import snapshot
+from tierwise.sources.files import for_partitions, path_exists
 from tierwise.specs import SHARE_GROWTH_ID
 
 KEY = ["finding_def_id", "brand_name", "region_name", "year_month"]
@@ -59,13 +60,19 @@ class Catalog:
         return f"{self.path}/rows"
 
     def _stage(self, rows: DataFrame) -> DataFrame:
+        """Rows written to a folder of their own."""
         at = f"{self.path}/staged/{uuid.uuid4().hex}"
         rows.select(*COLUMNS).write.parquet(at)
         return self.spark.read.schema(SCHEMA).parquet(at)
 
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        writer = for_partitions(rows.select(*COLUMNS), ["year_month"]).write.partitionBy("year_month")
+        writer.mode(mode).option("partitionOverwriteMode", "dynamic").parquet(self._table())
+
     def _ensure(self) -> None:
-        empty = self.spark.createDataFrame([], SCHEMA)
-        empty.write.mode("append").partitionBy("year_month").parquet(self._table())
+        if not path_exists(self.spark, self._table()):
+            empty = self.spark.createDataFrame([], SCHEMA)
+            empty.write.mode("append").partitionBy("year_month").parquet(self._table())
 
     def _existing(self, staged: DataFrame) -> DataFrame:
         """Catalog rows of the months that are being written; other partitions are not read."""
@@ -78,32 +85,32 @@ class Catalog:
         """Insert rows whose key is absent; existing rows are never touched."""
         self._ensure()
         staged = self._stage(rows)
-        before, offered = self.read().count(), staged.count()
+        before = self.read().count()
         fresh = staged.join(self._existing(staged).select(*KEY), KEY, "left_anti")
-        fresh.select(*COLUMNS).write.mode("append").partitionBy("year_month").parquet(self._table())
-        total = self.read().count()
-        return WriteReport(total - before, offered - (total - before), total)
+        self._write(fresh, "append")
+        return self._report(staged, before)
 
     def upsert(self, rows: DataFrame) -> WriteReport:
-        """Replace rows of the same key and insert the others; only touched months are rewritten."""
+        """Replace rows of the same key and insert the others; only touched months are rewritten.
+
+        ``skipped`` counts the rows that replaced an older one.
+        """
         self._ensure()
         staged = self._stage(rows)
-        before, offered = self.read().count(), staged.count()
+        before = self.read().count()
         months = staged.select("year_month").distinct()
         kept = (
             self._existing(staged)
             .join(months, "year_month", "left_semi")
             .join(staged.select(*KEY), KEY, "left_anti")
         )
-        merged = self._stage(kept.select(*COLUMNS).unionByName(staged))
-        (
-            merged.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("year_month")
-            .parquet(self._table())
-        )
+        self._write(self._stage(kept.select(*COLUMNS).unionByName(staged)), "overwrite")
+        return self._report(staged, before)
+
+    def _report(self, staged: DataFrame, before: int) -> WriteReport:
+        """Counts come from file footers, so they cost no scan of the rows."""
         total = self.read().count()
-        return WriteReport(total - before, offered - (total - before), total)
+        return WriteReport(total - before, staged.count() - (total - before), total)
 
     def stats(self, finding_def_id: str = SHARE_GROWTH_ID) -> DataFrame:
         """Row count and distinct brand months of one finding definition."""

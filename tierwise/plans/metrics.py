@@ -49,11 +49,14 @@ def build_metrics(
 
 
 class Pipeline:
-    """Order lines to metric tables, each written once and then read."""
+    """Order lines to metric tables, each written once and then read.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With a folder the tables are kept for later applications.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str | None = None):
         self.spark, self.sf_dir = spark, sf_dir
-        self.store = Store(spark, sf_dir)
+        self.store = Store(spark, sf_dir, folder)
 
     def cells(self) -> DataFrame:
         return self.store.table("cells", lambda: orderlines.cells(self.spark, self.sf_dir))

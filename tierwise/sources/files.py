@@ -25,9 +25,22 @@ def read_regions_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system it names, shared or local."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def for_partitions(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows brought together by output partition, so that a partition gets few files. Rebalancing
+    is adaptive: a partition with a large part of the rows is split over several tasks."""
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Drop and rewrite a table. ``df`` must not read from ``path``."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    rows = for_partitions(df, partition_by)
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def copy_table(spark: SparkSession, src: str, dst: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tierwise.sources.files import path_exists
+
 _LOCAL_BASE: dict[str, str] = {}
+_REBUILD = ""  # marks a store whose written tables must not be taken over
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,25 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Store:
-    """Tables derived from one source folder, written once per Spark application."""
+    """Tables derived from one source folder.
+
+    Without a folder they live under the shared folder and are written once per Spark application.
+    A named folder is kept: later applications read the tables that were written completely.
+    """
 
     _written: dict[str, set[str]] = {}
 
-    def __init__(self, spark: SparkSession, source: str):
+    def __init__(self, spark: SparkSession, source: str, folder: str | None = None):
         self.spark = spark
         self.source = source.rstrip("/")
-        digest = hashlib.sha256(self.source.encode()).hexdigest()[:12]
-        self.base = f"{shared_dir(spark)}/tierwise/{spark.sparkContext.applicationId}/{digest}"
+        self.kept = folder is not None
+        if folder is None:
+            digest = hashlib.sha256(self.source.encode()).hexdigest()[:12]
+            folder = f"{shared_dir(spark)}/tierwise/{spark.sparkContext.applicationId}/{digest}"
+        self.base = folder.rstrip("/")
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def table(self, name: str, build: Callable[[], DataFrame], sort: str | None = None) -> DataFrame:
-        """The written table, building it on first use in this application.
+        """The written table, building it on first use.
 
         Files sorted by month let readers of a few months skip row groups by their statistics.
         """
         done = Store._written.setdefault(self.base, set())
+        if self.kept and not {name, _REBUILD} & done and path_exists(self.spark, f"{self.path(name)}/_SUCCESS"):
+            return self.spark.read.parquet(self.path(name))
         if name not in done:
             df = build() if sort is None else build().sortWithinPartitions(sort)
             df.write.mode("overwrite").parquet(self.path(name))
@@ -58,4 +70,4 @@ class Store:
 
     def forget(self) -> None:
         """Rebuild every table on next use, for instance after the source was refreshed."""
-        Store._written.pop(self.base, None)
+        Store._written[self.base] = {_REBUILD}
