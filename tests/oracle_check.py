@@ -84,6 +84,8 @@ def session(app: str = "tierwise-check"):
         .config("spark.driver.memory", "8g")
         .config("spark.sql.codegen.cache.maxEntries", "5000")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.files.openCostInBytes", "1048576")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "67108864")
         .getOrCreate()
     )
 

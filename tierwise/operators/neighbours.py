@@ -14,7 +14,7 @@ GROUP = ["brand_name", "year_month"]
 SCALES = {"growth": 10.0, "deviation": 1.0, "rank": 25.0}
 OFF = 1.0
 NEIGHBOURS = 5
-SLOTS = 8
+SLOTS = 5
 CELLS_PER_UNIT = 8
 
 

@@ -13,13 +13,15 @@ from tierwise.operators import insights as ins
 from tierwise.operators import readout
 from tierwise.operators.catalog import Catalog, WriteReport, catalog_rows
 from tierwise.operators.signals import latest, recent
-from tierwise.plans.metrics import Pipeline
+from tierwise.plans.metrics import Pipeline, grain_rows
 from tierwise.sources.files import copy_table, replace_table
 from tierwise.specs import (
     GRAINS,
     LOUDNESS,
     QUADRANTS,
+    REGION,
     SIGNALS,
+    TERRITORY,
     Axis,
     Condition,
     FindingSpec,
@@ -241,7 +243,7 @@ def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _territory_rows(pipe: Pipeline) -> DataFrame:
-    return pipe.compute("territory").select("year_month", "period_type", "brand_name", "sales_eur")
+    return grain_rows(pipe.monthly(), TERRITORY).withColumnRenamed("own_s", "sales_eur")
 
 
 def _covered_attainment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +261,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "write_metrics": _write_metrics,
         "copy_report": _copy_report,
         "table_page": _page,
-        "meta_profile": lambda s, d: readout.meta_profile(Pipeline(s, d).compute("region")),
+        "meta_profile": lambda s, d: readout.meta_profile(grain_rows(Pipeline(s, d).monthly(), REGION)),
         "classify_findings": lambda s, d: _classified(s, d, SHARE_GROWTH).select(
             *keys, *sev, "share_sev", "growth_sev", "share_now", "growth_now", "share_net", "growth_net"
         ),

@@ -14,7 +14,7 @@ from tierwise.sources import orderlines
 from tierwise.sources.store import Store
 from tierwise.specs import GRAINS, MEASURES, PERIODS, REGION, Grain
 
-SUMS = ("own_u", "own_s", "tot_u", "tot_s")
+SUMS = ("own_u", "own_s", "tot_s")
 
 
 def grain_rows(monthly: DataFrame, grain: Grain, periods: Sequence[str] = PERIODS) -> DataFrame:

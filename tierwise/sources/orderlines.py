@@ -84,23 +84,26 @@ def _lines_by_place(spark: SparkSession, sf_dir: str, own_only: bool) -> DataFra
     )
 
 
-def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+        "n_nationkey",
         F.col("n_name").alias("region_name"),
         F.col("r_regionkey").cast("string").alias("territory_id"),
         F.col("r_name").alias("territory_name"),
     )
 
 
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _places(spark, sf_dir).drop("n_nationkey")
+
+
 def _named(cells: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month numbers and keys of aggregated rows replaced by the names of the sales fact."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("region_name"))
     n = brand_number(F.col("p_brand"))
     return (
-        cells.join(nation, cells.c_nationkey == nation.n_nationkey)
-        .join(regions(spark, sf_dir), "region_name")
+        cells.join(_places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             month_text(F.col("ship_month")).alias("year_month"),
             F.col("p_brand").alias("brand_name"),
@@ -159,13 +162,19 @@ def brand_forecast_of_cells(cells: DataFrame) -> DataFrame:
 
 
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bookings per order month and part: the plan for shipments, national, per SKU."""
+    """Bookings per order month and own product: the plan for shipments, national, per SKU.
+
+    Lines of other products are dropped before the orders join, so the large shuffle carries own
+    products only.
+    """
     lines = order_lines(spark, sf_dir).select("l_orderkey", "l_partkey", "qty", "value")
+    own = skus(spark, sf_dir).select(F.col("sku_id").alias("l_partkey"))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", month_number(F.col("o_orderdate")).alias("order_month")
     )
     return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        lines.join(own, "l_partkey", "left_semi")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("order_month", "l_partkey")
         .agg(*_amounts())
         .select(

@@ -13,6 +13,7 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tierwise.sources.files import path_exists
 
@@ -41,6 +42,7 @@ class Store:
     """
 
     _written: dict[str, set[str]] = {}
+    _schemas: dict[str, StructType] = {}  # of written tables, so reading one needs no footer scan
 
     def __init__(self, spark: SparkSession, source: str, folder: str | None = None):
         self.spark = spark
@@ -65,8 +67,9 @@ class Store:
         if name not in done:
             df = build() if sort is None else build().sortWithinPartitions(sort)
             df.write.mode("overwrite").parquet(self.path(name))
+            Store._schemas[self.path(name)] = df.schema
             done.add(name)
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(Store._schemas[self.path(name)]).parquet(self.path(name))
 
     def forget(self) -> None:
         """Rebuild every table on next use, for instance after the source was refreshed."""
