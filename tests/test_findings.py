@@ -11,7 +11,7 @@ from tierwise.operators import insights as ins
 from tierwise.operators import market, neighbours, peers, readout
 from tierwise.operators.catalog import Catalog, catalog_rows
 from tierwise.plans import finding_queries as q
-from tierwise.sources.files import copy_table, read_regions_csv, replace_table
+from tierwise.sources.files import copy_table, read_copy, read_regions_csv, replace_table
 from tierwise.sources.store import Store
 from tierwise.specs import FindingSpec, Framing, Rule
 
@@ -251,3 +251,13 @@ def test_stream_feeds_the_catalog_once(spark, tmp_path):
     m.filter("year_month = '2020-05'").write.mode("append").parquet(f"{folder}/arrived")
     assert run("c1") == ["2020-04", "2020-05"]
     assert run("c2") == ["2020-04", "2020-05"]  # everything replayed under a new checkpoint
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "csv", "json"])
+def test_copy_keeps_nulls(spark, tmp_path, fmt):
+    rows = [("a", None, 1), (None, 2.5, 1), ("", 0.0, 2)]
+    src, dst = f"file://{tmp_path}/src", f"file://{tmp_path}/dst"
+    replace_table(spark.createDataFrame(rows, "s string, v double, k int"), src)
+    assert copy_table(spark, src, dst, fmt=fmt).first()[0] == 3
+    got = read_copy(spark, dst, spark.read.parquet(src), fmt).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)

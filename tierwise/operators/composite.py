@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tierwise.functions.numeric import rnd
-from tierwise.operators.loudness import SERIES
+from tierwise.operators.loudness import SERIES, per_signal
 from tierwise.operators.signals import complete, with_lags
 from tierwise.specs import SIGNALS, SignalSpec, normalise_weights
 
@@ -41,9 +41,10 @@ def standard_steps(recent: DataFrame, scale: DataFrame, asof: Column) -> DataFra
     """The as-of window of every series with its three steps in units of the signal's step scale."""
     lagged = with_lags(recent, SERIES, {"m": "value"}, 3)
     current = lagged.filter((F.col("year_month") == asof) & complete("m", range(4)))
-    joined = current.join(scale.select("signal_id", "scale"), "signal_id")
+    # A series with four known months has steps, so its signal always has a scale.
+    scaled = current.withColumn("scale", per_signal(scale, "scale"))
     z = {f"z{k}": (F.col(f"m{3 - k}") - F.col(f"m{4 - k}")) / F.col("scale") for k in (1, 2, 3)}
-    return joined.withColumns(z)
+    return scaled.withColumns(z)
 
 
 def contributions(steps: DataFrame, combos: DataFrame) -> DataFrame:

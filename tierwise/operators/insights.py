@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -61,17 +61,21 @@ def gate(framing: Framing) -> Column:
     return surface
 
 
-def insights(spark: SparkSession, rows: DataFrame, spec: FindingSpec, framings: Sequence[Framing]) -> DataFrame:
+def insights(rows: DataFrame, spec: FindingSpec, framings: Sequence[Framing]) -> DataFrame:
     """One row per finding and framing of its key: the text, and whether it surfaces.
 
-    Framings are configuration, so their table is as small as the list of them.
+    Framings are configuration and unfold in place: there are few finding keys, so a join on them
+    would be as skewed as the findings are.
     """
     known = variables(spec)
-    table = spark.createDataFrame(
-        [(f.id, f.persona, f.finding_key) for f in framings],
-        "framing_id string, persona string, finding_key string",
-    )
-    joined = rows.join(table, "finding_key")
+    matching = [
+        F.when(
+            F.col("finding_key") == f.finding_key,
+            F.struct(F.lit(f.id).alias("framing_id"), F.lit(f.persona).alias("persona")),
+        )
+        for f in framings
+    ]
+    joined = rows.select("*", F.inline(F.array_compact(F.array(*matching))))
     text, shown = F.lit(None).cast("string"), F.lit(False)
     for f in framings:
         mine = F.col("framing_id") == f.id

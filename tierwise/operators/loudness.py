@@ -154,6 +154,15 @@ def loudest_first(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("vs_peers"), F.desc_nulls_last("vs_self"), "signal_id", "brand_name", "entity")
 
 
+def per_signal(df: DataFrame, value: str) -> Column:
+    """A value per signal as a map in a scalar subquery, looked up without a join.
+
+    It holds one entry per signal definition, so its size is that of the configuration.
+    """
+    entries = F.collect_list(F.struct("signal_id", value))
+    return F.element_at(df.agg(F.map_from_entries(entries)).scalar(), F.col("signal_id"))
+
+
 def step_scale(stacked: DataFrame) -> DataFrame:
     """Median absolute deviation of one-month changes per signal, over all brands and entities.
 
@@ -175,8 +184,7 @@ def step_scale(stacked: DataFrame) -> DataFrame:
         F.sum(F.col("d") * F.col("d") * F.col("n")).alias("s2"),
     )
     off = (
-        counted.join(middle.select("signal_id", "med"), "signal_id")
-        .groupBy("signal_id", rnd(F.abs(F.col("d") - F.col("med")), 6).alias("a"))
+        counted.groupBy("signal_id", rnd(F.abs(F.col("d") - per_signal(middle, "med")), 6).alias("a"))
         .agg(F.sum("n").alias("n"))
         .groupBy("signal_id")
         .agg(rnd(F.expr("percentile(a, 0.5, n)"), 6).alias("mad"))
@@ -188,5 +196,4 @@ def step_scale(stacked: DataFrame) -> DataFrame:
         F.nullif(F.when(F.col("steps") > 1, deviation), F.lit(0.0)),
         F.lit(1.0),
     )
-    known = middle.join(off, "signal_id").select("signal_id", "steps", "med", "mad", scale.alias("scale"))
-    return known
+    return middle.join(off, "signal_id").select("signal_id", "steps", "med", "mad", scale.alias("scale"))

@@ -115,7 +115,7 @@ def _insight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rank_sales_eur", "mat_rank"
     )
     rows = rows.join(mem, ["brand_name", "entity"], "left").fillna(0, ["months_red"])
-    return ins.insights(spark, rows, SHARE_GROWTH, FRAMINGS)
+    return ins.insights(rows, SHARE_GROWTH, FRAMINGS)
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:

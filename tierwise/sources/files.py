@@ -43,10 +43,32 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def copy_table(spark: SparkSession, src: str, dst: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Truncate-and-reload copy between stores; NULLs stay NULL. Returns one row: rows copied."""
-    replace_table(spark.read.parquet(src), dst, partition_by)
-    return spark.read.parquet(dst).agg(F.count(F.lit(1)).alias("rows_copied"))
+# Fixed value: how a missing value is written to text files.
+NULL_MARKER = r"\N"
+
+
+def copy_table(
+    spark: SparkSession, src: str, dst: str, partition_by: Sequence[str] = (), fmt: str = "parquet"
+) -> DataFrame:
+    """Truncate-and-reload copy of a parquet table into another folder and format.
+
+    NULLs stay NULL: text formats carry a marker, so an empty string is not taken for one. Returns one
+    row: the rows found in the copy.
+    """
+    rows = spark.read.parquet(src)
+    writer = for_partitions(rows, partition_by).write.mode("overwrite").partitionBy(*partition_by)
+    writer.format(fmt).options(**_text_options(fmt)).save(dst)
+    return read_copy(spark, dst, rows, fmt).agg(F.count(F.lit(1)).alias("rows_copied"))
+
+
+def read_copy(spark: SparkSession, dst: str, like: DataFrame, fmt: str = "parquet") -> DataFrame:
+    """A copied table, with the schema of its source."""
+    return spark.read.format(fmt).schema(like.schema).options(**_text_options(fmt)).load(dst)
+
+
+def _text_options(fmt: str) -> dict[str, str]:
+    # Spark escapes with a backslash by default, which the marker itself contains.
+    return {"header": "true", "nullValue": NULL_MARKER, "escape": '"'} if fmt == "csv" else {}
 
 
 def require_columns(df: DataFrame, names: Sequence[str], what: str = "column") -> None:
