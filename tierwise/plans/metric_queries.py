@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -83,7 +83,7 @@ def launch_report(metrics: DataFrame, months_back: tuple[int, ...] = (0, 3, 6, 9
     months = metrics.agg(F.reverse(F.array_sort(F.collect_set("year_month"))).alias("m"))
     picked = months.select(F.transform(F.array(*[F.lit(k + 1) for k in months_back]), lambda k: F.get("m", k - 1)))
 
-    def mean(name: str) -> F.Column:
+    def mean(name: str) -> Column:
         exact = F.sum(F.col(name).cast("decimal(18,2)")).cast("double")
         return rnd(exact / F.nullif(F.count(name), F.lit(0)), 1)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,7 @@ class Store:
     """
 
     _written: dict[str, set[str]] = {}
+    _lock = threading.RLock()  # one writer per application; a build may ask for other tables
     _schemas: dict[str, StructType] = {}  # of written tables, so reading one needs no footer scan
 
     def __init__(self, spark: SparkSession, source: str, folder: str | None = None):
@@ -61,15 +63,17 @@ class Store:
 
         Files sorted by month let readers of a few months skip row groups by their statistics.
         """
-        done = Store._written.setdefault(self.base, set())
-        if self.kept and not {name, _REBUILD} & done and path_exists(self.spark, f"{self.path(name)}/_SUCCESS"):
-            return self.spark.read.parquet(self.path(name))
-        if name not in done:
-            df = build() if sort is None else build().sortWithinPartitions(sort)
-            df.write.mode("overwrite").parquet(self.path(name))
-            Store._schemas[self.path(name)] = df.schema
-            done.add(name)
-        return self.spark.read.schema(Store._schemas[self.path(name)]).parquet(self.path(name))
+        path = self.path(name)
+        with Store._lock:
+            done = Store._written.setdefault(self.base, set())
+            if self.kept and not {name, _REBUILD} & done and path_exists(self.spark, f"{path}/_SUCCESS"):
+                return self.spark.read.parquet(path)
+            if name not in done:
+                df = build() if sort is None else build().sortWithinPartitions(sort)
+                df.write.mode("overwrite").parquet(path)
+                Store._schemas[path] = df.schema
+                done.add(name)
+            return self.spark.read.schema(Store._schemas[path]).parquet(path)
 
     def forget(self) -> None:
         """Rebuild every table on next use, for instance after the source was refreshed."""
