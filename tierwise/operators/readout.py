@@ -6,7 +6,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tierwise.functions.numeric import rnd
 from tierwise.functions.trajectory import strength
@@ -20,14 +19,16 @@ MAX_PAGE = 500
 def period_months(months: DataFrame, asof: str | None = None) -> DataFrame:
     """(period_type, year_month) of the months each period covers at the as-of month."""
     at = _asof(months, asof)
-    upto = months.select("year_month").distinct().filter(F.col("year_month") <= at)
-    # The list of distinct months is short: one row per calendar month of the data.
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("year_month")))
+    # One row per calendar month of the data, newest first, so the list is short.
+    listed = months.filter(F.col("year_month") <= at).agg(
+        F.reverse(F.array_sort(F.collect_set("year_month"))).alias("m")
+    )
+    rows = {"Month": 1, **WINDOW_ROWS}
     covered = F.array(
-        *[F.when(F.col("_k") <= {"Month": 1, **WINDOW_ROWS}[p], p) for p in PERIODS if p != "YTD"],
+        *[F.when(F.col("_k") < rows[p], p) for p in PERIODS if p != "YTD"],
         F.when(F.substring("year_month", 1, 4) == F.substring(at, 1, 4), "YTD"),
     )
-    return upto.withColumn("_k", place).select(
+    return listed.select(F.posexplode("m").alias("_k", "year_month")).select(
         F.explode(F.array_compact(covered)).alias("period_type"), "year_month"
     )
 
