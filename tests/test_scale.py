@@ -107,3 +107,18 @@ def test_no_broadcast_gives_the_same_metrics(spark, conf):
     conf({"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "31"})
     b = pipe.compute("region", ["MAT"]).select(cols).collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tierwise.sources.store import shared_dir
+
+    def fake(named, set_, master):
+        context = SimpleNamespace(getCheckpointDir=lambda: set_, master=master, applicationId="app-x")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: named), sparkContext=context)
+
+    assert shared_dir(fake("hdfs:///shared/", None, "yarn")) == "hdfs:///shared"
+    assert shared_dir(fake(None, "hdfs:///set", "yarn")) == "hdfs:///set"
+    with pytest.raises(RuntimeError):
+        shared_dir(fake(None, None, "yarn"))
