@@ -42,3 +42,20 @@ def components(texts: dict) -> dict:
                 a, b = sorted((find(d), find(sets[j][0])))
                 root[b] = a
     return {d: find(d) for d in texts}
+
+
+def without_repeats(rows: list, window=35) -> list:
+    """(doc_id, text) rows -> (doc_id, n_words, n_removed, kept text)."""
+    seen = defaultdict(int)
+    words = [SPACE_WORDS.findall(t or "") for _, t in rows]
+    for w in words:
+        for i in range(len(w) - window + 1):
+            seen[tuple(w[i : i + window])] += 1
+    out = []
+    for (d, _), w in zip(rows, words):
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone.update(range(i, i + window))
+        out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
