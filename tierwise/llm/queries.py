@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwise.llm import near_dedup, substring_dedup
+from tierwise.llm import byte_bpe, near_dedup, substring_dedup
 from tierwise.llm.shared import table
 
 
@@ -14,6 +14,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = "byte_bpe_multi_50k.tiktoken"
+    ids = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,6 +31,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op5_substring_dedup": op5_substring_dedup,
+        "op8_byte_level_bpe": op8_byte_level_bpe,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
