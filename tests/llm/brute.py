@@ -59,3 +59,26 @@ def without_repeats(rows: list, window=35) -> list:
                 gone.update(range(i, i + window))
         out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
     return out
+
+
+ITEM_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def leaks(rows: list, items: list, window=10) -> list:
+    """(doc_id, text) rows -> (doc_id, n_words, n_hit, sorted item ids as strings)."""
+    held = defaultdict(set)
+    for item, text in items:
+        w = ITEM_WORDS.findall(ascii_lower(text or ""))
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            held[tuple(w[i : i + window])].add(item)
+    sizes = sorted({len(w) for w in held})
+    out = []
+    for d, text in rows:
+        w, hit, found = ITEM_WORDS.findall(ascii_lower(text or "")), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if (x := tuple(w[i : i + n])) in held:
+                    hit.update(range(i, i + n))
+                    found |= held[x]
+        out.append((d, len(w), len(hit), sorted(str(x) for x in found if x is not None)))
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwise.llm import byte_bpe, near_dedup, substring_dedup
+from tierwise.llm import byte_bpe, decontaminate, near_dedup, substring_dedup
 from tierwise.llm.shared import table
 
 
@@ -14,6 +14,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.n_hit()
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = "byte_bpe_multi_50k.tiktoken"
     ids = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
@@ -31,6 +41,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op8_byte_level_bpe": op8_byte_level_bpe,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
