@@ -77,7 +77,8 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every row of docs with its columns and n_words, spans (start and stop of occurring windows) and item_ids (as strings, sorted).
+    """row (a struct of the columns of docs), n_words, spans (start and stop of occurring windows; null without any) and
+    item_ids (as strings, sorted) for every row of docs.
 
     Null texts and texts without words have no window; null and empty items give none. Items that share a window are all
     reported. Rows that repeat id and text are judged alike. An item with a null item_id hits words but isn't listed.
@@ -86,13 +87,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     keyed = docs.select(key.alias("doc_key"), words("text").alias("w"))
     windows = written(item_windows(items, window), "windows")
     found = written(occurrences(keyed, windows), "occurrences")
-    spans = found.groupBy("doc_key").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop"))).alias("spans"))
+    spans = F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop"))).alias("spans")
     named = found.select("doc_key", "window").distinct().join(windows, "window")
     hit = named.groupBy("doc_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    both = spans.join(hit, "doc_key", "left").withColumnRenamed("doc_key", "found_key")
-    return docs.withColumn("n_words", F.size(words("text")).cast("long")).join(both, key == F.col("found_key"), "left").select(
-        *[docs[c] for c in docs.columns], "n_words", "spans", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
-    )
+    both = found.groupBy("doc_key").agg(spans).join(hit, "doc_key", "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    packed = docs.select(row, key.alias("doc_key"), F.size(words("text")).cast("long").alias("n_words"))
+    items_of = F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
+    return packed.join(both, "doc_key", "left").select("row", "n_words", "spans", items_of)
 
 
 def n_hit(spans: str = "spans") -> Column:

@@ -228,38 +228,33 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, n_words, n_removed = [], [], []
-        for text, spans in zip(texts_of(batch), batch.column("spans").to_pylist()):
-            words = text.split()  # of bytes: at blank and 9 to 13
+        for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
+            words = (text or b"").split()  # of bytes: at blank and 9 to 13
             n_words.append(len(words))
             if spans:
                 left, at = [], 0
-                for s in sorted((s["start"], s["stop"]) for s in spans):
-                    left += words[at : max(at, s[0])]
-                    at = max(at, s[1])
+                for start, stop in sorted((s["start"], s["stop"]) for s in spans):
+                    left += words[at : max(at, start)]
+                    at = max(at, stop)
                 words = left + words[at:]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words))
-        rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "spans")]
-        names = [c for c in batch.schema.names if c not in ("text", "spans")]
         yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            [*names, "n_words", "n_removed", "kept_text"],
+            [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+            ["row", "n_words", "n_removed", "kept_text"],
         )
 
 
-def texts_of(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-
-
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (the kept words joined by one blank) for every row of docs.
+    """row (a struct of the columns of docs but text), n_words, n_removed and kept_text for every row of docs.
 
-    A word goes if a window of 35 words over it starts at another place too, in any row, its own included. Rows that repeat
-    both id and text are places of their own, so their windows go from all of them. Null and empty texts have no words and an
-    empty kept_text; texts of fewer than 35 words have no window. A null doc_id is an id like others.
+    kept_text has the kept words joined by one blank. A word goes if a window of 35 words over it starts at another place
+    too, in any row, its own included. Rows that repeat both id and text are places of their own, so their windows go
+    from all of them. Null and empty texts have no words and an empty kept_text; texts of fewer than 35 words have no
+    window. A null doc_id is an id like others. Other columns of docs, whatever their names, are carried in row.
     """
-    keyed, spans = _keyed(docs), repeats(docs, group).toDF("id", "key", "spans")
-    joined = keyed.join(spans, keyed.doc_id.eqNullSafe(spans.id) & (keyed.text_key == spans.key), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(
-        _cut, "doc_id long, n_words long, n_removed long, kept_text string"
-    )
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    keyed = docs.select(F.struct(*others).alias("row"), "text", "doc_id", F.hash("text").alias("text_key"))
+    spans = repeats(docs, group).toDF("id", "key", "spans")
+    joined = keyed.join(spans, keyed.doc_id.eqNullSafe(spans.id) & (keyed.text_key == spans.key), "left").select("row", "text", "spans")
+    return joined.mapInArrow(_cut, f"row {joined.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept_text string")

@@ -242,16 +242,20 @@ def fit(labelled: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score for every row of docs; null, empty and wordless texts get the score of no evidence."""
+    """row (a struct of the columns of docs) and score for every row of docs.
+
+    Null, empty and wordless texts get the score of no evidence. No column but text is read.
+    """
     known = docs.sparkSession.sparkContext.broadcast(model)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
                 s = known.value.scores(known.value.features(part))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(s)], ["row", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, score double")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
