@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tierwise.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, toxicity
+from tierwise.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, token_files, toxicity
 from tierwise.llm.shared import table
 
 
@@ -17,6 +17,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = token_files.write(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+    found = token_files.read(spark, folder)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -49,6 +55,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op2_toxicity": op2_toxicity,
+        "op4_token_files": op4_token_files,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op8_byte_level_bpe": op8_byte_level_bpe,
