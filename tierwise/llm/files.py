@@ -18,6 +18,13 @@ def folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", uri))
 
 
+def made(uri: str) -> str:
+    """The folder, which then exists."""
+    system, base = folder(uri)
+    system.create_dir(base, recursive=True)
+    return uri
+
+
 def temporary(path: str) -> str:
     """The name under which this task attempt writes a file."""
     head, _, name = path.rpartition("/")

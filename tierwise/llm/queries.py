@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tierwise.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, token_files, toxicity
+from tierwise.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, token_files, toxicity, warc
 from tierwise.llm.shared import table
 
 
@@ -48,6 +48,11 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(spark, *warc.write(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def queries():
         "op5_substring_dedup": op5_substring_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op8_byte_level_bpe": op8_byte_level_bpe,
+        "op9_warc": op9_warc,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
         "pipeline": corpus_pipeline.run,
     }

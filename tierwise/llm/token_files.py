@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierwise.llm.files import commit, put
+from tierwise.llm.files import commit, made, put
 from tierwise.llm.shared import parts, scratch, written
 
 END = 1  # the id after each document
@@ -174,7 +174,7 @@ def write(docs: DataFrame, vocabulary: str) -> tuple[str, DataFrame]:
     Documents are in ascending doc_id, nulls first, rows that repeat an id by their texts. Null and empty texts
     have END only. Without rows there is no file.
     """
-    folder = scratch(docs.sparkSession, "token-files")
+    folder = made(scratch(docs.sparkSession, "token-files"))
     compression = {"compression": "zstd"}
     path = scratch(docs.sparkSession, "ids")
     _encoded(docs, vocabulary).write.options(**compression).parquet(path)
