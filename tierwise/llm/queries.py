@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tierwise.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, token_files, toxicity, warc
+from tierwise.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, token_counts, token_files, toxicity, warc
 from tierwise.llm.shared import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -59,6 +63,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_toxicity": op2_toxicity,
         "op4_token_files": op4_token_files,
         "op5_substring_dedup": op5_substring_dedup,
