@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tierwise.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, token_counts, token_files, toxicity, warc
+from tierwise.llm import byte_bpe, decontaminate, near_dedup, spot_signatures, substring_dedup, token_counts, token_files, toxicity, warc
 from tierwise.llm.shared import table
 
 
@@ -42,6 +42,17 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spot_signatures.edited(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        spot_signatures.fingerprint("signatures").alias("fingerprint"),
+        spot_signatures.fingerprint("edited_signatures").alias("edited_fingerprint"),
+        spot_signatures.likeness("signatures", "edited_signatures").alias("near_edited"),
+        spot_signatures.likeness("signatures", "next_signatures").alias("near_next"),
+    )
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = "byte_bpe_multi_50k.tiktoken"
     ids = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
@@ -68,6 +79,7 @@ def queries():
         "op4_token_files": op4_token_files,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op7_spot_signatures": op7_spot_signatures,
         "op8_byte_level_bpe": op8_byte_level_bpe,
         "op9_warc": op9_warc,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
