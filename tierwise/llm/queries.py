@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tierwise.llm import byte_bpe, decontaminate, near_dedup, spot_signatures, substring_dedup, token_counts, token_files, toxicity, warc
+from tierwise.llm import byte_bpe, decontaminate, near_dedup, spot_signatures, substring_dedup, token_counts, token_files, toxicity, url_templates, warc
 from tierwise.llm.shared import table
 
 
@@ -21,6 +21,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, _ = token_files.write(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
     found = token_files.read(spark, folder)
@@ -76,6 +84,7 @@ def queries():
     return {
         "op1_token_counts": op1_token_counts,
         "op2_toxicity": op2_toxicity,
+        "op3_url_templates": op3_url_templates,
         "op4_token_files": op4_token_files,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
