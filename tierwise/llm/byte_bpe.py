@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 
 from tierwise.llm.shared import parts
 
-REMEMBERED = 150_000  # pieces in each generation
+PIECES, PRETOKENS = 80_000, 250_000  # remembered in each generation
+PART = 1 << 20  # bytes of text whose new pre-tokens are merged at once
 
 #: The characters that the pattern's \s means.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -104,6 +105,7 @@ class Codec:
         for e in ends.tolist():
             edge[e] = 1
         after, before = list(range(1, n + 1)), list(range(-1, n))
+        put = queue.put
         while queue.top:
             rank, positions = queue.pop()
             for at, i in enumerate(positions):
@@ -113,34 +115,38 @@ class Codec:
                 j = after[i]
                 k = after[i] = after[j]
                 alive[j] = 0
-                now[j] = now[i] = -1
-                lowest = rank
+                now[j] = -1
+                r = q = None
                 if not edge[k]:
                     before[k] = i
                     end = after[k]
-                    if end - i <= longest and (r := rank_of(data[i:end])) is not None:
-                        now[i] = r
-                        if r in buckets:
-                            buckets[r].append(i)
-                        else:
-                            queue.put(r, [i])
-                        lowest = min(lowest, r)
+                    if end - i <= longest:
+                        r = rank_of(data[i:end])
+                if r is None:
+                    now[i] = -1
+                else:
+                    now[i] = r
+                    if r in buckets:
+                        buckets[r].append(i)
+                    else:
+                        put(r, [i])
                 if not edge[i]:
                     h = before[i]
-                    if k - h <= longest and (r := rank_of(data[h:k])) is not None:
-                        now[h] = r
-                        if r in buckets:
-                            buckets[r].append(h)
-                        else:
-                            queue.put(r, [h])
-                        lowest = min(lowest, r)
-                    else:
+                    if k - h <= longest:
+                        q = rank_of(data[h:k])
+                    if q is None:
                         now[h] = -1
-                if lowest < rank:
+                    else:
+                        now[h] = q
+                        if q in buckets:
+                            buckets[q].append(h)
+                        else:
+                            put(q, [h])
+                if (r is not None and r < rank) or (q is not None and q < rank):
                     if rank in buckets:
                         buckets[rank] += positions[at + 1 :]
                     elif at + 1 < len(positions):
-                        queue.put(rank, positions[at + 1 :])
+                        put(rank, positions[at + 1 :])
                     break
         kept = np.frombuffer(alive, np.uint8)
         return np.array(ids, np.int32)[kept == 1], np.r_[0, np.cumsum(kept, dtype=np.int64)][ends]
@@ -178,8 +184,8 @@ class Codec:
         for piece, found in parts_of.items():
             pieces[piece] = b"".join([known[x] for x in found])
         out = [b"".join([*map(known.__getitem__, a), *map(pieces.__getitem__, b)]) for a, b in cut]
-        for generations in (self.pieces, self.known):
-            if len(generations[0]) > REMEMBERED:
+        for generations, most in ((self.pieces, PIECES), (self.known, PRETOKENS)):
+            if len(generations[0]) > most:
                 generations[:] = {}, generations[0]
         return out
 
@@ -201,7 +207,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(public_tokenizers.path(vocabulary), pattern or public_tokenizers.PATTERN)
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, size=PART):
                 found = c.encode([x or "" for x in part.column("text").to_pylist()])
                 ends = np.cumsum([0, *map(len, found)]) // 4
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
