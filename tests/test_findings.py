@@ -131,16 +131,51 @@ def test_table_page(spark):
     assert [(r.id, r.total) for r in page.collect()] == [(5, 10), (7, 10), (9, 10)]
 
 
-def test_displacement_picks_the_nearest_rise(spark):
-    rows = [("2020-01", "MAT", "F", r, "T", Decimal(0), Decimal(0), Decimal(now), Decimal(py)) for r, now, py in
-            [("a", 0, 100), ("b", 95, 0), ("c", 110, 0), ("d", 90, 100), ("e", 50, 50)]]
+def test_displacement_sums_the_rises(spark):
+    def rows(month, moves):
+        return [(month, "MAT", "F", r, Decimal(now), Decimal(py)) for r, now, py in moves]
+
     df = spark.createDataFrame(
-        rows,
-        "year_month string, period_type string, franchise string, region_name string, territory_name string, "
-        "own_s decimal(28,4), own_s_py decimal(28,4), tot_s decimal(28,4), tot_s_py decimal(28,4)",
+        rows("2020-01", [("a", 0, 100), ("b", 50, 0), ("c", 60, 10), ("e", 50, 50)])  # 100 lost, 50 and 50 gained
+        + rows("2020-02", [("a", 0, 100), ("b", 30, 0), ("d", 80, 100)]),
+        "year_month string, period_type string, franchise string, region_name string, tot_u decimal(28,4), tot_u_py decimal(28,4)",
     )
-    got = {r.region_name: (r.destination_region, r.diagnosis) for r in market.displacement(df).collect()}
-    assert got == {"a": ("b", "displaced_volume"), "d": (None, "true_demand_loss")}
+    got = {(r.year_month, r.region_name): (r.risen_elsewhere, r.destination_region, r.diagnosis) for r in market.displacement(df).collect()}
+    assert got == {
+        ("2020-01", "a"): (100.0, "c", "displaced_volume"),
+        ("2020-02", "a"): (30.0, None, "true_demand_loss"),
+        ("2020-02", "d"): (30.0, None, "true_demand_loss"),
+    }
+
+
+def test_catalog_keeps_one_row_per_key(spark, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/catalog")
+    m = metrics(spark, [-1.0, -2.0, -3.0, -4.0, -5.0], [-1.0, -2.0, -3.0, -4.0, -5.0])
+    rows = catalog_rows(fnd.flagged(fnd.findings(m, history=True)))
+    assert catalog.read().count() == 0
+    report = catalog.append(rows.unionByName(rows.withColumn("severity_score", F.lit(0))))
+    assert (report.inserted, report.skipped, report.total_rows) == (2, 2, 2)
+    seen = catalog.read()
+    forced = catalog.upsert(rows.unionByName(rows).filter("year_month = '2020-05'").withColumn("severity_score", F.lit(1)))
+    assert (forced.inserted, forced.skipped, forced.total_rows) == (0, 2, 2)
+    assert {r.year_month: r.severity_score for r in catalog.read().collect()}["2020-05"] == 1
+    assert seen.count() == 2 and all(r.severity_score > 1 for r in seen.collect())  # as it was when read
+    assert catalog.append(rows.limit(0)).total_rows == 2
+
+
+def test_regions_are_read_by_name(spark, tmp_path):
+    from tierwise.sources.files import read_regions_csv
+
+    (tmp_path / "t.csv").write_text("Territory_ID,Name,Territory_Name\n07,R1,North\n")
+    assert [tuple(r) for r in read_regions_csv(spark, f"file://{tmp_path}/t.csv").collect()] == [("R1", "07", "North")]
+    (tmp_path / "u.csv").write_text("Territory_ID,Name\n07,R1\n")
+    with pytest.raises(ValueError):
+        read_regions_csv(spark, f"file://{tmp_path}/u.csv")
+
+
+def test_page_limit_is_refused_above_the_bound(spark):
+    with pytest.raises(ValueError):
+        readout.table_page(spark.range(3), ["id"], limit=1000)
 
 
 def brute_nearest(points, k):
@@ -168,8 +203,8 @@ def test_nearest_is_exact(spark, seed, n, spread):
             xyz = (rng.gauss(0, spread), rng.gauss(0, 2), rng.randint(1, 100) / 25.0)
         pts.append({"entity": f"e{i:03d}", "growth": xyz[0], "deviation": xyz[1], "rank": xyz[2]})
     df = spark.createDataFrame(
-        [("A", "2020-01", p["entity"], p["growth"], p["deviation"], p["rank"]) for p in pts],
-        "brand_name string, year_month string, entity string, growth double, deviation double, rank double",
+        [("A", "2020-01", "MAT", p["entity"], p["growth"], p["deviation"], p["rank"]) for p in pts],
+        "brand_name string, year_month string, period_type string, entity string, growth double, deviation double, rank double",
     )
     got = {}
     for r in neighbours.nearest(df, 5, slots=3).orderBy("place").collect():
@@ -222,8 +257,9 @@ def test_store_writes_once(spark):
 
 def test_kept_store_is_taken_over(spark, tmp_path):
     folder = f"file://{tmp_path}/kept"
-    Store(spark, "src", folder).table("t", lambda: spark.range(3))
-    Store._written.pop(folder)  # as in a later application
+    first = Store(spark, "src", folder)
+    first.table("t", lambda: spark.range(3))
+    Store._written.pop(first.base)  # as in a later application
     later = Store(spark, "src", folder)
     assert later.table("t", lambda: spark.range(9)).count() == 3
     later.forget()
@@ -231,6 +267,16 @@ def test_kept_store_is_taken_over(spark, tmp_path):
     assert later.table("t", lambda: spark.range(1)).count() == 9
 
 
+def test_a_source_that_grows_gets_new_tables(spark, tmp_path):
+    source, folder = f"file://{tmp_path}/src", f"file://{tmp_path}/kept"
+    rows = lambda: Store(spark, source, folder).table("n", lambda: spark.read.parquet(f"{source}/orders.parquet"))
+    for t in ("lineitem", "orders", "customer", "nation", "region", "part"):
+        spark.range(3).write.parquet(f"{source}/{t}.parquet")
+    assert rows().count() == 3
+    spark.range(7).write.mode("append").parquet(f"{source}/orders.parquet")
+    assert rows().count() == 10
+
+
 def test_stream_feeds_the_catalog_once(spark, tmp_path):
     from tierwise.streaming.catalog_feed import feed_catalog
 

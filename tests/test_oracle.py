@@ -5,8 +5,9 @@ from conftest import SF_DIR
 from oracle_check import differences
 
 import __spark_entry__ as entry
+from tierwise import registry
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 ROWS_ONLY = {"cluster_change"}
 
 

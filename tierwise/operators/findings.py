@@ -327,6 +327,28 @@ def summary(rows: DataFrame) -> DataFrame:
     return counts.select("brand_name", F.inline(F.array(*fields)))
 
 
+def axes_snapshot(spec: FindingSpec) -> Column:
+    """The evidence of a classified definition as JSON: for each axis its reading, strength and severity."""
+    names = ("now", "oldest", "magnitude", "net", "coherence", "direction", "shape", "sev")
+    return F.to_json(
+        F.struct(*[F.struct(*[F.col(f"{a.name}_{n}").alias(n) for n in names]).alias(a.name) for a in spec.axes])
+    )
+
+
+def run_summary(classified: DataFrame, keys: Mapping[str, str] | None = None) -> DataFrame:
+    """Count per brand, finding key and label of any definition's rows.
+
+    With ``keys`` (key to label) absent keys count 0, in their order; without, the keys that occur.
+    """
+    rows = classified.groupBy("brand_name", "finding_key", "finding_label").agg(F.count(F.lit(1)).alias("entities"))
+    if keys is None:
+        return rows
+    wanted = F.array(*[F.struct(F.lit(k).alias("finding_key"), F.lit(v).alias("finding_label")) for k, v in keys.items()])
+    every = classified.select("brand_name").distinct().select("brand_name", F.inline(wanted))
+    counted = rows.select("brand_name", "finding_key", "entities")
+    return every.join(counted, ["brand_name", "finding_key"], "left").fillna(0, ["entities"])
+
+
 def snapshot() -> Column:
     """The evidence of a finding as JSON: both series, oldest first, and their strengths."""
 

@@ -18,9 +18,10 @@ from tierwise.specs import PERIODS
 SERIES = ["franchise", "region_name"]
 PLACE = ("franchise", "region_name", "territory_name")
 STABLE_BAND = 1.0  # our default: growth within +-1 point counts as stable or flat
-MATCH = 0.2  # our default: a rise within 20 percent of the lost volume compensates it
+MATCH = 0.2  # our default: a summed rise within 20 percent of the lost volume compensates it
 
-# Our names for the pie x slice cells: (market direction, share direction) -> archetype.
+# Documented archetypes of the pie x slice cells, (market direction, share direction) -> name; cells that the
+# document leaves open have our names.
 ARCHETYPES = {
     ("expanding", "gaining"): "outgrowing",
     ("expanding", "holding"): "riding_the_tide",
@@ -43,9 +44,13 @@ def market_rows(monthly: DataFrame, periods: Sequence[str] = PERIODS) -> DataFra
     base = (
         monthly.repartition(*SERIES)
         .groupBy("year_month", *PLACE)
-        .agg(F.sum("own_s").cast("decimal(28,4)").alias("own_s"), F.max("tot_s").alias("tot_s"))
+        .agg(
+            F.sum("own_s").cast("decimal(28,4)").alias("own_s"),
+            F.max("tot_s").alias("tot_s"),
+            F.max("tot_u").alias("tot_u"),
+        )
     )
-    return period_rows(base, SERIES, ["own_s", "tot_s"], periods, PLACE)
+    return period_rows(base, SERIES, ["own_s", "tot_s", "tot_u"], periods, PLACE)
 
 
 def market_signals(rows: DataFrame) -> DataFrame:
@@ -130,43 +135,27 @@ def attribution(signals: DataFrame, segments: DataFrame, band: float = STABLE_BA
 
 
 def displacement(rows: DataFrame, match: float = MATCH) -> DataFrame:
-    """Regions whose market fell, with the region whose rise is nearest to the lost volume.
+    """Regions whose market fell, and whether the franchise rose by about as many units elsewhere in the same period.
 
-    Falls and rises of a franchise month are put in one order by volume; the nearest rise on
-    either side is the last one before and the first one after. No pair of regions is formed, and a
-    group holds one row per region of the dense grid.
+    The lost units are compared with the summed rise of the other regions, as documented; the region that rose most is named
+    as the leading destination. A group holds one row per region of the dense grid.
     """
-    delta = F.col("tot_s") - F.col("tot_s_py")
     group = ["year_month", "period_type", "franchise"]
-    moved = (
-        rows.withColumn("delta", delta.cast("decimal(28,4)"))
-        .filter(F.col("delta").isNotNull() & (F.col("delta") != 0))
-        .withColumn("volume", F.abs("delta"))
-    )
-    rise = F.when(F.col("delta") > 0, F.struct("volume", "region_name"))
-    order = W.partitionBy(*group).orderBy("volume", "region_name")
+    delta = (F.col("tot_u") - F.col("tot_u_py")).cast("decimal(28,4)")
+    moved = rows.withColumn("delta", delta).filter(F.col("delta").isNotNull() & (F.col("delta") != 0))
     everyone = W.partitionBy(*group)
-    found = moved.withColumns(
-        {
-            "_below": F.last(rise, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)),
-            "_above": F.first(rise, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)),
-            "risen": F.sum(F.when(F.col("delta") > 0, F.col("delta"))).over(everyone),
-        }
-    ).filter(F.col("delta") < 0)
-    below = F.col("volume") - F.col("_below.volume")
-    above = F.col("_above.volume") - F.col("volume")
-    nearest = F.when(
-        F.col("_below").isNotNull() & (F.col("_above").isNull() | (below <= above)), F.col("_below")
-    ).otherwise(F.col("_above"))
-    gap = F.abs(F.col("volume") - F.col("nearest.volume")).cast("double")
-    lost = F.col("volume").cast("double")
-    hit = F.coalesce(gap <= F.lit(match) * lost, F.lit(False))
-    return found.withColumn("nearest", nearest).select(
+    rise = F.when(F.col("delta") > 0, F.col("delta"))
+    top = F.when(F.col("delta") > 0, F.struct("delta", "region_name"))
+    found = moved.withColumns({"risen": F.sum(rise).over(everyone), "top": F.max(top).over(everyone)}).filter(F.col("delta") < 0)
+    lost = (-F.col("delta")).cast("double")
+    risen = F.coalesce(F.col("risen").cast("double"), F.lit(0.0))
+    hit = F.abs(lost - risen) <= F.lit(match) * lost
+    return found.select(
         *group,
         "region_name",
         lost.alias("lost"),
-        F.coalesce(F.col("risen").cast("double"), F.lit(0.0)).alias("risen_elsewhere"),
-        F.when(hit, F.col("nearest.region_name")).alias("destination_region"),
-        F.when(hit, F.col("nearest.volume").cast("double")).alias("destination_rise"),
+        risen.alias("risen_elsewhere"),
+        F.when(hit, F.col("top.region_name")).alias("destination_region"),
+        F.when(hit, F.col("top.delta").cast("double")).alias("destination_rise"),
         F.when(hit, "displaced_volume").otherwise("true_demand_loss").alias("diagnosis"),
     )

@@ -8,14 +8,14 @@ from pyspark.sql import Window as W
 
 from tierwise.functions.numeric import rnd
 
-GROUP = ["brand_name", "year_month"]
+GROUP = ["brand_name", "year_month", "period_type"]
 
 # Our defaults: what counts as one unit of distance, and as deviating, per compared metric.
 SCALES = {"growth": 10.0, "deviation": 1.0, "rank": 25.0}
 OFF = 1.0
 NEIGHBOURS = 5
 SLOTS = 5
-CELLS_PER_UNIT = 8
+CELL = 64  # points of a cell
 
 
 def features(metrics: DataFrame, entity: str = "region_name") -> DataFrame:
@@ -41,9 +41,21 @@ def _distance(a: str, b: str) -> Column:
     return rnd(total, 9)
 
 
-def _cell(x: Column) -> Column:
-    """Cell number of a coordinate: fine near 0, wide far out, so a far reach spans few cells."""
-    return F.floor(F.asinh(x) * CELLS_PER_UNIT)
+def _cells(points: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points cut by count, not by width: strips in the order of growth, and in each strip cells of at most CELL points in
+    the order of deviation. Also the bounds of strips and cells. Dense places get small cells."""
+    n = F.count(F.lit(1)).over(W.partitionBy(*GROUP))
+    by_growth = F.row_number().over(W.partitionBy(*GROUP).orderBy("growth", "entity"))
+    size = F.ceil(F.sqrt(n * CELL))  # points of a strip: as many cells as there are strips
+    points = points.withColumn("_strip", F.floor((by_growth - 1) / size))
+    by_deviation = F.row_number().over(W.partitionBy(*GROUP, "_strip").orderBy("deviation", "entity"))
+    points = points.withColumn("_cell", F.floor((by_deviation - 1) / CELL))
+
+    def bounds(columns) -> list[Column]:
+        return [f(c).alias(f"{c}_{name}") for c in columns for f, name in ((F.min, "low"), (F.max, "high"))]
+
+    strips = points.groupBy(*GROUP, "_strip").agg(*bounds(["growth"]))
+    return points, strips, points.groupBy(*GROUP, "_strip", "_cell").agg(*bounds(SCALES))
 
 
 def nearest(points: DataFrame, k: int = NEIGHBOURS, slots: int = SLOTS) -> DataFrame:
@@ -51,7 +63,7 @@ def nearest(points: DataFrame, k: int = NEIGHBOURS, slots: int = SLOTS) -> DataF
 
     Each point is first compared with a few places on either side in the order of every coordinate.
     The k-th distance found there bounds the true one, so every nearer peer lies in a box of that
-    half-width around the point; a join on the cells of two coordinates finds them all. Of points at
+    half-width around the point; the cells that the box meets hold them all, and cells have few points each. Of points at
     one and the same place only the first k + 1 names can be among anyone's nearest, so a pile of
     equal points does not multiply. Nothing is capped: the box always holds the k nearest.
     """
@@ -77,18 +89,23 @@ def nearest(points: DataFrame, k: int = NEIGHBOURS, slots: int = SLOTS) -> DataF
         "reach", F.sqrt(F.coalesce(F.get("near", F.lit(k - 1)), F.array_max("near"))) + 1e-4
     )
 
-    def span(c: str) -> Column:
-        return F.explode(F.sequence(_cell(F.col(c) - F.col("reach")), _cell(F.col(c) + F.col("reach"))))
-
-    probes = probes.withColumn("_g", span("growth")).withColumn("_d", span("deviation"))
-    probes = probes.select(*GROUP, "me", "_g", "_d")
+    probes = probes.select(*GROUP, "me", "reach")
     pile = W.partitionBy(*GROUP, *SCALES).orderBy("entity")
-    peers = (
-        points.withColumn("_n", F.row_number().over(pile))
-        .filter(F.col("_n") <= k + 1)
-        .select(*GROUP, xyz.alias("peer"), _cell(F.col("growth")).alias("_g"), _cell(F.col("deviation")).alias("_d"))
-    )
-    pairs = probes.join(peers, [*GROUP, "_g", "_d"]).filter(F.col("me.entity") != F.col("peer.entity"))
+    peers = points.withColumn("_n", F.row_number().over(pile)).filter(F.col("_n") <= k + 1).drop("_n")
+    celled, strips, cells = _cells(peers)
+
+    def meets(c: str) -> Column:
+        x, reach = F.col(f"me.{c}"), F.col("reach")
+        return (F.col(f"{c}_low") <= x + reach) & (F.col(f"{c}_high") >= x - reach)
+
+    reached = probes.join(strips, GROUP).filter(meets("growth")).drop("growth_low", "growth_high")
+    reached = reached.join(cells, [*GROUP, "_strip"]).filter(meets("growth") & meets("deviation") & meets("rank"))
+    peer = celled.select(*GROUP, "_strip", "_cell", xyz.alias("peer"))
+    pairs = reached.select(*GROUP, "me", "reach", "_strip", "_cell").join(peer, [*GROUP, "_strip", "_cell"])
+    inside = F.lit(True)
+    for c in SCALES:
+        inside = inside & (F.abs(F.col(f"me.{c}") - F.col(f"peer.{c}")) <= F.col("reach"))
+    pairs = pairs.filter((F.col("me.entity") != F.col("peer.entity")) & inside)
     place = F.row_number().over(
         W.partitionBy(*GROUP, "me").orderBy("d2", F.col("peer.entity"))
     )
@@ -117,23 +134,19 @@ def outliers(points: DataFrame, k: int = NEIGHBOURS, off: float = OFF) -> DataFr
 
 
 def cluster_change(points: DataFrame, k: int = 4, seed: int = 7) -> DataFrame:
-    """Cluster of every entity in two consecutive months under one model, and whether it changed.
+    """Cluster of every entity in each two consecutive months of a period, and whether it changed.
 
-    The model is fitted on the earlier month, so cluster numbers mean the same in both. Training is
+    One model of all months places them all, so cluster numbers mean the same in each month. Training is
     distributed; only the k centres are held by the driver.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    last = points.agg(F.max("year_month")).scalar()
     vectors = VectorAssembler(inputCols=list(SCALES), outputCol="features").transform(points)
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(vectors.filter(F.col("year_month") < last))
-    placed = model.transform(vectors).select("brand_name", "entity", "year_month", "prediction")
-    return (
-        placed.groupBy("brand_name", "entity")
-        .agg(
-            F.max(F.when(F.col("year_month") < last, F.col("prediction"))).alias("cluster_before"),
-            F.max(F.when(F.col("year_month") == last, F.col("prediction"))).alias("cluster_now"),
-        )
-        .withColumn("changed", F.col("cluster_before") != F.col("cluster_now"))
+    model = KMeans(k=k, seed=seed, maxIter=20).fit(vectors)
+    series = W.partitionBy("brand_name", "period_type", "entity").orderBy("year_month")
+    placed = model.transform(vectors).select(*GROUP, "entity", F.col("prediction").alias("cluster_now"))
+    before = placed.withColumn("cluster_before", F.lag("cluster_now").over(series))
+    return before.filter(F.col("cluster_before").isNotNull()).withColumn(
+        "changed", F.col("cluster_before") != F.col("cluster_now")
     )

@@ -94,9 +94,9 @@ def gap_status(gaps: DataFrame, table: Sequence[tuple], sizes: Sequence[tuple])
 
 
 def rule_findings(metrics: DataFrame) -> DataFrame:
-    """Three documented rules over consecutive months, for every month.
+    """Three documented rules over consecutive months, for every month and period.
 
-    Forecast missed in a row; sales rank falling by more than 10 twice; a big region more than 10
+    Forecast missed in a row, which the document fixes to the annual total; sales rank falling by more than 10 twice; a big region more than 10
     points below the brand's median growth twice.
     """
     peers = W.partitionBy(*PEERS)
@@ -123,7 +123,7 @@ def rule_findings(metrics: DataFrame) -> DataFrame:
     found = flags.withColumns(
         {
             "_r1": F.when(
-                miss & row_back(miss, 1), F.when(row_back(miss, 2), "high").otherwise("moderate")
+                (F.col("period_type") == "MAT") & miss & row_back(miss, 1), F.when(row_back(miss, 2), "high").otherwise("moderate")
             ),
             "_r2": F.when(fall & row_back(fall, 1), "high"),
             "_r3": F.when(behind & row_back(behind, 1), "critical"),
@@ -135,7 +135,7 @@ def rule_findings(metrics: DataFrame) -> DataFrame:
         "BigRegionUnderperformance": "_r3",
     }
     fields = [F.struct(F.lit(t).alias("finding_type"), F.col(c).alias("strength")) for t, c in types.items()]
-    return found.select("year_month", "brand_name", "region_name", F.inline(F.array(*fields))).filter(
+    return found.select("year_month", "period_type", "brand_name", "region_name", F.inline(F.array(*fields))).filter(
         F.col("strength").isNotNull()
     )
 

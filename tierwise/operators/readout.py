@@ -33,15 +33,21 @@ def period_months(months: DataFrame, asof: str | None = None) -> DataFrame:
     )
 
 
-def plan_attainment(territory_rows: DataFrame, brand_forecast: DataFrame, asof: str | None = None) -> DataFrame:
-    """Actual over forecast per brand and period; left out where a month has no forecast."""
+def plan_attainment(
+    territory_rows: DataFrame, brand_forecast: DataFrame, asof: str | None = None, calendar: DataFrame | None = None
+) -> DataFrame:
+    """Actual over forecast per brand and period; left out where a month has no forecast.
+
+    ``calendar`` holds the months of the data; without it they are taken from the rows.
+    """
+    calendar = territory_rows if calendar is None else calendar
     actual = (
-        territory_rows.filter(F.col("year_month") == _asof(territory_rows, asof))
+        territory_rows.filter(F.col("year_month") == _asof(calendar, asof))
         .groupBy("brand_name", "period_type")
         .agg(F.sum("sales_eur").cast("decimal(28,4)").alias("actual"))
         .filter(F.col("actual").isNotNull())
     )
-    months = period_months(territory_rows, asof)
+    months = period_months(calendar, asof)
     plan = brand_forecast.select("brand_name", "year_month", F.col("sales_eur").alias("fcst"))
     level = (
         actual.join(months, "period_type")
@@ -126,17 +132,24 @@ def table_page(
     limit: int = 100,
     offset: int = 0,
 ) -> DataFrame:
-    """A page of the filtered rows in key order, with the total count on every row."""
+    """A page of the filtered rows in key order, with the total count on every row.
+
+    A limit above MAX_PAGE is refused.
+    """
+    if limit > MAX_PAGE:
+        raise ValueError(f"a page has {MAX_PAGE} rows at most; asked for {limit}")
     conditions = [Condition(c, "=", v) for c, v in (equals or {}).items()]
     rows = filtered(table, conditions)
     total = rows.agg(F.count(F.lit(1))).scalar()
-    page = rows.orderBy(*key).offset(offset).limit(min(limit, MAX_PAGE))
+    page = rows.orderBy(*key).offset(offset).limit(limit)
     return page.withColumn("total", total)
 
 
-def meta_profile(metrics: DataFrame) -> DataFrame:
-    """Every brand with its franchise, the period types and the latest month of the table."""
-    return metrics.groupBy("brand_name", "franchise").agg(
-        F.concat_ws(",", F.array_sort(F.collect_set("period_type"))).alias("periods"),
-        F.max("year_month").alias("latest_ym"),
+def meta_profile(monthly: DataFrame) -> DataFrame:
+    """Every brand with its franchise, the period types and the latest month, from the dense monthly frame.
+
+    Every month and brand of that frame has a row in each period, so no period window is needed.
+    """
+    return monthly.groupBy("brand_name", "franchise").agg(F.max("year_month").alias("latest_ym")).select(
+        "brand_name", "franchise", F.lit(",".join(sorted(PERIODS))).alias("periods"), "latest_ym"
     )

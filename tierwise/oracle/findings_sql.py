@@ -126,6 +126,57 @@ it AS (
     )
 
 
+def as_json(fields: list[tuple[str, str, bool]]) -> str:
+    """A JSON object as text from (name, SQL value, quoted)."""
+    parts = [
+        f"""'"{n}":"' || {v} || '"'""" if quoted else f"""'"{n}":' || {v}""" for n, v, quoted in fields
+    ]
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+def number(x: str) -> str:
+    return f"CAST(({x})::DOUBLE AS VARCHAR)"
+
+
+def report_evidence() -> str:
+    fields = []
+    for p, name in (("ms", "ms"), ("gr", "growth")):
+        series = " || ',' || ".join(number(r(f"{p}{k}", 2)) for k in (3, 2, 1, 0))
+        fields.append((f"{name}_series", f"'[' || {series} || ']'", False))
+        scores = [(n, number(f"{name}_{n}"), False) for n in ("magnitude", "net", "coherence")]
+        scores += [("direction", f"{name}_direction", True), ("signed_strength", number(f"{name}_signed_strength"), False)]
+        fields.append((f"{name}_strength", as_json([*scores, ("shape", f"{name}_shape", True)]), False))
+    return as_json(fields)
+
+
+def axes_evidence(names: dict[str, str]) -> str:
+    """names: output name -> prefix of its columns."""
+    fields = []
+    for name, p in names.items():
+        one = [("now", number(f"{p}_v0"), False), ("oldest", number(f"{p}_v3"), False)]
+        one += [(n, number(f"{p}_{n}"), False) for n in ("magnitude", "net", "coherence")]
+        one += [("direction", f"{p}_direction", True), ("shape", f"{p}_shape", True), ("sev", f"CAST({p}_sev AS VARCHAR)", False)]
+        fields.append((name, as_json(one), False))
+    return as_json(fields)
+
+
+PROMOTED = {"a": ("mshare_deviation", "position", 1.0), "b": ("growth_py_sales", "growth", 10.0)}
+OCTANT_KEY = "share_side || '_' || growth_side || '_' || sales_side"
+
+
+def stored() -> str:
+    """A query of the rows of all three definitions in one catalog."""
+    cols = "year_month, brand_name, region_name"
+    axes = {"share": "share", "growth": "growth", "sales": "sales"}
+    promoted = {"mshare_deviation_mat": "a", "growth_py_sales_mat": "b"}
+    return f"""(SELECT * FROM ({report()} SELECT 'fnd_share_growth' AS finding_def_id, {cols}, finding_key, severity_score,
+  {report_evidence()} AS axes_snapshot FROM fd WHERE whole)
+UNION ALL SELECT * FROM ({REGION}{classified(["share", "growth", "sales"])} SELECT 'share_growth_sales', {cols},
+  {OCTANT_KEY}, severity_score, {axes_evidence(axes)} FROM cf)
+UNION ALL SELECT * FROM ({REGION}{classified(["a", "b"], PROMOTED)} SELECT 'promoted', {cols}, a_side || '_' || b_side,
+  severity_score, {axes_evidence(promoted)} FROM cf))"""
+
+
 def headline() -> str:
     return f"""{r('sales_eur::DOUBLE', 0)} AS mat_sales, {r('units::DOUBLE', 0)} AS units,
   {r('growth_py_sales', 1)} AS growth_py, {r('growth_pp_sales', 1)} AS growth_pp,
@@ -165,7 +216,6 @@ FROM plan WHERE have = want AND fcst <> 0"""
 
 def sql() -> dict[str, str]:
     all_grains = upto(("region", "territory", "national"))
-    last_two = "(SELECT DISTINCT year_month FROM region_metrics ORDER BY 1 DESC LIMIT 2)"
     fcols = (
         "year_month, brand_name, region_name, territory_name, finding_key, finding_label, severity_score, "
         f"severity_band, ms_now, ms_sev, growth_now, growth_sev, {r('market_share', 1)} AS market_share, mat_rank, "
@@ -175,10 +225,6 @@ def sql() -> dict[str, str]:
     ter = upto(("territory",), ("MAT",))
     nat_asof = ASOF.replace("region_metrics", "national_metrics")
     ter_asof = ASOF.replace("region_metrics", "territory_metrics")
-    promoted = {
-        "a": ("mshare_deviation", "position", 1.0),
-        "b": ("growth_py_sales", "growth", 10.0),
-    }
     return {
         "write_metrics": all_grains
         + " UNION ALL ".join(
@@ -211,7 +257,7 @@ SELECT brand_name, entity, territory_name, finding_key, {RULE_LABEL} AS finding_
   'share: ' || share_side || ', growth: ' || growth_side || ', sales: ' || sales_side AS finding_label,
   severity_score, severity_band, mat_rank, share_sev, growth_sev, sales_sev FROM cf""",
         "promoted_findings": REGION
-        + classified(["a", "b"], promoted)
+        + classified(["a", "b"], PROMOTED)
         + "SELECT brand_name, entity, a_side || '_' || b_side AS finding_key, severity_score, severity_band FROM cf",
         "quadrant_findings": report()
         + f"""SELECT brand_name, region_name, finding_key, finding_label, ms_sev, growth_sev, severity_score,
@@ -230,15 +276,24 @@ LEFT JOIN now n ON n.brand_name = b.brand_name AND n.finding_key = k.finding_key
         + """SELECT brand_name, region_name, territory_name, mat_rank FROM fd a WHERE improved AND NOT EXISTS (
   SELECT 1 FROM fd b WHERE b.whole AND b.brand_name = a.brand_name AND b.region_name = a.region_name
     AND b.year_month = a.year_month)""",
+        "run_summary": f"""SELECT * FROM ({report()}, keys(finding_key) AS (VALUES ('losing_both'), ('slipping'),
+  ('catching_up'), ('star')), now AS (SELECT * FROM fd WHERE whole AND year_month = {ASOF})
+SELECT 'quadrants' AS definition, b.brand_name, k.finding_key, {LABEL.format(k='k.finding_key')} AS finding_label,
+  count(n.region_name) AS entities FROM (SELECT DISTINCT brand_name FROM now) b CROSS JOIN keys k
+LEFT JOIN now n ON n.brand_name = b.brand_name AND n.finding_key = k.finding_key GROUP BY ALL)
+UNION ALL SELECT * FROM ({REGION}{classified(["share", "growth", "sales"])} SELECT 'octants', brand_name, {OCTANT_KEY},
+  'share: ' || share_side || ', growth: ' || growth_side || ', sales: ' || sales_side, count(*) FROM cf GROUP BY ALL)""",
+        "catalog_generic": f"""SELECT finding_def_id, brand_name, finding_key, count(*) AS entities,
+  sum(severity_score)::BIGINT AS score, max(year_month) AS last_month FROM {stored()} GROUP BY ALL""",
+        "finding_provenance": f"SELECT finding_def_id, year_month, brand_name, region_name, axes_snapshot FROM {stored()}",
         "catalog_append": report()
-        + f""", c AS (SELECT count(*) FILTER (year_month < {ASOF}) AS a, count(*) AS b FROM fd
-  WHERE whole AND year_month IN {last_two})
-SELECT 'month_before' AS run, a AS inserted, 0::BIGINT AS skipped, a AS total_rows FROM c
-UNION ALL SELECT 'both_months', b - a, a, b FROM c UNION ALL SELECT 'again', 0::BIGINT, b, b FROM c""",
+        + f""", c AS (SELECT count(*) FILTER (year_month < {ASOF}) AS a, count(*) AS b FROM fd WHERE whole)
+SELECT 'months_before' AS run, a AS inserted, a AS skipped, a AS total_rows FROM c
+UNION ALL SELECT 'all_months', b - a, b + a, b FROM c UNION ALL SELECT 'again', 0::BIGINT, 2 * b, b FROM c""",
         "catalog_upsert": report()
         + f"""SELECT year_month, brand_name, count(*) AS entities,
   sum(CASE WHEN year_month = {ASOF} THEN severity_score ELSE -1 END)::BIGINT AS score
-FROM fd WHERE whole AND year_month IN {last_two} GROUP BY ALL""",
+FROM fd WHERE whole GROUP BY ALL""",
         "catalog_stats": report()
         + "SELECT count(*) AS total_rows, count(DISTINCT (brand_name, year_month)) AS periods FROM fd WHERE whole",
         "finding_history": report()

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from tierwise.oracle.signals_sql import REGION, RKEY
-from tierwise.oracle.stages import LINES, PERIODS, RANKS, _period_select, growth, r, share, with_stages
+from tierwise.oracle.signals_sql import RKEY
+from tierwise.oracle.stages import LINES, PERIODS, RANKS, _period_select, growth, r, share, upto, with_stages
 
 
 def market(periods=PERIODS) -> str:
     ids = "franchise, region_name, territory_name"
     keys = "franchise, region_name"
-    stacked = " UNION ALL ".join(_period_select("mb", keys, ["own_s", "tot_s"], ids, p) for p in periods)
+    stacked = " UNION ALL ".join(_period_select("mb", keys, ["own_s", "tot_s", "tot_u"], ids, p) for p in periods)
     w = f"(PARTITION BY {keys}, period_type ORDER BY year_month)"
     return with_stages(
         LINES,
         f"""
-mb AS (SELECT d.year_month, d.franchise, d.region_name, d.territory_name, sum(own_s) AS own_s, any_value(tot_s) AS tot_s
-  FROM dense d GROUP BY ALL),
+mb AS (SELECT d.year_month, d.franchise, d.region_name, d.territory_name, sum(own_s) AS own_s, any_value(tot_s) AS tot_s,
+    any_value(tot_u) AS tot_u FROM dense d GROUP BY ALL),
 mp AS ({stacked}),
-ml AS (SELECT *, lag(own_s, 12) OVER {w} AS own_py, lag(tot_s, 12) OVER {w} AS tot_py FROM mp),
+ml AS (SELECT *, lag(own_s, 12) OVER {w} AS own_py, lag(tot_s, 12) OVER {w} AS tot_py,
+    lag(tot_u, 12) OVER {w} AS tot_u_py FROM mp),
 mn AS (SELECT year_month, period_type, franchise, sum(tot_s) AS n, sum(tot_py) AS n_py FROM ml GROUP BY ALL),
 mg AS (SELECT ml.*, {growth("own_s", "own_py")} AS own_growth, {growth("tot_s", "tot_py")} AS market_growth,
     {growth("tot_s - own_s", "tot_py - own_py")} AS competitor_growth, {r(share("own_s", "tot_s"), 2)} AS market_share,
@@ -30,10 +31,9 @@ ms AS (SELECT *, {r("own_growth - market_growth", 2)} AS share_momentum,
 
 def rivals() -> str:
     keys = "brand_name, region_name"
-    w = f"(PARTITION BY {keys} ORDER BY year_month)"
-    stacked = _period_select(
-        "rb", keys, ["own_s", "tot_s"], "brand_name, franchise, region_name, territory_name", "MAT"
-    )
+    w = f"(PARTITION BY {keys}, period_type ORDER BY year_month)"
+    ids = "brand_name, franchise, region_name, territory_name"
+    stacked = " UNION ALL ".join(_period_select("rb", keys, ["own_s", "tot_s"], ids, p) for p in PERIODS)
     return f""",
 rgrid AS (SELECT m.year_month, b.brand_name, b.franchise, g.region_name, g.territory_name
   FROM (SELECT DISTINCT year_month FROM sales WHERE is_own_brand = 1) m,
@@ -47,11 +47,11 @@ rl AS (SELECT *, lag(own_s, 12) OVER {w} AS own_py FROM rp)
 
 
 def gaps(name: str, metric: str) -> str:
-    w = f"(PARTITION BY {RKEY} ORDER BY year_month)"
+    w = f"(PARTITION BY {RKEY}, period_type ORDER BY year_month)"
     return f"""
 {name}0 AS (SELECT m.*, {r("med", 6)} AS pm FROM region_metrics m
-  JOIN (SELECT year_month, brand_name, median({metric}) AS med FROM region_metrics GROUP BY ALL)
-  USING (year_month, brand_name)),
+  JOIN (SELECT year_month, brand_name, period_type, median({metric}) AS med FROM region_metrics GROUP BY ALL)
+  USING (year_month, brand_name, period_type)),
 {name}1 AS (SELECT year_month, period_type, brand_name, region_name, {metric} AS value, {r("pm", 2)} AS peer_median,
   {r(f"{metric} - pm", 2)} AS gap FROM {name}0),
 {name}2 AS (SELECT *, lag(gap) OVER {w} AS previous_gap, {r(f"gap - lag(gap) OVER {w}", 2)} AS momentum FROM {name}1),
@@ -106,25 +106,25 @@ def _knn() -> str:
     off = " + ".join(f"CASE WHEN abs({c} - m{c}) > 1 THEN 1 ELSE 0 END" for c in "gdk")
     med = ", ".join(f"{r(f'median(b{c})', 6)} AS m{c}" for c in "gdk")
     return (
-        REGION
-        + f""", pt AS (SELECT brand_name, year_month, region_name AS entity, growth_py_sales / 10.0::DOUBLE AS g,
+        upto()
+        + f""", pt AS (SELECT brand_name, year_month, period_type, region_name AS entity, growth_py_sales / 10.0::DOUBLE AS g,
     mshare_deviation / 1.0::DOUBLE AS d, rank_sales_eur / 25.0::DOUBLE AS k FROM region_metrics
   WHERE growth_py_sales IS NOT NULL AND mshare_deviation IS NOT NULL AND rank_sales_eur IS NOT NULL),
 pr AS (SELECT a.*, b.g AS bg, b.d AS bd, b.k AS bk, {r(d, 9)} AS d2, b.entity AS peer
-  FROM pt a JOIN pt b USING (brand_name, year_month) WHERE a.entity <> b.entity),
+  FROM pt a JOIN pt b USING (brand_name, year_month, period_type) WHERE a.entity <> b.entity),
 nn AS (SELECT * FROM pr
-  QUALIFY row_number() OVER (PARTITION BY brand_name, year_month, entity ORDER BY d2, peer) <= 5),
-ag AS (SELECT brand_name, year_month, entity, g, d, k, {med}, sum(d2) AS s, count(*) AS neighbours FROM nn GROUP BY ALL)
-SELECT brand_name, year_month, entity, neighbours, {r(f"sqrt({r('s', 6)} / neighbours)", 4)} AS distance,
+  QUALIFY row_number() OVER (PARTITION BY brand_name, year_month, period_type, entity ORDER BY d2, peer) <= 5),
+ag AS (SELECT brand_name, year_month, period_type, entity, g, d, k, {med}, sum(d2) AS s, count(*) AS neighbours FROM nn GROUP BY ALL)
+SELECT brand_name, year_month, period_type, entity, neighbours, {r(f"sqrt({r('s', 6)} / neighbours)", 4)} AS distance,
   ({off}) AS metrics_off, ({off}) >= 2 AS outlier FROM ag"""
     )
 
 
 def sql() -> dict[str, str]:
     all_ = market()
-    mat = market(("MAT",))
-    peers = "(PARTITION BY year_month, brand_name)"
-    w = f"(PARTITION BY {RKEY} ORDER BY year_month)"
+    regions = upto()
+    peers = "(PARTITION BY year_month, brand_name, period_type)"
+    w = f"(PARTITION BY {RKEY}, period_type ORDER BY year_month)"
     return {
         "market_growth": all_ + f"SELECT {KEY}, own_growth, market_growth FROM ms",
         "share_momentum": all_ + f"SELECT {KEY}, market_share, share_momentum FROM ms",
@@ -135,7 +135,7 @@ def sql() -> dict[str, str]:
         + f"""SELECT year_month, period_type, franchise, region_name, territory_name, brand_name AS competitor,
   own_s::DOUBLE AS sales_eur, {r(share("own_s", "tot_s"), 2)} AS competitor_share,
   {growth("own_s", "own_py")} AS competitor_growth FROM rl""",
-        "market_matrix": mat
+        "market_matrix": all_
         + f""", mx AS (SELECT *, CASE WHEN market_growth > 1 THEN 'expanding' WHEN market_growth < -1 THEN 'contracting'
     WHEN market_growth IS NOT NULL THEN 'stable' END AS pie,
   CASE WHEN share_momentum > 1 THEN 'gaining' WHEN share_momentum < -1 THEN 'losing'
@@ -146,58 +146,64 @@ SELECT {KEY}, market_growth, share_momentum, pie, slice, CASE pie || '/' || slic
   WHEN 'stable/holding' THEN 'dormant' WHEN 'stable/losing' THEN 'losing_share'
   WHEN 'contracting/gaining' THEN 'counter_cyclical' WHEN 'contracting/holding' THEN 'sinking_with_market'
   WHEN 'contracting/losing' THEN 'double_hit' END AS archetype FROM mx""",
-        "attribution": mat
+        "attribution": all_
         + rivals()
-        + f""", top AS (SELECT year_month, franchise, region_name, brand_name, own_s - own_py AS change FROM rl
-  WHERE own_py IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY year_month, franchise, region_name
+        + f""", top AS (SELECT year_month, period_type, franchise, region_name, brand_name, own_s - own_py AS change FROM rl
+  WHERE own_s - own_py IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY year_month, period_type, franchise, region_name
     ORDER BY own_s - own_py DESC, brand_name DESC) = 1)
 SELECT {KEY}, territory_name, (own_py - own_s)::DOUBLE AS lost, own_growth, competitor_growth,
   CASE WHEN competitor_growth > 1 THEN 'competitive_takeover' WHEN competitor_growth < -1 THEN 'market_contraction'
     WHEN competitor_growth IS NOT NULL THEN 'outflow_or_demand_loss' END AS verdict,
   t.brand_name AS top_competitor, t.change::DOUBLE AS top_change
-FROM ms LEFT JOIN top t USING (year_month, franchise, region_name) WHERE own_s < own_py""",
-        "displacement": mat
-        + f""", mv AS (SELECT {KEY}, tot_s - tot_py AS delta, abs(tot_s - tot_py) AS volume FROM ml
-  WHERE tot_s - tot_py <> 0),
-cand AS (SELECT a.*, b.region_name AS dest, b.volume AS rise,
-    row_number() OVER (PARTITION BY a.year_month, a.franchise, a.region_name
-      ORDER BY abs(b.volume - a.volume), b.volume, b.region_name) AS k,
-    sum(b.volume) OVER (PARTITION BY a.year_month, a.franchise, a.region_name) AS risen
-  FROM mv a LEFT JOIN mv b ON b.year_month = a.year_month AND b.franchise = a.franchise AND b.delta > 0
-  WHERE a.delta < 0),
-hit AS (SELECT *, coalesce(abs(volume - rise)::DOUBLE <= 0.2::DOUBLE * volume::DOUBLE, false) AS hit FROM cand WHERE k = 1)
-SELECT {KEY}, volume::DOUBLE AS lost, coalesce(risen::DOUBLE, 0.0::DOUBLE) AS risen_elsewhere,
-  CASE WHEN hit THEN dest END AS destination_region, CASE WHEN hit THEN rise::DOUBLE END AS destination_rise,
+FROM ms LEFT JOIN top t USING (year_month, period_type, franchise, region_name) WHERE own_s < own_py""",
+        "displacement": all_
+        + f""", mv AS (SELECT {KEY}, (tot_u - tot_u_py)::DOUBLE AS delta FROM ml WHERE tot_u - tot_u_py <> 0),
+up AS (SELECT year_month, period_type, franchise, sum(delta) AS risen FROM mv WHERE delta > 0 GROUP BY ALL),
+best AS (SELECT * FROM mv WHERE delta > 0 QUALIFY row_number() OVER (
+  PARTITION BY year_month, period_type, franchise ORDER BY delta DESC, region_name DESC) = 1),
+hit AS (SELECT a.*, coalesce(u.risen, 0.0::DOUBLE) AS r, b.region_name AS dest, b.delta AS rise,
+    abs(-a.delta - coalesce(u.risen, 0.0::DOUBLE)) <= 0.2::DOUBLE * -a.delta AS hit
+  FROM mv a LEFT JOIN up u USING (year_month, period_type, franchise)
+  LEFT JOIN best b ON b.year_month = a.year_month AND b.period_type = a.period_type AND b.franchise = a.franchise
+  WHERE a.delta < 0)
+SELECT {KEY}, -delta AS lost, r AS risen_elsewhere, CASE WHEN hit THEN dest END AS destination_region,
+  CASE WHEN hit THEN rise END AS destination_rise,
   CASE WHEN hit THEN 'displaced_volume' ELSE 'true_demand_loss' END AS diagnosis FROM hit""",
-        "rule_findings": REGION
+        "rule_findings": regions
         + f""", f0 AS (SELECT *, coalesce(growth_vs_fcst_eur < 0, false) AS miss,
     coalesce(rank_sales_eur >= 80 AND growth_py_sales <
       {r(f"median(growth_py_sales) OVER {peers}", 6)} - 10, false) AS behind,
     coalesce(rank_sales_eur - lag(rank_sales_eur) OVER {w} < -10, false) AS fall FROM region_metrics),
 f1 AS (SELECT *, coalesce(lag(miss, 1) OVER {w}, false) AS miss1, coalesce(lag(miss, 2) OVER {w}, false) AS miss2,
     coalesce(lag(behind) OVER {w}, false) AS behind1, coalesce(lag(fall) OVER {w}, false) AS fall1 FROM f0)
-SELECT year_month, brand_name, region_name, 'ConsecutiveForecastMiss' AS finding_type,
-  CASE WHEN miss2 THEN 'high' ELSE 'moderate' END AS strength FROM f1 WHERE miss AND miss1
-UNION ALL SELECT year_month, brand_name, region_name, 'RapidDeteriorationTrend', 'high' FROM f1 WHERE fall AND fall1
-UNION ALL SELECT year_month, brand_name, region_name, 'BigRegionUnderperformance', 'critical' FROM f1
+SELECT year_month, period_type, brand_name, region_name, 'ConsecutiveForecastMiss' AS finding_type,
+  CASE WHEN miss2 THEN 'high' ELSE 'moderate' END AS strength FROM f1 WHERE miss AND miss1 AND period_type = 'MAT'
+UNION ALL SELECT year_month, period_type, brand_name, region_name, 'RapidDeteriorationTrend', 'high' FROM f1
+WHERE fall AND fall1
+UNION ALL SELECT year_month, period_type, brand_name, region_name, 'BigRegionUnderperformance', 'critical' FROM f1
 WHERE behind AND behind1""",
-        "peer_gap": REGION + "," + gaps("gg", "growth_py_sales") + " SELECT * FROM gg",
-        "gap_status": REGION
+        "peer_gap": regions + "," + gaps("gg", "growth_py_sales") + " SELECT * FROM gg",
+        "gap_status": regions
         + ","
         + gaps("gg", "growth_py_sales")
         + ","
         + gaps("gp", "mshare_deviation")
-        + f"""SELECT 'growth' AS kind, year_month, brand_name, region_name, gap, movement,
+        + f"""SELECT 'growth' AS kind, year_month, period_type, brand_name, region_name, gap, movement,
   CASE WHEN abs(gap) >= 15 THEN 'Exceptional' WHEN abs(gap) >= 10 THEN 'Strong' WHEN abs(gap) >= 5 THEN 'Moderate'
     WHEN gap IS NOT NULL THEN 'Weak' END AS size_class, {status(GROWTH_ROWS)} AS status FROM gg
-UNION ALL SELECT 'position', year_month, brand_name, region_name, gap, movement,
+UNION ALL SELECT 'position', year_month, period_type, brand_name, region_name, gap, movement,
   CASE WHEN abs(gap) >= 1 THEN 'Significant' WHEN abs(gap) >= 0.5 THEN 'Moderate'
     WHEN gap IS NOT NULL THEN 'Aligned' END, {status(POSITION_ROWS)} FROM gp""",
-        "metrics_tall": REGION
+        "metrics_tall": upto(("region", "territory", "national"))
         + " UNION ALL ".join(
-            f"SELECT year_month, period_type, brand_name, franchise, region_name, territory_id, territory_name, "
-            f"'{m}' AS metric_type, {m}::DOUBLE AS value, '{u}' AS unit FROM region_metrics WHERE {m} IS NOT NULL"
+            f"SELECT '{g}' AS grain, year_month, period_type, brand_name, franchise, {geo}, "
+            f"'{m}' AS metric_type, {m}::DOUBLE AS value, '{u}' AS unit FROM {g}_metrics WHERE {m} IS NOT NULL"
+            for g, geo in (
+                ("region", "region_name, territory_id, territory_name"),
+                ("territory", "NULL::VARCHAR AS region_name, territory_id, territory_name"),
+                ("national", "NULL::VARCHAR AS region_name, NULL::VARCHAR AS territory_id, NULL::VARCHAR AS territory_name"),
+            )
             for m, u in TALL.items()
         ),
         "knn_outliers": _knn(),

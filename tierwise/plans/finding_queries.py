@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 from tierwise.operators import findings as fnd
 from tierwise.operators import insights as ins
 from tierwise.operators import readout
-from tierwise.operators.catalog import Catalog, WriteReport, catalog_rows
-from tierwise.operators.signals import latest, recent
+from tierwise.operators.catalog import Catalog, WriteReport, catalog_rows, classified_rows
+from tierwise.operators.signals import latest
 from tierwise.plans.metrics import Pipeline, grain_rows
 from tierwise.sources.files import copy_table, replace_table
 from tierwise.specs import (
     GRAINS,
     LOUDNESS,
     QUADRANTS,
-    REGION,
     SIGNALS,
     TERRITORY,
     Axis,
@@ -64,6 +63,10 @@ SHARE_GROWTH = FindingSpec(
 )
 OCTANTS = FindingSpec("share_growth_sales", (SHARE, GROWTH, SALES))
 
+PROMOTED = fnd.promote(
+    [SIGNALS["mshare_deviation_mat"], SIGNALS["growth_py_sales_mat"]], "promoted", ("territory_name", "rank_sales_eur")
+)
+
 # Our default framings.
 FRAMINGS = (
     Framing(
@@ -124,13 +127,10 @@ def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(spark, store.path(f"catalogs/{uuid.uuid4().hex}"))
 
 
-def _last_two_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalog rows of the latest month and the one before, scored over enough history."""
-    metrics = _mat(spark, sf_dir)
-    scored = fnd.findings(recent(metrics, None, 6), history=True)
-    months = metrics.select("year_month").distinct().orderBy(F.desc("year_month")).limit(2)
-    first = months.agg(F.min("year_month")).scalar()
-    return catalog_rows(fnd.flagged(scored).filter(F.col("year_month") >= first))
+def _all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog rows of all months, each twice: a batch may repeat its keys."""
+    rows = catalog_rows(fnd.flagged(_found(spark, sf_dir, history=True)))
+    return rows.unionByName(rows)
 
 
 def _report(spark: SparkSession, runs: list[tuple[str, WriteReport]]) -> DataFrame:
@@ -140,17 +140,17 @@ def _report(spark: SparkSession, runs: list[tuple[str, WriteReport]]) -> DataFra
 
 def _catalog_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = _catalog(spark, sf_dir)
-    rows = _last_two_months(spark, sf_dir)
+    rows = _all_rows(spark, sf_dir)
     before = rows.filter(F.col("year_month") < latest(_mat(spark, sf_dir)))
-    runs = [("month_before", catalog.append(before))]
-    runs += [("both_months", catalog.append(rows)), ("again", catalog.append(rows))]
+    runs = [("months_before", catalog.append(before))]
+    runs += [("all_months", catalog.append(rows)), ("again", catalog.append(rows))]
     return _report(spark, runs)
 
 
 def _catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two months are stored with a wrong score, then the latest one is written again by force."""
+    """All months are stored with a wrong score, then the latest one is written again by force."""
     catalog = _catalog(spark, sf_dir)
-    rows = _last_two_months(spark, sf_dir)
+    rows = _all_rows(spark, sf_dir)
     catalog.append(rows.withColumn("severity_score", F.lit(-1)))
     catalog.upsert(rows.filter(F.col("year_month") == latest(_mat(spark, sf_dir))))
     return (
@@ -187,6 +187,34 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _generic_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Three definitions in one catalog: the report, the octants and a promoted composite."""
+    catalog = _full_catalog(spark, sf_dir)
+    for spec in (OCTANTS, PROMOTED):
+        catalog.append(classified_rows(fnd.classify_findings(_mat(spark, sf_dir), spec), spec))
+    return catalog
+
+
+def _catalog_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _generic_catalog(spark, sf_dir).read()
+    return rows.groupBy("finding_def_id", "brand_name", "finding_key").agg(
+        F.count(F.lit(1)).alias("entities"), F.sum("severity_score").alias("score"), F.max("year_month").alias("last_month")
+    )
+
+
+def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored evidence of every finding, as text."""
+    rows = _generic_catalog(spark, sf_dir).read()
+    return rows.select("finding_def_id", "year_month", "brand_name", "region_name", "axes_snapshot")
+
+
+def _run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two definitions: the given keys of the quadrants, and the octants that occur."""
+    quadrants = fnd.run_summary(fnd.flagged(_found(spark, sf_dir)), QUADRANTS).withColumn("definition", F.lit("quadrants"))
+    octants = fnd.run_summary(fnd.classify_findings(_mat(spark, sf_dir), OCTANTS)).withColumn("definition", F.lit("octants"))
+    return quadrants.unionByName(octants)
+
+
 def write_all_metrics(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Rewrite the three metric tables, partitioned by period; returns their paths."""
     pipe = Pipeline(spark, sf_dir)
@@ -234,7 +262,7 @@ def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand = table.agg(F.min("brand_name")).scalar()
     rows = table.filter(F.col("brand_name") == brand)
     page = readout.table_page(
-        rows, ["year_month", "region_name"], {"period_type": "MAT", "territory_id": "0"}, limit=1000, offset=50
+        rows, ["year_month", "region_name"], {"period_type": "MAT", "territory_id": "0"}, limit=readout.MAX_PAGE, offset=50
     )
     return page.select(
         "year_month", "brand_name", "region_name", "units", F.col("sales_eur").cast("double").alias("sales_eur"),
@@ -250,8 +278,8 @@ def _covered_attainment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plan attainment up to the last month that has a forecast for some brand."""
     pipe = Pipeline(spark, sf_dir)
     last = pipe.brand_forecast().agg(F.max("year_month")).scalar()
-    rows = _territory_rows(pipe).filter(F.col("year_month") <= last)
-    return readout.plan_attainment(rows, pipe.brand_forecast())
+    months = pipe.monthly().select("year_month").distinct().filter(F.col("year_month") <= last)
+    return readout.plan_attainment(_territory_rows(pipe), pipe.brand_forecast(), calendar=months)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -261,7 +289,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "write_metrics": _write_metrics,
         "copy_report": _copy_report,
         "table_page": _page,
-        "meta_profile": lambda s, d: readout.meta_profile(grain_rows(Pipeline(s, d).monthly(), REGION)),
+        "meta_profile": lambda s, d: readout.meta_profile(Pipeline(s, d).monthly()),
         "classify_findings": lambda s, d: _classified(s, d, SHARE_GROWTH).select(
             *keys, *sev, "share_sev", "growth_sev", "share_now", "growth_now", "share_net", "growth_net"
         ),
@@ -286,13 +314,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "find_findings": lambda s, d: fnd.worst_first(fnd.flagged(_found(s, d)).select(*fnd.FINDING_COLUMNS)),
         "finding_summary": lambda s, d: fnd.summary(fnd.flagged(_found(s, d))),
         "recovered_entities": lambda s, d: fnd.recovered(_found(s, d, history=True)),
+        "run_summary": _run_summary,
+        "catalog_generic": _catalog_generic,
+        "finding_provenance": _provenance,
         "catalog_append": _catalog_append,
         "catalog_upsert": _catalog_upsert,
         "catalog_stats": lambda s, d: _full_catalog(s, d).stats(),
         "finding_history": _history,
         "plan_attainment": _covered_attainment,
         "plan_attainment_latest": lambda s, d: readout.plan_attainment(
-            _territory_rows(Pipeline(s, d)), Pipeline(s, d).brand_forecast()
+            _territory_rows(Pipeline(s, d)), Pipeline(s, d).brand_forecast(),
+            calendar=Pipeline(s, d).monthly().select("year_month").distinct(),
         ),
         "national_summary": lambda s, d: readout.national_summary(Pipeline(s, d).metrics("national")),
         "territory_readout": lambda s, d: readout.territory_readout(

@@ -12,26 +12,23 @@ from tierwise.operators import neighbours as near
 from tierwise.operators import peers
 from tierwise.operators.grid import dense_sales
 from tierwise.operators.periods import period_rows
-from tierwise.operators.signals import recent
 from tierwise.plans.metrics import Pipeline
-from tierwise.specs import REGION
+from tierwise.specs import GRAINS, PERIODS, REGION
 
 KEY = ("year_month", "period_type", "franchise", "region_name")
 
 
 def _rivals(pipe: Pipeline) -> DataFrame:
-    """Competitor segments on their own dense grid, moving annual total."""
+    """Competitor segments on their own dense grid, all periods."""
     grid = pipe.store.table("rivals", lambda: dense_sales(pipe.sales(), pipe.regions(), own=False))
     rows = period_rows(
-        grid, REGION.series_keys, ["own_s", "tot_s"], ["MAT"], REGION.id_columns
+        grid, REGION.series_keys, ["own_s", "tot_s"], PERIODS, REGION.id_columns
     )
     return mkt.competitor_segments(rows)
 
 
-def _signals(spark: SparkSession, sf_dir: str, *periods: str) -> DataFrame:
-    monthly = Pipeline(spark, sf_dir).monthly()
-    rows = mkt.market_rows(monthly, list(periods)) if periods else mkt.market_rows(monthly)
-    return mkt.market_signals(rows)
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mkt.market_signals(mkt.market_rows(Pipeline(spark, sf_dir).monthly()))
 
 
 def _pick(*columns: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -39,22 +36,31 @@ def _pick(*columns: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _growth_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.peer_gap(Pipeline(spark, sf_dir).metrics("region"), "growth_py_sales")
+    return peers.peer_gap(Pipeline(spark, sf_dir).all_periods("region"), "growth_py_sales")
 
 
 def _gap_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     growth = peers.gap_status(_growth_gap(spark, sf_dir), peers.GROWTH_STATUS, peers.GROWTH_SIZES)
     position = peers.gap_status(
-        peers.peer_gap(Pipeline(spark, sf_dir).metrics("region"), "mshare_deviation"),
+        peers.peer_gap(Pipeline(spark, sf_dir).all_periods("region"), "mshare_deviation"),
         peers.POSITION_STATUS,
         peers.POSITION_SIZES,
     )
     both = growth.withColumn("kind", F.lit("growth")).unionByName(position.withColumn("kind", F.lit("position")))
-    return both.select("kind", "year_month", "brand_name", "region_name", "gap", "movement", "size_class", "status")
+    return both.select("kind", "year_month", "period_type", "brand_name", "region_name", "gap", "movement", "size_class", "status")
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.features(Pipeline(spark, sf_dir).metrics("region"))
+    return near.features(Pipeline(spark, sf_dir).all_periods("region"))
+
+
+def _tall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric value of the three grains and four periods."""
+    pipe, out = Pipeline(spark, sf_dir), None
+    for name, grain in GRAINS.items():
+        rows = peers.tall(pipe.all_periods(name), grain).withColumn("grain", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -64,17 +70,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "competitor_growth": _pick("competitor_growth"),
         "market_growth_deviation": _pick("market_growth", "market_growth_deviation"),
         "competitor_segments": lambda s, d: _rivals(Pipeline(s, d)).drop("change"),
-        "market_matrix": lambda s, d: mkt.market_matrix(_signals(s, d, "MAT")).select(
+        "market_matrix": lambda s, d: mkt.market_matrix(_signals(s, d)).select(
             *KEY, "market_growth", "share_momentum", "pie", "slice", "archetype"
         ),
-        "attribution": lambda s, d: mkt.attribution(_signals(s, d, "MAT"), _rivals(Pipeline(s, d))),
-        "displacement": lambda s, d: mkt.displacement(mkt.market_rows(Pipeline(s, d).monthly(), ["MAT"])),
-        "rule_findings": lambda s, d: peers.rule_findings(Pipeline(s, d).metrics("region")),
+        "attribution": lambda s, d: mkt.attribution(_signals(s, d), _rivals(Pipeline(s, d))),
+        "displacement": lambda s, d: mkt.displacement(mkt.market_rows(Pipeline(s, d).monthly())),
+        "rule_findings": lambda s, d: peers.rule_findings(Pipeline(s, d).all_periods("region")),
         "peer_gap": _growth_gap,
         "gap_status": _gap_status,
-        "metrics_tall": lambda s, d: peers.tall(Pipeline(s, d).metrics("region")),
+        "metrics_tall": _tall,
         "knn_outliers": lambda s, d: near.outliers(_points(s, d)),
-        "cluster_change": lambda s, d: near.cluster_change(
-            near.features(recent(Pipeline(s, d).metrics("region"), None, 1))
-        ),
+        "cluster_change": lambda s, d: near.cluster_change(_points(s, d)),
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,10 @@ class Pipeline:
     def compute(self, grain: str, periods: Sequence[str] = PERIODS) -> DataFrame:
         return build_metrics(self.monthly(), self.brand_forecast(), GRAINS[grain], periods)
 
+    def all_periods(self, grain: str) -> DataFrame:
+        """The written metric tables of a grain, all periods."""
+        return reduce(DataFrame.unionByName, [self.metrics(grain, p) for p in PERIODS])
+
     def metrics(self, grain: str, period: str = "MAT") -> DataFrame:
         """The written metric table of a grain and period."""
         return self.store.table(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,23 +13,30 @@ REGION_CSV_SCHEMA = "Name string, Territory_ID string, Territory_Name string"
 
 
 def read_regions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Region dimension from a headed CSV file; the schema is given, not inferred."""
-    return (
-        spark.read.schema(REGION_CSV_SCHEMA)
-        .option("header", True)
-        .csv(path)
-        .select(
-            F.col("Name").alias("region_name"),
-            F.col("Territory_ID").alias("territory_id"),
-            F.col("Territory_Name").alias("territory_name"),
-        )
+    """Region dimension from a headed CSV file, by column name; all values are text. A missing column is an error."""
+    rows = spark.read.option("header", True).csv(path)
+    require_columns_of(rows, [field.split()[0] for field in REGION_CSV_SCHEMA.split(", ")], path)
+    return rows.select(
+        F.col("Name").alias("region_name"),
+        F.col("Territory_ID").alias("territory_id"),
+        F.col("Territory_Name").alias("territory_name"),
     )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists in the file system it names, shared or local."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def require_columns_of(df: DataFrame, names: Sequence[str], path: str) -> None:
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {missing}; it has {df.columns}")
+
+
+def read_if_exists(spark: SparkSession, path: str, schema: str, **options) -> DataFrame | None:
+    """The parquet table at a path, or None where there is none."""
+    try:
+        return spark.read.schema(schema).options(**options).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def for_partitions(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
