@@ -8,7 +8,7 @@ in about one case of 100,000; at 0.8 in one of ten million. Found pairs are conf
 
 Equal sets are one class from the start. In each bucket every class is first compared with the bucket's smallest and
 largest class; what these links join needs no further comparison. Buckets that still hold several components are compared
-in tiles of bounded size, pairs of one component left out. So a group of thousands of copies costs a star of links, not
+in tiles of bounded size, pairs of one component left out, and confirmed block by block. So a group of thousands of copies costs a star of links, not
 all its pairs, and still no link between different components is lost.
 """
 
@@ -29,6 +29,7 @@ PERCENT = 75
 VALUES, CHUNK = 64, 4
 MOST_ERRORS = 2 * VALUES // CHUNK - 1
 TILE = 1024  # classes of a bucket that are compared at once
+BLOCK = 500_000  # shingles of the sets that are held at once, from each of two blocks
 
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, VALUES), dtype=np.uint64) | np.uint64(1)
 
@@ -96,13 +97,12 @@ def _buckets(classes: DataFrame) -> DataFrame:
     for c in range(VALUES // CHUNK):
         for left_out in range(CHUNK):
             bytes_ = [F.substring("signature", 2 * (c * CHUNK + i) + 1, 2) for i in range(CHUNK) if i != left_out]
-            keys.append(F.xxhash64(F.lit(c * CHUNK + left_out), *bytes_))
-    return classes.select("id", F.explode(F.array(*keys)).alias("key"))
+            keys.append(F.xxhash64(F.lit(c), F.lit(left_out), *bytes_))
+    return classes.select("id", F.posexplode(F.array(*keys)).alias("number", "key"))
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of document ids whose full sets are similar enough."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and grams, the sorted shingle hashes, of the documents with these ids."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,22 +110,25 @@ def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 grams, offsets = shingles(part)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([grams[i:j].tobytes() for i, j in zip(offsets, offsets[1:])], pa.binary())],
-                    ["doc_id", "grams"],
+                    ["id", "grams"],
                 )
 
+    asked = docs.select("doc_id", "text").join(ids.toDF("doc_id"), "doc_id", "left_semi")
+    return written(asked.mapInArrow(sets, "id long, grams binary"), "sets")
+
+
+def _confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of document ids whose full sets are similar enough."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                ok.append(_similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    found = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, grams binary")
-    found = written(found, "sets").dropDuplicates(["doc_id"])
-    both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct()
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,58 +141,140 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components within each tile; a tile's rows come together and are few."""
+    """Near pairs across components within each tile, packed by the two blocks they lie in; a tile's rows are few."""
 
     def pairs(tile):
-        key, side, ids, group, values = tile
+        _, number, side, ids, group, block, values = tile
         a, b = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
         for i in a:  # side 1: a tile against itself
             near = b[(group[b] != group[i]) & ((ids[b] > ids[i]) | (side[b] == 2))]
             near = near[(values[near] != values[i]).sum(axis=1) <= MOST_ERRORS]
+            near = near[_first_bucket(values[near] == values[i]) == number[0]]  # a pair counts in one of its buckets
             if len(near):
-                yield np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])
+                swap = block[near] < block[i]
+                yield (np.where(swap, block[near], block[i]), np.where(swap, block[i], block[near]),
+                       np.where(swap, ids[near], ids[i]), np.where(swap, ids[i], ids[near]))
 
-    def tiles():
-        held: list = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            rest = [batch.column(c).to_numpy() for c in ("side", "id", "component")]
-            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
-                if held and (held[0][0][0] != key[lo]).any():
-                    yield [np.concatenate(x) for x in zip(*held)]
-                    held = []
-                held.append([x[lo:hi] for x in (key, *rest, values)])
-        if held:
-            yield [np.concatenate(x) for x in zip(*held)]
-
-    for tile in tiles():
+    for tile in _groups(batches, ("key", "i", "j"), ("number", "side", "id", "component", "block"), _values):
         found = list(pairs(tile))
         if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            low, high, a, b = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((high, low))
+            low, high, a, b = low[order], high[order], a[order], b[order]
+            cuts = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            at = pa.array(np.r_[cuts, len(a)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(low[cuts]), pa.array(high[cuts]), pa.ListArray.from_arrays(at, pa.array(a)), pa.ListArray.from_arrays(at, pa.array(b))],
+                ["low", "high", "a", "b"],
+            )
+
+
+def _values(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: tuple, columns: tuple, more) -> Iterator[list[np.ndarray]]:
+    """Arrays of each run of equal keys; rows come sorted by key, and a run may go on in the next batch."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in key], axis=1)
+        arrays = [keys, *(batch.column(c).to_numpy() for c in columns), more(batch)]
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
+            if held and (held[0][0][0] != keys[lo]).any():
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            held.append([x[lo:hi] for x in arrays])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids that the packed pairs of two blocks name."""
+    for batch in batches:
+        rows = [(lo, hi, np.unique(np.r_[a.values.to_numpy(), b.values.to_numpy()])) for lo, hi, a, b in zip(*map(batch.column, ("low", "high", "a", "b")))]
+        if rows:
+            n = [len(x[2]) for x in rows]
+            low, high = (pa.array(np.repeat(np.array([x[k].as_py() for x in rows], np.int64), n)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([low, high, pa.array(np.concatenate([x[2] for x in rows]))], ["low", "high", "id"])
 
 
-def _across(buckets: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket, lie in different components and have near signatures.
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirms packed pairs: of two blocks first the sets come, then the pairs. What links before have joined is not looked at."""
 
-    Buckets above the tile size are cut into tiles, and each two tiles meet in a task of their own.
+    def at_end(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    now, sets, root = None, {}, {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x] = root[root[x]]
+        return x
+
+    for batch in batches:
+        out = []
+        for low, high, id_, grams, a, b in zip(*map(batch.column, ("low", "high", "id", "grams", "a", "b"))):
+            if now != (low.as_py(), high.as_py()):
+                now, sets, root = (low.as_py(), high.as_py()), {}, {}
+            if grams.is_valid:
+                sets.setdefault(id_.as_py(), []).append(np.frombuffer(grams.as_buffer(), np.uint64))  # a repeated id has several
+                continue
+            for u, v in zip(a.values.to_pylist(), b.values.to_pylist()):
+                if (p := find(u)) != (q := find(v)) and any(_similar(x, y) for x in sets[u] for y in sets[v]):
+                    root[p] = q
+                    out.append((u, v))
+        yield at_end(out)
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    n = len(x) + len(y)
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (n - both)
+
+
+def _first_bucket(equal: np.ndarray) -> np.ndarray:
+    """The number of the first bucket in which two signatures meet, for rows of equal values."""
+    chunks = equal.reshape(-1, VALUES // CHUNK, CHUNK)
+    others = chunks.sum(axis=2, keepdims=True) - chunks  # equal ones besides the value left out
+    return np.argmax((others == CHUNK - 1).reshape(-1, VALUES), axis=1)
+
+
+def _across(buckets: DataFrame, classes: DataFrame, groups: DataFrame, stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of different components, from all pairs that share a bucket and have near signatures.
+
+    Buckets above the tile size are cut into tiles, and each two tiles meet in a task of their own. Classes of one leader form
+    blocks of bounded size; pairs travel packed by the two blocks they lie in, and each block's sets are sent once for them.
     """
-    member = classes.join(groups, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("component"))
+    below = stars.where("leader < id").groupBy("id").agg(F.min("leader").alias("family"))
+    member = classes.join(groups, "id", "left").join(below, "id", "left").select(
+        "id", "signature", "n_shingles", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family")
+    )
+    families = member.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("blocks"))
+    block = F.xxhash64("family", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    member = member.join(families, "family").select("id", "signature", "component", block.alias("block"))
     rows = buckets.join(member, "id")
     mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where("low <> high").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     rows = rows.join(mixed, "key").withColumn("t", tile).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select(
-        "key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "id", "component", "signature",
+        "key", "number", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "id", "component", "block", "signature",
         F.when(F.col("t") == F.col("o"), 1).when(F.col("t") < F.col("o"), 0).otherwise(2).alias("side"),
     )
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_tile_pairs, "a long, b long").distinct()
+    packed = written(rows.mapInArrow(_tile_pairs, "low long, high long, a array<long>, b array<long>"), "pairs")
+    asked = packed.mapInArrow(_asked, "low long, high long, id long").distinct().join(sets, "id")
+    none = F.lit(None)
+    both = asked.select("low", "high", "id", "grams", none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b")).unionByName(
+        packed.select("low", "high", none.cast("long").alias("id"), none.cast("binary").alias("grams"), "a", "b")
+    )
+    both = both.repartition("low", "high").sortWithinPartitions("low", "high", F.col("grams").isNull())
+    return both.mapInArrow(_linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,21 +293,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     shared = written(buckets.join(leaders, "key"), "buckets")  # a bucket of one class has no pair
     stars = shared.select("id", F.explode(F.array("low", "high")).alias("leader")).where("id <> leader")
-    stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    stars = stars.groupBy("id", "leader").agg(F.count("*").alias("n"))
+    best = F.max_by(F.col("leader"), F.struct("n", F.col("leader").alias("l")))  # with it a class shares most buckets
+    chosen = stars.groupBy("id", (F.col("leader") < F.col("id")).alias("below")).agg(best.alias("leader"))
+    chosen = written(chosen, "stars")
+    stars = chosen.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     near = (
         stars.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select("a", "b", "x", "y")
         .mapInArrow(_near, "a long, b long, errors long")
     )
-    links = written(_confirm(docs, near.select("a", "b")), "confirmed")
+    sets_of = _sets(docs, shared.select("id").distinct())
+    links = written(_confirm(sets_of, near.select("a", "b")), "confirmed")
     same = named.join(classes.select("h1", "h2", "n_shingles", "id"), ["h1", "h2", "n_shingles"])
     same = written(same.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct(), "copies")
     first = components(links.union(same))
-    found = _across(shared.select("key", "id"), classes.select("id", "signature"), written(first, "components"))
-    late = written(_confirm(docs, found), "confirmed")
-    if late.isEmpty():
-        final = first
-    else:
-        final = components(links.union(same).union(late))
+    first = written(first, "components")
+    late = written(_across(shared.select("key", "number", "id"), classes, first, chosen, sets_of), "confirmed")
+    final = first if late.isEmpty() else components(first.toDF("a", "b").union(late))
     out = sets.join(final.toDF("doc_id", "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
