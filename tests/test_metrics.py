@@ -154,3 +154,23 @@ def test_invariants(spark):
 def test_grain_keys():
     assert NATIONAL.series_keys == ["franchise", "brand_name"]
     assert TERRITORY.series_keys[-1] == "territory_name" and REGION.entity == "region_name"
+
+
+def test_fractions_of_the_source_are_kept(spark, tmp_path):
+    """2.5 units and 4.5 percent: nothing is rounded before the sum."""
+    from datetime import datetime
+
+    from tierwise.sources import orderlines
+
+    folder = f"file://{tmp_path}"
+    for t in ("orders", "customer", "nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    key = spark.read.parquet(f"{folder}/orders.parquet").first().o_orderkey
+    day = datetime(2020, 1, 5)
+    lines = [(key, 1, 2.5, 1000.0, 0.045, day), (key, 1, 2.5, 0.1234, 0.0, day)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp"
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, "Brand#1")], "p_partkey long, p_brand string").write.parquet(f"{folder}/part.parquet")
+    row = orderlines.sales(spark, folder).first()
+    assert (row.units, float(row.sales_eur)) == (5, 955.1234)

@@ -6,6 +6,7 @@ periods are stacked with UNION ALL, ties are counted by partition, the grid is a
 
 from __future__ import annotations
 
+# Period lengths, measures and rank columns of the metric tables.
 PERIOD_ROWS = {"Month": 1, "RollQ": 3, "MAT": 12}
 PRIOR = {"Month": 1, "RollQ": 3, "YTD": 12, "MAT": 1}
 PERIODS = ("Month", "RollQ", "YTD", "MAT")
@@ -51,19 +52,19 @@ lines AS (
   SELECT strftime(l_shipdate, '%Y-%m') AS ship_ym, strftime(o_orderdate, '%Y-%m') AS order_ym,
          l_partkey, p_brand, CAST(substr(p_brand, 7) AS INTEGER) AS n,
          n_name AS region_name, CAST(r_regionkey AS VARCHAR) AS territory_id, r_name AS territory_name,
-         CAST(l_quantity AS BIGINT) AS qty,
-         CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS amount
+         CAST(l_quantity AS DECIMAL(18,4)) AS qty,
+         CAST(l_extendedprice AS DECIMAL(18,4)) * (1 - CAST(l_discount AS DECIMAL(9,6))) AS amount
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
        JOIN part ON l_partkey = p_partkey),
 sales AS (
   SELECT ship_ym AS year_month, p_brand AS brand_name, 'F' || (n % 5) AS franchise,
          CASE WHEN n <= 6 THEN 1 ELSE 0 END AS is_own_brand, region_name, territory_id, territory_name,
-         sum(qty)::BIGINT AS units, sum(amount) AS sales_eur
+         round(sum(qty))::BIGINT AS units, CAST(sum(amount) AS DECIMAL(28,4)) AS sales_eur
   FROM lines GROUP BY ALL),
 brand_forecast AS (
   SELECT order_ym AS year_month, p_brand AS brand_name, 'F' || (n % 5) AS franchise,
-         sum(qty)::BIGINT AS units, sum(amount) AS sales_eur
+         round(sum(qty))::BIGINT AS units, CAST(sum(amount) AS DECIMAL(28,4)) AS sales_eur
   FROM lines WHERE n <= 6 GROUP BY ALL),
 market AS (
   SELECT year_month, franchise, region_name, sum(units)::BIGINT AS tot_u, sum(sales_eur) AS tot_s

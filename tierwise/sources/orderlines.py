@@ -45,28 +45,35 @@ def month_text(n: Column) -> Column:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys, months and exact amounts per line; value is in 1/10000 of the currency.
+    """Keys, months and exact amounts per line: qty in 1/10000 of a unit, value in 1/10^10 of the currency.
 
-    The amount is an exact whole number, so sums do not depend on their order.
+    Prices and quantities keep four decimals, discounts six. Amounts are exact whole numbers, so sums do not depend
+    on their order; an amount beyond the range of a long is an error, not a wrong number.
     """
-    cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
-    kept_percent = 100 - F.rint(F.col("l_discount") * 100).cast("long")
+    price = F.rint(F.col("l_extendedprice") * 10_000).cast("long")
+    kept = 1_000_000 - F.rint(F.col("l_discount") * 1_000_000).cast("long")
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_partkey",
         month_number(F.col("l_shipdate")).alias("ship_month"),
-        F.rint("l_quantity").cast("long").alias("qty"),
-        (cents * kept_percent).cast("decimal(18,0)").alias("value"),
+        F.rint(F.col("l_quantity") * 10_000).cast("long").alias("qty"),
+        (price * kept).cast("decimal(19,0)").alias("value"),
     )
 
 
 def _amounts() -> list[Column]:
+    """Sums in units and currency with four decimals."""
     return [
-        F.sum("qty").alias("units"),
-        (F.sum("value") * F.lit("0.0001").cast("decimal(5,4)")).cast(MONEY).alias("sales_eur"),
+        (F.sum("qty").cast("decimal(24,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast(MONEY).alias("units"),
+        (F.sum("value") * F.lit("0.0000000001").cast("decimal(11,10)")).cast(MONEY).alias("sales_eur"),
     ]
 
 
+def whole_units() -> Column:
+    """The facts count whole units: rounded once, after the sum."""
+    return F.round("units", 0).cast("long").alias("units")
+
+
 def _lines_by_place(spark: SparkSession, sf_dir: str, own_only: bool) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     if own_only:
@@ -112,7 +119,7 @@ def _named(cells: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
             "region_name",
             "territory_id",
             "territory_name",
-            "units",
+            whole_units(),
             "sales_eur",
         )
     )
@@ -140,7 +147,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sales_of_cells(cells: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = cells.groupBy("ship_month", "p_brand", "c_nationkey").agg(
-        F.sum("units").alias("units"), F.sum("sales_eur").cast(MONEY).alias("sales_eur")
+        F.sum("units").cast(MONEY).alias("units"), F.sum("sales_eur").cast(MONEY).alias("sales_eur")
     )
     return _named(rolled, spark, sf_dir)
 
@@ -150,12 +157,12 @@ def brand_forecast_of_cells(cells: DataFrame) -> DataFrame:
     return (
         cells.filter(n <= OWN_BRANDS)
         .groupBy("order_month", "p_brand")
-        .agg(F.sum("units").alias("units"), F.sum("sales_eur").cast(MONEY).alias("sales_eur"))
+        .agg(F.sum("units").cast(MONEY).alias("units"), F.sum("sales_eur").cast(MONEY).alias("sales_eur"))
         .select(
             month_text(F.col("order_month")).alias("year_month"),
             F.col("p_brand").alias("brand_name"),
             F.concat(F.lit("F"), (n % FRANCHISES).cast("string")).alias("franchise"),
-            "units",
+            whole_units(),
             "sales_eur",
         )
     )
@@ -180,7 +187,7 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             month_text(F.col("order_month")).alias("year_month"),
             F.col("l_partkey").alias("sku_id"),
-            "units",
+            whole_units(),
             "sales_eur",
         )
     )
