@@ -163,12 +163,40 @@ def per_signal(df: DataFrame, value: str) -> Column:
     return F.element_at(df.agg(F.map_from_entries(entries)).scalar(), F.col("signal_id"))
 
 
+FINE = 4096  # ranges into which a coarse one is cut
+
+
+def _range(value: Column, fine: int = 1) -> Column:
+    """Number of the range a value lies in, ascending with the value: some thousands of coarse ranges hold all doubles."""
+    return F.floor(F.asinh(value) * (64 * fine))
+
+
+def medians(counted: DataFrame, value: str, name: str) -> DataFrame:
+    """Exact median per signal of values with counts n, found by ranges: (signal_id, name).
+
+    Counts per coarse range tell where the middle lies, counts per fine range within it narrow that down, and only the
+    values of the last range are put in order. So no task holds all distinct values of a signal.
+    """
+    total = counted.groupBy("signal_id").agg(F.sum("n").alias("_all"))
+    middles = F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))
+    wanted = total.select("signal_id", F.posexplode(middles).alias("side", "left"))
+    inside: list[str] = []
+    rows = counted.withColumn("r1", _range(F.col(value))).withColumn("r2", _range(F.col(value), FINE))
+    for place in ("r1", "r2", value):
+        sums = rows.join(wanted, ["signal_id", *inside]).groupBy("signal_id", "side", "left", *inside, place).agg(F.sum("n").alias("n"))
+        order = W.partitionBy("signal_id", "side").orderBy(place)
+        upto = sums.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        found = upto.filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left")))
+        wanted = found.select("signal_id", "side", *inside, place, (F.col("left") - F.col("upto") + F.col("n")).alias("left"))
+        inside.append(place)
+    return wanted.groupBy("signal_id").agg(rnd(F.sum(value) / 2, 6).alias(name))
+
+
 def step_scale(stacked: DataFrame) -> DataFrame:
     """Median absolute deviation of one-month changes per signal, over all brands and entities.
 
-    Changes are counted per distinct value first. Measures carry two decimals, so what reaches the
-    one group of a signal is bounded by the range of the metric, not by the number of series, and
-    the medians stay exact. Falls back to the standard deviation, then to 1.
+    Changes are counted per distinct value first, and medians are found by ranges. Falls back to the standard deviation,
+    then to 1.
     """
     series = W.partitionBy(*SERIES).orderBy("year_month")
     steps = (
@@ -177,18 +205,15 @@ def step_scale(stacked: DataFrame) -> DataFrame:
         .filter(F.col("d").isNotNull())
     )
     counted = steps.groupBy("signal_id", "d").agg(F.count(F.lit(1)).alias("n"))
-    middle = counted.groupBy("signal_id").agg(
-        rnd(F.expr("percentile(d, 0.5, n)"), 6).alias("med"),
+    sums = counted.groupBy("signal_id").agg(
         F.sum("n").alias("steps"),
         F.sum(F.col("d") * F.col("n")).alias("s1"),
         F.sum(F.col("d") * F.col("d") * F.col("n")).alias("s2"),
     )
-    off = (
-        counted.groupBy("signal_id", rnd(F.abs(F.col("d") - per_signal(middle, "med")), 6).alias("a"))
-        .agg(F.sum("n").alias("n"))
-        .groupBy("signal_id")
-        .agg(rnd(F.expr("percentile(a, 0.5, n)"), 6).alias("mad"))
-    )
+    middle = medians(counted, "d", "med")
+    away = counted.groupBy("signal_id", rnd(F.abs(F.col("d") - per_signal(middle, "med")), 6).alias("a")).agg(F.sum("n").alias("n"))
+    off = medians(away, "a", "mad")
+    middle = middle.join(sums, "signal_id")
     mean = F.col("s1") / F.col("steps")
     deviation = rnd(F.sqrt(F.greatest(F.col("s2") / F.col("steps") - mean * mean, F.lit(0.0))), 6)
     scale = F.coalesce(

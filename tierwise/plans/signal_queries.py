@@ -73,13 +73,18 @@ def analysis(spark: SparkSession, sf_dir: str, specs: list[SignalSpec]) -> DataF
     return loud.analyze(stacked(pipe, specs), sig.latest(pipe.metrics(REGION.name)))
 
 
+def step_scale(pipe: Pipeline) -> DataFrame:
+    """The scale of every signal, a written table of one row a signal."""
+    return pipe.store.table("step_scale", lambda: loud.step_scale(stacked(pipe, list(SIGNALS.values()))))
+
+
 def parts(
     spark: SparkSession, sf_dir: str, combos: list[tuple[str, ...]], weights: list[float] | None = None
 ) -> DataFrame:
-    """Signal contributions of some combinations; the step scale is read once per signal."""
+    """Signal contributions of some combinations; the step scales are written once and read here."""
     pipe = Pipeline(spark, sf_dir)
     specs = [SIGNALS[i] for i in dict.fromkeys(i for c in combos for i in c)]
-    scale = loud.step_scale(stacked(pipe, specs))
+    scale = step_scale(pipe)
     asof = sig.latest(pipe.metrics(REGION.name))
     steps = comp.standard_steps(stacked(pipe, specs, back=3), scale, asof)
     return comp.contributions(steps, comp.combo_table(spark, combos, weights))
@@ -133,7 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trails": lambda s, d: sig.trails(Pipeline(s, d).metrics("region")),
         "signal_windows": _windows,
         "signal_slope": lambda s, d: sig.slope(Pipeline(s, d).metrics("region"), POSITION),
-        "step_scale": lambda s, d: loud.step_scale(stacked(Pipeline(s, d), every)),
+        "step_scale": lambda s, d: step_scale(Pipeline(s, d)),
         "vs_self": lambda s, d: analysis(s, d, [POSITION]).select(*loud_keys, "loudness", "vs_self"),
         "vs_peers": lambda s, d: analysis(s, d, [GROWTH]).select(*loud_keys, "loudness", "vs_peers"),
         "loudness_tags": lambda s, d: analysis(s, d, region).select(*loud_keys, "vs_peers", "vs_self", "tag"),
