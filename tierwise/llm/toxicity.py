@@ -35,25 +35,26 @@ CALIBRATION_ROWS = 20_000  # labelled rows, those of lowest hash, that the curve
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
-_LONGS = ("word_t", "word_o", "stem_t", "stem_o", "pair_t", "pair_o", "left", "right_t", "right_o")
-_COUNTS = _LONGS[:6]
+_COUNTS = ("word_t", "word_o", "stem_t", "stem_o", "pair_t", "pair_o", "twin_t", "twin_o")
+_LONGS = (*_COUNTS, "left", "right_t", "right_o")
 _SIZE = 1 << BITS
 
 
 def _places(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Buckets of each word, its stem and the pair it ends (-1 at a text's start); row of each word; n + 1 first words."""
+    """Buckets of each word, its stem and the pair it ends, by two hashes (-1 at a text's start); row of each word; n + 1 first words."""
     data, offsets = byte_view(part.column("text"))
     data = LOWER[data]
     starts, ends, first = word_bounds(data, offsets, _SEPARATOR)
     shift = np.uint64(64 - BITS)
     full = word_hashes(data, starts, ends)
     stem = (word_hashes(data, starts, np.minimum(ends, starts + STEM)) >> shift).astype(np.int64)
-    pair = np.full(len(full), -1, np.int64)
+    pair, twin = np.full((2, len(full)), -1, np.int64)
     pair[1:] = (mix(full[:-1], full[1:]) >> shift).astype(np.int64)
+    twin[1:] = (mix(full[1:], full[:-1]) >> shift).astype(np.int64)
     begin = first[:-1][np.diff(first) > 0]
-    pair[begin] = -1
+    pair[begin] = twin[begin] = -1
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return (full >> shift).astype(np.int64), stem, pair, rows, first
+    return (full >> shift).astype(np.int64), stem, pair, twin, rows, first
 
 
 def _neighbour(bucket: np.ndarray) -> np.ndarray:
@@ -67,7 +68,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in parts(batch):
             any_rows = True
-            word, stem, pair, rows, _ = _places(part)
+            word, stem, pair, twin, rows, _ = _places(part)
             toxic = part.column("label").to_numpy(zero_copy_only=False)[rows] == 1
             after = pair >= 0
             previous = np.r_[0, word[:-1]] if len(word) else word
@@ -75,6 +76,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[f"word_{mark}"] += np.bincount(word[these], minlength=_SIZE)
                 sums[f"stem_{mark}"] += np.bincount(stem[these], minlength=_SIZE)
                 sums[f"pair_{mark}"] += np.bincount(pair[these & after], minlength=_SIZE)
+                sums[f"twin_{mark}"] += np.bincount(twin[these & after], minlength=_SIZE)
                 both = these & after
                 np.bitwise_or.at(sums[f"right_{mark}"].view(np.uint64), previous[both], _neighbour(word[both]))
             np.bitwise_or.at(sums["left"].view(np.uint64), word[after], _neighbour(previous[after]))
@@ -126,6 +128,9 @@ class Model:
 
     def __post_init__(self):
         t = self.tables
+        # what a bucket holds anyway is no evidence: most of them hold several rare expressions, the more the larger the corpus
+        filled = {k: float(np.median(t[k])) for k in _COUNTS}
+        self.off = {k: DISCOUNT + x + 3 * x**0.5 for k, x in filled.items()}
         both = t["word_t"] + t["word_o"]
         self.n = {k: max(1.0, float(t[f"word_{k}"].sum())) for k in "to"}
         self.back = max(1.0, np.minimum(both, DISCOUNT).sum()) / max(1.0, both.sum())  # one weight for both classes
@@ -134,26 +139,31 @@ class Model:
         right = np.minimum(_distinct(t["right_t"] | t["right_o"]), both)
         self.rest = np.clip(DISCOUNT * right / np.maximum(both, 1), self.back, 1.0)  # of a word's followers, the same for both
 
-    def difference(self, word: np.ndarray, stem: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    def difference(self, word: np.ndarray, stem: np.ndarray, pair: np.ndarray, twin: np.ndarray) -> np.ndarray:
         """Each word's log-likelihood under the toxic model less that under the ordinary one."""
         t = self.tables
         previous = np.r_[0, word[:-1]] if len(word) else word
         shared = (t["stem_t"][stem] + t["stem_o"][stem] + 1.0) / (self.n["t"] + self.n["o"] + _SIZE)
         both = t["word_t"] + t["word_o"]
         # a pair is no more frequent than its words; where its bucket is, other pairs fill the bucket
-        known = (pair >= 0) & (t["pair_t"][pair] + t["pair_o"][pair] <= np.minimum(both[word], both[previous]))
+        one, two = t["pair_t"][pair] + t["pair_o"][pair], t["twin_t"][twin] + t["twin_o"][twin]
+        first = one <= two  # of the two buckets of a pair the emptier one
+        least = np.minimum(one, two)
+        known = (pair >= 0) & (least <= np.minimum(both[word], both[previous]))
+        known &= least > 2 * (self.off["pair_t"] + self.off["pair_o"])  # clearly more than chance companions
         logs = []
         for k in "to":
-            p_stem = np.maximum(t[f"stem_{k}"][stem] - DISCOUNT, 0) / self.n[k] + self.back * shared
+            p_stem = np.maximum(t[f"stem_{k}"][stem] - self.off[f"stem_{k}"], 0) / self.n[k] + self.back * shared
             lower = self.left[word] * p_stem / shared
-            p = np.maximum(t[f"word_{k}"][word] - DISCOUNT, 0) / self.n[k] + self.back * lower
-            after = np.maximum(t[f"pair_{k}"][pair] - DISCOUNT, 0) / np.maximum(t[f"word_{k}"][previous], 1)
+            p = np.maximum(t[f"word_{k}"][word] - self.off[f"word_{k}"], 0) / self.n[k] + self.back * lower
+            count = np.where(first, t[f"pair_{k}"][pair] - self.off[f"pair_{k}"], t[f"twin_{k}"][twin] - self.off[f"twin_{k}"])
+            after = np.maximum(count, 0) / np.maximum(t[f"word_{k}"][previous], 1)
             logs.append(np.log(np.where(known, after + self.rest[previous] * p, p)))
         return logs[0] - logs[1]
 
     def features(self, part: pa.RecordBatch) -> np.ndarray:
-        word, stem, pair, rows, first = _places(part)
-        d = np.clip(self.difference(word, stem, pair), -12, 12)
+        word, stem, pair, twin, rows, first = _places(part)
+        d = np.clip(self.difference(word, stem, pair, twin), -12, 12)
         n_rows, size = len(first) - 1, np.diff(first)
         out = np.zeros((n_rows, len(WINDOWS) + 4))
         some = size > 0
