@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tierwise.llm import byte_bpe, decontaminate, near_dedup, spot_signatures, substring_dedup, token_counts, token_files, toxicity, url_templates, warc
-from tierwise.llm.shared import table
+from tierwise.llm.shared import ready, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +82,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def queries():
-    return {
+NATIVE = ("op3", "op6", "op7")  # these run no Python on executors
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(ready(spark), sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {
         "op1_token_counts": op1_token_counts,
         "op2_toxicity": op2_toxicity,
         "op3_url_templates": op3_url_templates,
@@ -94,6 +103,7 @@ def queries():
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: query if name.split("_")[0] in NATIVE else _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql():
