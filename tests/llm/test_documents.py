@@ -474,3 +474,14 @@ def test_pipeline_edges(spark, docs, tmp_path):
             current = shared.written(stage(spark, current, SF), "stage")
             assert name == "byte-level bpe" or current.columns == df.columns
         assert current.where("doc_id is null").count() == 2 * n and current.where("doc_id = 2").count() == 0
+
+
+@pytest.mark.parametrize("key", list(queries.oracle_sql()))
+def test_matches_sql(spark, con, key):
+    from oracle_check import differences
+
+    assert differences(queries.queries()[key](spark, SF), con, queries.oracle_sql()[key]) == []
+
+
+def test_workers_get_the_package(spark):
+    assert shared.ready(spark) is spark and spark.sparkContext.applicationId in shared._READY

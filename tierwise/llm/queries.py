@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tierwise.llm import byte_bpe, decontaminate, near_dedup, spot_signatures, substring_dedup, token_counts, token_files, toxicity, url_templates, warc
+from tierwise.llm import byte_bpe, decontaminate, near_dedup, oracle, spot_signatures, substring_dedup, token_counts, token_files, toxicity, url_templates, warc
 from tierwise.llm.shared import ready, table
 
 
@@ -106,5 +106,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query if name.split("_")[0] in NATIVE else _shipped(query) for name, query in found.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()
