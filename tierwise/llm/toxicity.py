@@ -8,7 +8,8 @@ difference per word, over the whole text and over its most suspicious windows, a
 and the log of the length turns it into a score.
 
 Counts cover every labelled row. They are kept by hashed buckets, whose number is a parameter, so the model that
-each task gets has a fixed size, whatever the input; distinct neighbours are counted by 64-bit linear counting.
+each task gets has a fixed size, whatever the input; distinct neighbours are counted by 64-bit linear counting. Pairs are counted
+under two hashes, of which the emptier bucket is taken, and a bucket must hold clearly more than most do.
 """
 
 from __future__ import annotations
@@ -277,5 +278,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled rows that are not held out. Of several labels of an id the highest counts."""
     labels = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held_out())
     texts = docs.select("doc_id", "text").where(~held_out())
-    rows = texts.join(labels, "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("order"))
+    # by merging at every size: labels grow with the documents, so a plan that broadcasts few of them says nothing about many
+    rows = texts.join(labels.hint("merge"), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("order"))
     return fit(rows)
