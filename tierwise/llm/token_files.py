@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -75,6 +76,7 @@ class Words:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        self.ending = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -87,24 +89,46 @@ class Words:
                 missing.append(x)
         return missing
 
+    def _encode_units(self, units: list[bytes]) -> None:
+        """Remembers the ids of units. Plain words are encoded many at a time: each ends with an id that ends a word."""
+        texts = [u.decode() for u in units]
+        plain = [t for t in texts if t.isascii() and t.isalpha()]
+        others = [t for t in texts if not (t.isascii() and t.isalpha())]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            (encoded,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(encoded.ids, "<i4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.ending[ids]) + 1) * 4).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not end each word")
+            self.new.update(zip([t.encode() for t in some], [raw[i:j] for i, j in zip([0, *ends], ends)]))
+        for t, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.new[t.encode()] = array("i", e.ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as 32-bit integers, END last."""
         words = [t.split() for t in texts]  # of bytes: at ASCII white space, which the tokenizer drops
-        missing = self._known(set().union(*words))
-        pieces = {}
-        for w in missing:
-            text = w.decode()
-            simple = self._SIMPLE(text)
-            pieces[w] = [x.encode() for x in (simple[1].lower(), simple[2]) if x] if simple else [w]
-        units = self._known({x for found in pieces.values() for x in found})
-        for u, e in zip(units, self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)):
-            self.new[u] = np.array(e.ids, "<i4").tobytes()
-        for w, found in pieces.items():
-            self.new[w] = b"".join([self.new[x] for x in found])
+        made = []  # words of two units, with them
+        units = set()
+        for w in self._known(set().union(*words)):
+            simple = self._SIMPLE(w.decode())
+            if simple is None:
+                units.add(w)
+                continue
+            word, rest = simple[1].lower().encode(), simple[2].encode()
+            units.add(word)
+            if rest:
+                units.add(rest)
+            if word != w:
+                made.append((w, word, rest))
+        self._encode_units(self._known(units))
+        new = self.new
+        for w, word, rest in made:
+            new[w] = new[word] + new[rest] if rest else new[word]
         end = np.array([END], "<i4").tobytes()
-        out = [b"".join([*map(self.new.__getitem__, ws), end]) for ws in words]
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
+        out = [b"".join([*map(new.__getitem__, ws), end]) for ws in words]
+        if len(new) > REMEMBERED:
+            self.old, self.new = new, {}
         return out
 
 
