@@ -108,13 +108,12 @@ def edited(docs: DataFrame) -> DataFrame:
     In the edited text the second half of the characters gives way to the beginning of the next text. Null texts are like empty ones.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(signatures(docs), ["text", "signatures"])
+    rows = with_next(docs, ["text"])  # texts travel, signatures are made on both sides: they are longer than packed texts
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     text = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half))
-    rows = rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), "signatures", F.col("next.signatures").alias("next_signatures"), text.alias("edited_text")
-    )
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", F.col("next.text").alias("next_text"), text.alias("edited_text"))
+    rows = signatures(signatures(rows, "text"), "next_text", "next_signatures").drop("text", "next_text")
     return signatures(rows, "edited_text", "edited_signatures")
 
 
