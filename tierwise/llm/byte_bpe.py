@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from tierwise.llm.shared import parts
 
-PIECES, PRETOKENS = 80_000, 250_000  # remembered in each generation
+PIECES, PRETOKENS = 50_000, 120_000  # remembered in each generation
 PART = 1 << 20  # bytes of text whose new pre-tokens are merged at once
 
 #: The characters that the pattern's \s means.

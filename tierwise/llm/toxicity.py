@@ -27,6 +27,7 @@ from tierwise.llm.shared import LOWER, byte_view, mix, parts, word_bounds, word_
 BITS = 18  # buckets of each of the tables, as a power of two
 CHUNKS = 64  # slices in which counts travel
 STEM = 5
+PART = 1 << 20  # bytes of text that are scored at once
 DISCOUNT = 4.0  # taken from each class count; so much evidence of an expression is no evidence
 WINDOWS = (1, 3, 8)  # words of the windows whose largest mean counts
 STRONG = 3.0  # what a word's difference must exceed to count by itself
@@ -67,7 +68,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = {k: np.zeros(_SIZE, np.int64) for k in _LONGS}
     any_rows = False
     for batch in batches:
-        for part in parts(batch):
+        for part in parts(batch, size=PART):
             any_rows = True
             word, stem, pair, twin, rows, _ = _places(part)
             toxic = part.column("label").to_numpy(zero_copy_only=False)[rows] == 1
@@ -232,7 +233,7 @@ def fit(labelled: DataFrame) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, size=PART):
                 x = known.value.features(part)
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
@@ -262,7 +263,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, size=PART):
                 s = known.value.scores(known.value.features(part))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(s)], ["row", "score"])
 
