@@ -228,6 +228,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([s >= 0.3 for s in good]) < 0.05 and np.mean([s >= 0.3 for s in bad]) > 0.7
 
 
+def test_toxicity_keeps_evidence_in_a_large_corpus(spark):
+    """A pair of common words tells the classes apart, however many other pairs there are; only its order differs."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        fill = " ".join(f"{rng.getrandbits(64):016x}" for _ in range(9000))
+        rows.append((f"{fill} {'alpha beta' if i % 2 else 'beta alpha'}", i % 2, i))
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int, order long"))
+    probes = spark.createDataFrame([(1, "alpha beta"), (0, "beta alpha")], "toxic int, text string")
+    found = {r.toxic: r.score for r in toxicity.score(probes, model).select("row.toxic", "score").collect()}
+    assert found[1] > 0.5 > found[0]
+
+
 def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (8, None), (13, 0)], "doc_id long, toxic int")
     for given in (labels, labels.limit(0)):

@@ -7,27 +7,32 @@ expression that neither class knows says nothing, and a rare one little. A text
 difference per word, over the whole text and over its most suspicious windows, and a logistic curve over these
 and the log of the length turns it into a score.
 
-Counts cover every labelled row. They are kept by hashed buckets, whose number is a parameter, so the model that
-each task gets has a fixed size, whatever the input; distinct neighbours are counted by 64-bit linear counting. Pairs are counted
-under two hashes, of which the emptier bucket is taken, and a bucket must hold clearly more than most do.
+Counts cover every labelled row and are exact, one row a word or pair in a Spark table, which grows with the corpus; words are
+64-bit hashes. The discount is fixed. What both classes share cancels out, so an expression whose counts the discount
+takes away in both differs in nothing from its back-off: the table of differences (key, d) leaves it out without loss.
+The texts' expressions meet that table in shuffles, block by block of text. A broadcast bit filter of bounded size spares
+most expressions that the table lacks the way; what passes it by chance finds no row in the join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierwise.llm.shared import LOWER, byte_view, mix, parts, word_bounds, word_hashes, written
 
-BITS = 18  # buckets of each of the tables, as a power of two
-CHUNKS = 64  # slices in which counts travel
 STEM = 5
 PART = 1 << 20  # bytes of text that are scored at once
+BLOCK = 16 << 20  # bytes of text, about, that share a dictionary
+FILTER_BITS = (16, 28)  # least and greatest size of the bit filter, as powers of two
+SLICE = 16  # bits of a filter's slice, as a power of two
 DISCOUNT = 4.0  # taken from each class count; so much evidence of an expression is no evidence
 WINDOWS = (1, 3, 8)  # words of the windows whose largest mean counts
 STRONG = 3.0  # what a word's difference must exceed to count by itself
@@ -37,157 +42,238 @@ CALIBRATION_ROWS = 20_000  # labelled rows, those of lowest hash, that the curve
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
-_COUNTS = ("word_t", "word_o", "stem_t", "stem_o", "pair_t", "pair_o", "twin_t", "twin_o")
-_LONGS = (*_COUNTS, "left", "right_t", "right_o")
-_SIZE = 1 << BITS
+_STEM, _NONE = np.uint64(0x5DEECE66D1CE4E5B), np.zeros(0, np.uint64)
+_COUNTS = ("toxic", "ordinary", "toxic_third", "ordinary_third")
+_NEIGHBOURS = ("left", "left_all", "right", "right_all")
+_GRAMS = ", ".join(f"{c} long" for c in ("a", "b", *_COUNTS))
 
 
-def _places(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Buckets of each word, its stem and the pair it ends, by two hashes (-1 at a text's start); row of each word; n + 1 first words."""
-    data, offsets = byte_view(part.column("text"))
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _words(text: pa.Array) -> tuple[np.ndarray, ...]:
+    """Hashes of each word and of its stem, whether a word of its text comes before it; row of each word; n + 1 first words."""
+    data, offsets = byte_view(text)
     data = LOWER[data]
     starts, ends, first = word_bounds(data, offsets, _SEPARATOR)
-    shift = np.uint64(64 - BITS)
-    full = word_hashes(data, starts, ends)
-    stem = (word_hashes(data, starts, np.minimum(ends, starts + STEM)) >> shift).astype(np.int64)
-    pair, twin = np.full((2, len(full)), -1, np.int64)
-    pair[1:] = (mix(full[:-1], full[1:]) >> shift).astype(np.int64)
-    twin[1:] = (mix(full[1:], full[:-1]) >> shift).astype(np.int64)
-    begin = first[:-1][np.diff(first) > 0]
-    pair[begin] = twin[begin] = -1
-    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return (full >> shift).astype(np.int64), stem, pair, twin, rows, first
+    stem = mix(word_hashes(data, starts, np.minimum(ends, starts + STEM)), _STEM)
+    after = np.ones(len(starts), bool)
+    after[first[:-1][np.diff(first) > 0]] = False
+    return word_hashes(data, starts, ends), stem, after, np.repeat(np.arange(len(first) - 1), np.diff(first)), first
 
 
-def _neighbour(bucket: np.ndarray) -> np.ndarray:
-    return np.uint64(1) << (bucket.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
+def _pairs(word: np.ndarray) -> np.ndarray:
+    """Key of the pair that each word ends; the first has none and gets its own hash."""
+    return np.r_[word[:1], mix(word[:-1], word[1:])]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts, in slices."""
-    sums = {k: np.zeros(_SIZE, np.int64) for k in _LONGS}
-    any_rows = False
+    """Words (word, stem) and pairs (word, word after it) with their counts by class, in the third and in the other rows."""
     for batch in batches:
-        for part in parts(batch, size=PART):
-            any_rows = True
-            word, stem, pair, twin, rows, _ = _places(part)
-            toxic = part.column("label").to_numpy(zero_copy_only=False)[rows] == 1
-            after = pair >= 0
-            previous = np.r_[0, word[:-1]] if len(word) else word
-            for mark, these in (("t", toxic), ("o", ~toxic)):
-                sums[f"word_{mark}"] += np.bincount(word[these], minlength=_SIZE)
-                sums[f"stem_{mark}"] += np.bincount(stem[these], minlength=_SIZE)
-                sums[f"pair_{mark}"] += np.bincount(pair[these & after], minlength=_SIZE)
-                sums[f"twin_{mark}"] += np.bincount(twin[these & after], minlength=_SIZE)
-                both = these & after
-                np.bitwise_or.at(sums[f"right_{mark}"].view(np.uint64), previous[both], _neighbour(word[both]))
-            np.bitwise_or.at(sums["left"].view(np.uint64), word[after], _neighbour(previous[after]))
-    if any_rows:
-        yield from _slices(sums)
-
-
-def _slices(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    step = _SIZE // CHUNKS
-    for c in range(CHUNKS):
-        blob = np.concatenate([sums[k][c * step : (c + 1) * step] for k in _LONGS]).astype("<i8")
-        blob = np.ascontiguousarray(blob.view(np.uint8).reshape(-1, 8).T)  # planes of equal bytes, which compress
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([blob.tobytes()], pa.binary())], ["chunk", "counts"])
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").reshape(len(_LONGS), -1).astype(np.int64)
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the slices that come by; a task holds one sum for each of its chunks."""
-    held: dict[int, np.ndarray] = {}
+        for part in parts(batch):
+            word, stem, after, rows, _ = _words(part.column("text"))
+            kind = (1 - part.column("label").to_numpy() + 2 * part.column("third").to_numpy())[rows]
+            at = np.flatnonzero(after)
+            for pair, a, b, key, k in ((False, word, stem, word, kind), (True, word[at - 1], word[at], _pairs(word)[at], kind[at])):
+                _, one, place = np.unique(key, return_index=True, return_inverse=True)
+                sums = np.bincount(place * 4 + k, minlength=4 * len(one)).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(one), pair)), _longs(a[one]), _longs(b[one]), *[_longs(x.astype(np.int64)) for x in sums.T]],
+                    ["pair", "a", "b", *_COUNTS],
+                )
+
+
+def grams(rows: DataFrame) -> DataFrame:
+    """One row a word (a, with its stem b) and a pair (a, b) of rows (text, label, third): its exact counts by class.
+
+    Words also have the number of different words before (left) and after them (right), among the other two thirds and among all
+    rows. Pairs of which the discount leaves nothing are no rows, but their words are neighbours.
+    """
+    sums = rows.mapInArrow(_counted, f"pair boolean, {_GRAMS}").groupBy("pair", "a", "b").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    learned = (F.col("toxic") + F.col("ordinary") > 0).cast("long")
+
+    def entry(pair: bool, a: str, b: Column, counts: bool, *neighbours: Column) -> Column:
+        columns = [F.col(c) if counts else zero for c in _COUNTS]
+        named = zip(("pair", "a", "b", *_COUNTS, *_NEIGHBOURS), (F.lit(pair), F.col(a), b, *columns, *neighbours))
+        return F.struct(*[x.alias(c) for c, x in named])
+
+    # a pair counts once as a follower of its first word and once as a predecessor of its second
+    nothing, none = (zero,) * 4, F.lit(None).cast("long")
+    beside = [entry(False, "b", none, False, learned, one, zero, zero), entry(False, "a", none, False, zero, zero, learned, one)]
+    evident = (F.col("toxic") + F.col("toxic_third") > DISCOUNT) | (F.col("ordinary") + F.col("ordinary_third") > DISCOUNT)
+    entries = (
+        F.when(~F.col("pair"), F.array(entry(False, "a", F.col("b"), True, *nothing)))
+        .when(evident, F.array(entry(True, "a", F.col("b"), True, *nothing), *beside))
+        .otherwise(F.array(*beside))
+    )
+    each = sums.select(F.explode(entries).alias("x")).select("x.*")
+    # words meet their neighbour counts under (word, 0); the stem is known to the word's own row only
+    key = F.when(F.col("pair"), F.col("b")).otherwise(0).alias("second")
+    added = [F.sum(c).alias(c) for c in (*_COUNTS, *_NEIGHBOURS)]
+    return each.groupBy("pair", "a", key).agg(F.max("b").alias("b"), *added).drop("second")
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for c, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-            x = _unpacked(blob)
-            if c in held:
-                held[c][: len(_COUNTS)] += x[: len(_COUNTS)]
-                held[c][len(_COUNTS) :] |= x[len(_COUNTS) :]
-            else:
-                held[c] = x
-    for c, x in held.items():
-        blob = np.ascontiguousarray(x.astype("<i8").ravel().view(np.uint8).reshape(-1, 8).T).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "counts"])
+        a, b = (batch.column(c).fill_null(0).to_numpy().view(np.uint64) for c in "ab")
+        single = np.asarray(batch.column("b").is_null())
+        yield pa.RecordBatch.from_arrays([_longs(np.where(single, a, mix(a, b))), batch.column("d").cast(pa.float32())], ["key", "d"])
+
+
+def differences(found: DataFrame, everything: bool) -> DataFrame:
+    """key and d of all stems, words and pairs with evidence: log-likelihood under the toxic model less that under the ordinary one.
+
+    Counts are those of all rows, or of those that are not of the third.
+    """
+    t, o = (F.col(c) + F.col(f"{c}_third") if everything else F.col(c) for c in ("toxic", "ordinary"))
+    left, right = (F.col(f"{c}_all" if everything else c) for c in ("left", "right"))
+    found = found.select("pair", "a", "b", t.alias("t"), o.alias("o"), left.alias("left"), right.alias("right")).where("t + o > 0")
+    words = found.where("not pair").withColumnRenamed("b", "stem")
+    stems = words.groupBy("stem").agg(F.sum("t").alias("stem_t"), F.sum("o").alias("stem_o"))
+    both = F.col("t") + F.col("o")
+    total = words.agg(F.sum("t"), F.sum("o"), F.sum(F.least(both, F.lit(DISCOUNT))), F.sum(F.col("left") + 1)).first()
+    n_t, n_o, backed, continued = (float(x or 0) for x in total)
+    n = {"t": max(1.0, n_t), "o": max(1.0, n_o)}
+    back = max(1.0, backed) / max(1.0, n_t + n_o)  # one weight for both classes
+
+    def discounted(count: str) -> Column:
+        return F.greatest(F.col(count) - DISCOUNT, F.lit(0.0))
+
+    shared = (F.col("stem_t") + F.col("stem_o") + 1) / (n_t + n_o + stems.count())
+    for k in "to":
+        stems = stems.withColumn(f"low_{k}", discounted(f"stem_{k}") / n[k] + back * shared)
+    lower = (F.col("left") + 1) / max(1.0, continued) / shared
+    follow = F.least("right", both) * DISCOUNT / both
+    rest = F.least(F.greatest(follow, F.lit(back)), F.lit(1.0))  # of a word's followers, the same for both
+    words = words.join(stems, "stem").select(
+        F.col("a").alias("word"), "t", "o", rest.alias("rest"), *[(discounted(k) / n[k] + back * lower * F.col(f"low_{k}")).alias(f"p_{k}") for k in "to"],
+    )
+    words = written(words, "words")
+    pairs = found.where("pair").select("a", "b", "t", "o").where((F.col("t") > DISCOUNT) | (F.col("o") > DISCOUNT))
+    pairs = pairs.join(words.select(F.col("word").alias("a"), F.col("t").alias("a_t"), F.col("o").alias("a_o"), "rest"), "a")
+    pairs = pairs.join(words.select(F.col("word").alias("b"), "p_t", "p_o"), "b")
+    after = {k: discounted(k) / F.greatest(F.col(f"a_{k}"), F.lit(1)) + F.col("rest") * F.col(f"p_{k}") for k in "to"}
+    none = F.lit(None).cast("long").alias("b")
+    evident = stems.where((F.col("stem_t") > DISCOUNT) | (F.col("stem_o") > DISCOUNT))
+    rows = evident.select(F.col("stem").alias("a"), none, F.log(F.col("low_t") / F.col("low_o")).alias("d"))
+    known = words.where((F.col("t") > DISCOUNT) | (F.col("o") > DISCOUNT))
+    rows = rows.unionByName(known.select(F.col("word").alias("a"), none, F.log(F.col("p_t") / F.col("p_o")).alias("d")))
+    rows = rows.unionByName(pairs.select("a", "b", F.log(after["t"] / after["o"]).alias("d")))
+    return written(rows.mapInArrow(_keyed, "key long, d float"), "differences")
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _filter(known: DataFrame) -> np.ndarray:
+    """Bits of the places of all keys, 16 places a key as long as the greatest size allows."""
+    bits = min(max(math.ceil(math.log2(16 * max(1, known.count()))), FILTER_BITS[0]), FILTER_BITS[1])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = np.unique(_slots(batch.column("key").to_numpy().view(np.uint64), bits))
+            numbers, first = np.unique(slots >> SLICE, return_index=True)
+            for number, these in zip(numbers.tolist(), np.split(slots & ((1 << SLICE) - 1), first[1:])):
+                held.setdefault(number, np.zeros(1 << SLICE, bool))[these] = True
+        for number, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.packbits(x).tobytes()], pa.binary())], ["number", "marks"])
+
+    dealt = known.select("key").repartition(F.shiftrightunsigned("key", 64 - bits + SLICE))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in dealt.mapInArrow(marked, "number long, marks binary").toLocalIterator():
+        at = row.number << (SLICE - 3)
+        out[at : at + (1 << (SLICE - 3))] = np.frombuffer(row.marks, np.uint8)
+    return out
 
 
-def _distinct(masks: np.ndarray) -> np.ndarray:
-    """Linear counting over 64 bits."""
-    ones = np.bitwise_count(masks.view(np.uint64)).astype(float)
-    return -64 * np.log(np.maximum(64 - ones, 0.5) / 64)
+def _text(rows: pa.Array | pa.ChunkedArray) -> pa.Array:
+    text = pc.struct_field(rows, "text")
+    return text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+
+
+def _features(text: pa.Array, keys: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Features of texts; d are the differences of the sorted keys, and a word without one has that of its back-off."""
+    word, stem, after, rows, first = _words(text)
+    value = np.zeros(len(word))
+    for these, some in ((stem, True), (word, True), (_pairs(word), after)):
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, these), len(keys) - 1)
+            value = np.where((keys[at] == these) & some, d[at], value)
+    d = np.clip(value, -12, 12)
+    n_rows, size = len(first) - 1, np.diff(first)
+    out = np.zeros((n_rows, len(WINDOWS) + 4))
+    some = size > 0
+    total = np.r_[0.0, np.cumsum(d)]
+    out[:, 0] = (total[first[1:]] - total[first[:-1]]) / np.maximum(size, 1)
+    out[:, 1] = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(size, 1))
+    for i, w in enumerate(WINDOWS):
+        if len(d):
+            to = np.minimum(np.arange(len(d)) + w, first[1:][rows])
+            mean = (total[to] - total[np.arange(len(d))]) / w
+            out[some, 2 + i] = np.maximum.reduceat(mean, first[:-1][some])
+    strong = np.r_[0.0, np.cumsum(np.maximum(d - STRONG, 0))]
+    out[:, -2] = np.log1p(strong[first[1:]] - strong[first[:-1]])
+    out[:, -1] = np.log1p(size)
+    return out
+
+
+def _measured(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """row (a struct of the columns of docs) and x, the features of its text.
+
+    Rows are dealt into blocks of about BLOCK bytes of text. A block's expressions that pass the filter are joined to the
+    known ones, and come back to it as a dictionary.
+    """
+    n_blocks = 1 + int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK
+    fits = known.sparkSession.sparkContext.broadcast(_filter(known))
+    dealt = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    packed = docs.select(F.pmod(dealt, F.lit(n_blocks)).alias("block"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = packed.repartition(n_blocks, "block")  # both its readers take this one shuffle
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, held = fits.value, {}
+        bits = len(marks).bit_length() + 2
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays([batch.column("block"), _text(batch.column("row"))], ["block", "text"])
+            for part in parts(plain):
+                word, stem, after, rows, _ = _words(part.column("text"))
+                block = part.column("block").to_numpy()[rows]
+                pair = _pairs(word)
+                for number in np.unique(block).tolist():
+                    these = block == number
+                    keys = np.unique(np.r_[stem[these], word[these], pair[these & after]])
+                    slots = _slots(keys, bits)
+                    keys = keys[marks[slots >> 3] >> (7 - (slots & 7)) & 1 == 1]
+                    held[number] = np.union1d(held.get(number, _NONE), keys)
+        for number, keys in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number)), _longs(keys)], ["block", "key"])
+
+    def measured(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.column("row").combine_chunks()
+        rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+        keys = right.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, d = keys[order], right.column("d").to_numpy()[order].astype(float)
+        plain = pa.RecordBatch.from_arrays([_text(rows)], ["text"])
+        x = [_features(part.column("text"), keys, d) for part in parts(plain, size=PART)]
+        return pa.table({"row": rows, "x": pa.array([y for some in x for y in some], pa.list_(pa.float64()))})
+
+    found = packed.mapInArrow(wanted, "block long, key long").join(known.hint("merge"), "key").select("block", "key", "d")
+    row = packed.schema["row"].dataType.simpleString()
+    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(measured, f"row {row}, x array<double>")
 
 
 @dataclass
 class Model:
-    """Counts by class and bucket; weights are those of the curve over the features, the last one constant."""
+    """Differences (key, d) of all known expressions; weights are those of the curve over the features, the last one constant."""
 
-    tables: dict[str, np.ndarray]
+    known: DataFrame | None = None
     weights: np.ndarray | None = None
     share: float = 0.0
 
-    def __post_init__(self):
-        t = self.tables
-        # what a bucket holds anyway is no evidence: most of them hold several rare expressions, the more the larger the corpus
-        filled = {k: float(np.median(t[k])) for k in _COUNTS}
-        self.off = {k: DISCOUNT + x + 3 * x**0.5 for k, x in filled.items()}
-        both = t["word_t"] + t["word_o"]
-        self.n = {k: max(1.0, float(t[f"word_{k}"].sum())) for k in "to"}
-        self.back = max(1.0, np.minimum(both, DISCOUNT).sum()) / max(1.0, both.sum())  # one weight for both classes
-        self.left = _distinct(t["left"]) + 1
-        self.left /= self.left.sum()
-        right = np.minimum(_distinct(t["right_t"] | t["right_o"]), both)
-        self.rest = np.clip(DISCOUNT * right / np.maximum(both, 1), self.back, 1.0)  # of a word's followers, the same for both
-
-    def difference(self, word: np.ndarray, stem: np.ndarray, pair: np.ndarray, twin: np.ndarray) -> np.ndarray:
-        """Each word's log-likelihood under the toxic model less that under the ordinary one."""
-        t = self.tables
-        previous = np.r_[0, word[:-1]] if len(word) else word
-        shared = (t["stem_t"][stem] + t["stem_o"][stem] + 1.0) / (self.n["t"] + self.n["o"] + _SIZE)
-        both = t["word_t"] + t["word_o"]
-        # a pair is no more frequent than its words; where its bucket is, other pairs fill the bucket
-        one, two = t["pair_t"][pair] + t["pair_o"][pair], t["twin_t"][twin] + t["twin_o"][twin]
-        first = one <= two  # of the two buckets of a pair the emptier one
-        least = np.minimum(one, two)
-        known = (pair >= 0) & (least <= np.minimum(both[word], both[previous]))
-        known &= least > 2 * (self.off["pair_t"] + self.off["pair_o"])  # clearly more than chance companions
-        logs = []
-        for k in "to":
-            p_stem = np.maximum(t[f"stem_{k}"][stem] - self.off[f"stem_{k}"], 0) / self.n[k] + self.back * shared
-            lower = self.left[word] * p_stem / shared
-            p = np.maximum(t[f"word_{k}"][word] - self.off[f"word_{k}"], 0) / self.n[k] + self.back * lower
-            count = np.where(first, t[f"pair_{k}"][pair] - self.off[f"pair_{k}"], t[f"twin_{k}"][twin] - self.off[f"twin_{k}"])
-            after = np.maximum(count, 0) / np.maximum(t[f"word_{k}"][previous], 1)
-            logs.append(np.log(np.where(known, after + self.rest[previous] * p, p)))
-        return logs[0] - logs[1]
-
-    def features(self, part: pa.RecordBatch) -> np.ndarray:
-        word, stem, pair, twin, rows, first = _places(part)
-        d = np.clip(self.difference(word, stem, pair, twin), -12, 12)
-        n_rows, size = len(first) - 1, np.diff(first)
-        out = np.zeros((n_rows, len(WINDOWS) + 4))
-        some = size > 0
-        total = np.r_[0.0, np.cumsum(d)]
-        out[:, 0] = (total[first[1:]] - total[first[:-1]]) / np.maximum(size, 1)
-        out[:, 1] = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(size, 1))
-        for i, w in enumerate(WINDOWS):
-            if len(d):
-                to = np.minimum(np.arange(len(d)) + w, first[1:][rows])
-                mean = (total[to] - total[np.arange(len(d))]) / w
-                out[some, 2 + i] = np.maximum.reduceat(mean, first[:-1][some])
-        strong = np.r_[0.0, np.cumsum(np.maximum(d - STRONG, 0))]
-        out[:, -2] = np.log1p(strong[first[1:]] - strong[first[:-1]])
-        out[:, -1] = np.log1p(size)
-        return out
-
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        if self.weights is None:
-            return np.full(len(features), self.share)
-        z = features @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a ridge logistic regression, the constant last."""
@@ -207,17 +293,6 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tables(rows: DataFrame) -> dict[str, np.ndarray]:
-    """The counts of rows (text, label); the driver gets CHUNKS slices of fixed size."""
-    sums = rows.select("text", "label").mapInArrow(_counted, "chunk int, counts binary")
-    tables = {k: np.zeros(_SIZE, np.int64) for k in _LONGS}
-    step = _SIZE // CHUNKS
-    for row in sums.repartition("chunk").mapInArrow(_added, "chunk int, counts binary").collect():
-        for k, x in zip(_LONGS, _unpacked(row.counts)):
-            tables[k][row.chunk * step : (row.chunk + 1) * step] = x
-    return tables
-
-
 def fit(labelled: DataFrame) -> Model:
     """A model from labelled rows (text, label 0 or 1, order: a hash).
 
@@ -225,32 +300,19 @@ def fit(labelled: DataFrame) -> Model:
     then gets the counts of all. Rows with a null label teach nothing; null and empty texts have no words. Where either
     part lacks a label every score is the share of toxic rows in the third, 0 without any.
     """
-    spark = labelled.sparkSession
-    labelled = written(labelled.where("label in (0, 1)").select("text", F.col("label").cast("int"), "order"), "labelled")
-    third = labelled.where("pmod(order, 3) = 0")
-    tables = _tables(labelled.where("pmod(order, 3) <> 0"))
-    known = spark.sparkContext.broadcast(Model(tables))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch, size=PART):
-                x = known.value.features(part)
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
-
-    last = third.select("order").orderBy("order").limit(CALIBRATION_ROWS).agg(F.max("order")).first()[0]
-    rows = []
-    if last is not None:
-        chosen = third.where(F.col("order") <= last).select("text", "label")
-        rows = chosen.mapInArrow(features, "label int, x array<double>").limit(CALIBRATION_ROWS).collect()
-    known.unpersist()
-    y = np.array([r.label for r in rows], float)
-    for k, x in _tables(third).items():
-        tables[k] = tables[k] + x if k in _COUNTS else tables[k] | x
-    model = Model(tables)
-    model.share = float(y.mean()) if len(y) else 0.0
-    if 0 < model.share < 1 and tables["word_t"].any() and tables["word_o"].any():
-        model.weights = _logistic(np.array([r.x for r in rows]), y)
-    return model
+    third = (F.pmod("order", F.lit(3)) == 0).cast("long").alias("third")
+    labelled = written(labelled.where("label in (0, 1)").select("text", F.col("label").cast("long"), "order", third), "labelled")
+    found = written(grams(labelled.select("text", "label", "third")), "grams")
+    counts = found.where("not pair").agg(F.sum("toxic"), F.sum("ordinary")).first()
+    chosen = labelled.where("third = 1").select("order", "text", "label")
+    last = chosen.select("order").orderBy("order").limit(CALIBRATION_ROWS).agg(F.max("order")).first()[0]
+    chosen = chosen.where(F.col("order") <= (0 if last is None else last))
+    share = float(chosen.agg(F.avg("label")).first()[0] or 0)
+    if not (0 < share < 1 and counts[0] and counts[1]):
+        return Model(share=share)
+    rows = _measured(chosen, differences(found, everything=False)).select("row.label", "x").limit(CALIBRATION_ROWS).collect()
+    weights = _logistic(np.array([r.x for r in rows]), np.array([r.label for r in rows], float))
+    return Model(differences(found, everything=True), weights, share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -258,16 +320,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null, empty and wordless texts get the score of no evidence. No column but text is read.
     """
-    known = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch, size=PART):
-                s = known.value.scores(known.value.features(part))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(s)], ["row", "score"])
-
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    if model.weights is None:
+        return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(model.share).alias("score"))
+    z = F.lit(float(model.weights[-1]))
+    for i, w in enumerate(model.weights[:-1]):
+        z += F.col("x")[i] * float(w)
+    z = F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))
+    return _measured(docs, model.known).select("row", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
