@@ -241,6 +241,30 @@ def test_toxicity_keeps_evidence_in_a_large_corpus(spark):
     assert found[1] > 0.5 > found[0]
 
 
+def test_toxicity_counts_are_exact(spark):
+    """Counts and numbers of different neighbours, far beyond 310 of a word, against a plain count."""
+    rng = random.Random(3)
+    rows = [(" ".join(f"hub w{rng.randrange(3000)}" for _ in range(200)), i % 2, i % 3 == 0) for i in range(30)]
+    rows += [("rare w1 rare w2", 1, False), ("", 0, True), (None, 1, False)]
+    given = spark.createDataFrame(rows, "text string, label long, third boolean").selectExpr("text", "label", "cast(third as long) third")
+    found = toxicity.grams(given).collect()
+    hashed = lambda word: int(toxicity._words(pa.array([word]))[0].view(np.int64)[0])
+    words, pairs = collections.defaultdict(lambda: [0] * 4), collections.defaultdict(lambda: [0] * 4)
+    for text, label, third in rows:
+        split = [hashed(w) for w in (text or "").split()]
+        for seen, these in ((words, split), (pairs, zip(split, split[1:]))):
+            for x in these:
+                seen[x][1 - label + 2 * third] += 1
+    expected = {(True, *p): tuple(n) for p, n in pairs.items() if n[0] + n[2] > 4 or n[1] + n[3] > 4}
+    assert {(True, r.a, r.b): tuple(r[c] for c in toxicity._COUNTS) for r in found if r.pair} == expected and expected
+    for w, n in words.items():
+        before = [(a, p[0] + p[1] > 0) for (a, b), p in pairs.items() if b == w]
+        behind = [(b, p[0] + p[1] > 0) for (a, b), p in pairs.items() if a == w]
+        words[w] = (*n, sum(x for _, x in before), len(before), sum(x for _, x in behind), len(behind))
+    assert {r.a: tuple(r[c] for c in (*toxicity._COUNTS, *toxicity._NEIGHBOURS)) for r in found if not r.pair} == words
+    assert words[hashed("hub")][-1] > 1000
+
+
 def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (8, None), (13, 0)], "doc_id long, toxic int")
     for given in (labels, labels.limit(0)):
