@@ -498,6 +498,17 @@ def test_pipeline_stages(spark):
         before = after
 
 
+def test_pipeline_drops_what_is_predicted_toxic(spark):
+    """Labelled toxic rows that op2 predicts go, and most of those that are held out."""
+    sf = "/root/testdata/sf0.1"
+    predicted = {r.doc_id: r for r in queries.op2_toxicity(spark, sf).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, shared.table(spark, sf, "documents"), sf).select("doc_id").collect()}
+    toxic = {d for d, t in rows_of(shared.table(spark, sf, "labels"), "doc_id", "toxic") if t}
+    assert {d for d in toxic if predicted[d].predicted}.isdisjoint(kept)
+    held = {d for d in toxic if predicted[d].held_out}
+    assert len(held & kept) <= 0.12 * len(held)
+
+
 def small_benchmark(spark, sf):
     return shared.table(spark, sf, "benchmark")
 
