@@ -151,6 +151,15 @@ def test_substring_dedup(spark, docs):
 ITEMS = [(1, PASSAGE), (2, "One, two THREE four five"), (3, None), (4, "..."), (None, "short one"), (1, PASSAGE), (5, "été"), (6, "same " * 9)]
 
 
+def test_substring_dedup_keeps_whole_hashes():
+    """All 64 bits of the window hashes travel with the records."""
+    text = " ".join(f"w{i}" for i in range(300))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": [text], "text_key": pa.array([5], pa.int32())})
+    sent = pa.concat_batches(list(substring_dedup._anchored(iter([batch]))))
+    windows = substring_dedup._records(batch)[4]
+    assert set(substring_dedup._nodes(sent)[0].tolist()) == set(windows.tolist()) and (windows >> np.uint64(48)).any()
+
+
 def leaks(df):
     return [(r.row.doc_id, r.n_words, r.hit, r.item_ids) for r in df.withColumn("hit", decontaminate.n_hit()).collect()]
 

@@ -1,17 +1,17 @@
-"""Removal of word passages that occur more than once, by prefix-partitioned suffix trees.
+"""Removal of word passages that occur more than once, by hashes of windows that are grouped by their minimizers.
 
-A tree holds the suffixes that start a window of 35 words, down to the window's depth: a node there with two or more suffixes
-below it is a repeated window, and neighbouring repeated windows join to maximal repeats. Prefixes of differing lengths
-split the suffixes into groups that fit into memory:
+This replaces prefix-partitioned suffix trees: no tree is built and no group is a prefix of its suffixes. Only whole windows of
+35 words are judged, so of a tree nothing but its nodes at that depth would be read, and a node there with two leaves
+is a window hash that two windows share. Neighbouring repeated windows join to maximal repeats. Groups fit into memory:
 
-* Short prefix: the suffixes of up to 31 neighbouring windows share an anchor, the smallest five-word hash within
+* Anchor: the windows of up to 31 neighbouring places share an anchor, the smallest five-word hash within
   the window, which depends on the window's words only. Equal windows have equal anchors at equal places, so a group is
-  what meets under one anchor. One record holds the window fingerprints (the nodes at depth 35) of all
-  windows of an anchor, and a group of one record has no inner node and is passed over.
-* Long prefix: a group that grows beyond GROUP records is split by its whole windows, which are counted with partial sums.
+  what meets under one anchor. One record holds the hashes (nodes) of all
+  windows of an anchor, and a group of one record holds no repeat and is passed over.
+* Window: a group that grows beyond GROUP records is split by its whole windows, which are counted with partial sums.
 
-Copies within a batch are found before the shuffle: of equal records one travels on, the others are repeats already. Nodes are
-told apart by the anchor's 64-bit hash together with the window's 48-bit hash.
+Copies within a batch are found before the shuffle: of equal records one travels on, the others are repeats already. Windows are
+told apart by the anchor's 64-bit hash together with the window's, of which all 64 bits travel; words are not compared.
 """
 
 from __future__ import annotations
@@ -107,8 +107,8 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spread = mix(keys[row[take]].astype(np.uint64), start[take].astype(np.uint64))  # no group: dealt evenly
             yield _out(_SPAN, spread, ids.take(pa.array(row[take])), keys[row[take]], start[take], start[take] + count[take] - 1 + WINDOW)
         take = np.flatnonzero(~later)
-        nodes = np.ascontiguousarray(windows.view(np.uint8).reshape(-1, 8)[np.repeat(~later, count)][:, :6])
-        ends = np.r_[0, np.cumsum(count[take]) * 6].astype(np.int32)
+        nodes = windows[np.repeat(~later, count)]
+        ends = np.r_[0, np.cumsum(count[take]) * 8].astype(np.int32)
         blobs = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(ends), pa.py_buffer(nodes)])
         yield _out(_RECORD, gram[take], ids.take(pa.array(row[take])), keys[row[take]], start[take], start[take], blobs)
 
@@ -122,12 +122,10 @@ def _nodes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of records: each window's node, the record it belongs to, and its place in it."""
     column = batch.column("nodes")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 6)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :6] = raw
-    count = np.diff(offsets) // 6
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+    count = np.diff(offsets) // 8
     record = np.repeat(np.arange(len(count)), count)
-    return full.view(np.uint64).ravel(), record, np.arange(len(raw)) - np.repeat(np.cumsum(count) - count, count)
+    return raw, record, np.arange(len(raw)) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
