@@ -1,0 +1,20 @@
+"""Order statistics over range partitions."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tierwise.operators import order
+
+
+def test_numbered(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice([None, rng.randrange(5), rng.randrange(1000)])) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, value int")
+    found = order.numbered(df, F.col("value").desc_nulls_last(), F.col("id"))
+    ordered = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert {(r.id, r.value): r.position for r in found.collect()} == {r: i for i, r in enumerate(ordered, 1)}
+    assert order.numbered(df.limit(0), F.col("id")).isEmpty()
