@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tierwise.llm import byte_bpe, decontaminate, near_dedup, oracle, spot_signatures, substring_dedup, token_counts, token_files, toxicity, url_templates, warc
+from tierwise.llm import (
+    byte_bpe, decontaminate, exact_dedup, hard_negatives, importance, near_dedup, oracle, spot_signatures, substring_dedup,
+    token_counts, token_files, toxicity, url_templates, warc,
+)
 from tierwise.llm.shared import ready, table
 
 
@@ -82,7 +85,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-NATIVE = ("op3", "op6", "op7")  # these run no Python on executors
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents")).drop("bucket", "chain")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+NATIVE = ("op3", "op6", "op7", "op12")  # these run no Python on executors
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -101,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_level_bpe": op8_byte_level_bpe,
         "op9_warc": op9_warc,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_importance_resampling": op13_importance_resampling,
         "pipeline": corpus_pipeline.run,
     }
     return {name: query if name.split("_")[0] in NATIVE else _shipped(query) for name, query in found.items()}
