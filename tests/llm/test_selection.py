@@ -222,3 +222,14 @@ def test_crcs_of_pairs():
     held = importance.Features(pa.array(texts, pa.large_string()))
     plain = collections.Counter(zlib.crc32(f.encode()) % 10000 for t in texts for w in [t.split()] for f in w + [f"{a} {b}" for a, b in zip(w, w[1:])])
     assert {b: n for b, n in enumerate(held.counts().tolist()) if n} == plain
+
+
+def test_features_of_slices():
+    texts = ["Aé b", None, "C漢 d " * 50, "", "é" * 30 + " Zz"]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    for i in range(5):
+        for j in range(i, 5):
+            part = batch.slice(i, j - i)
+            assert importance._texts(part).to_pylist() == [t or "" for t in texts[i:j]]
+            whole = importance.Features(pa.array([t or "" for t in texts[i:j]], pa.large_string()))
+            assert (importance.Features(importance._texts(part)).counts() == whole.counts()).all()

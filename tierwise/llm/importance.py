@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierwise.llm.shared import parts, written
+from tierwise.llm.shared import byte_view, parts, written
 from tierwise.operators.order import numbered
 
 BUCKETS = 10_000
@@ -134,7 +134,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batch: pa.RecordBatch) -> pa.Array:
-    return batch.column("text").cast(pa.large_string()).fill_null("")
+    """Texts whose offsets start at 0, as ascii_lower needs them; a slice's don't."""
+    data, offsets = byte_view(batch.column("text"))
+    return pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def bucket_counts(docs: DataFrame) -> DataFrame:
