@@ -8,12 +8,10 @@ import __spark_entry__ as entry
 from tierwise import registry
 
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
-ROWS_ONLY = {"cluster_change"}
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
-    assert not set(ORACLE) - set(QUERIES)
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("key", list(ORACLE))
@@ -21,10 +19,5 @@ def test_matches_sql(spark, con, key):
     assert differences(QUERIES[key](spark, SF_DIR), con, ORACLE[key]) == []
 
 
-def test_cluster_change(spark):
-    rows = QUERIES["cluster_change"](spark, SF_DIR).collect()
-    assert rows and all(r.cluster_now is None or 0 <= r.cluster_now < 4 for r in rows)
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -1,4 +1,4 @@
-"""Nearest peers of an entity and movement between clusters."""
+"""Nearest peers of an entity."""
 
 from __future__ import annotations
 
@@ -131,22 +131,3 @@ def outliers(points: DataFrame, k: int = NEIGHBOURS, off: float = OFF) -> DataFr
         "metrics_off",
         (F.col("metrics_off") >= 2).alias("outlier"),
     )
-
-
-def cluster_change(points: DataFrame, k: int = 4, seed: int = 7) -> DataFrame:
-    """Cluster of every entity in each two consecutive months of a period, and whether it changed.
-
-    One model of all months places them all, so cluster numbers mean the same in each month. Training is
-    distributed; only the k centres are held by the driver.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    vectors = VectorAssembler(inputCols=list(SCALES), outputCol="features").transform(points)
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(vectors)
-    series = W.partitionBy("brand_name", "period_type", "entity").orderBy("year_month")
-    placed = model.transform(vectors).select(*GROUP, "entity", F.col("prediction").alias("cluster_now"))
-    before = placed.withColumn("cluster_before", F.lag("cluster_now").over(series))
-    return before.filter(F.col("cluster_before").isNotNull()).withColumn(
-        "changed", F.col("cluster_before") != F.col("cluster_now")
-    )

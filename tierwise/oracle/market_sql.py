@@ -120,6 +120,57 @@ SELECT brand_name, year_month, period_type, entity, neighbours, {r(f"sqrt({r('s'
     )
 
 
+def _clusters(k: int = 4, steps: int = 8) -> str:
+    """Lloyd steps as one stage each, and the least of all ways to match the centres of two months."""
+    from itertools import permutations
+
+    key, axes = "brand_name, year_month, period_type", "gdk"
+    names = ", ".join(f"c{j}{a}" for j in range(k) for a in axes)
+
+    def away(x, y):
+        return " + ".join(f"({x(a)} - {y(a)})::DOUBLE * ({x(a)} - {y(a)})::DOUBLE" for a in axes)
+
+    def near(source):
+        least = ", ".join(f"{{'d': {away(lambda a: f'pt.{a}', lambda a, j=j: f'{source}.c{j}{a}')}, 'j': {j}}}" for j in range(k))
+        return f"list_min([{least}]).j"
+
+    first = ", ".join(f"min({a}) + ((max({a}) - min({a})) * {2 * j + 1}) // {2 * k} AS c{j}{a}" for j in range(k) for a in axes)
+    stages = [f"k0 AS (SELECT {key}, {first} FROM pt GROUP BY ALL)"]
+    for t in range(steps):
+        moved = ", ".join(
+            f"CASE WHEN count(*) FILTER (j = {j}) > 0 THEN (sum({a}) FILTER (j = {j}))::BIGINT // count(*) FILTER (j = {j}) ELSE any_value(c{j}{a}) END AS c{j}{a}"
+            for j in range(k)
+            for a in axes
+        )
+        stages.append(f"k{t + 1} AS (SELECT {key}, {moved} FROM (SELECT pt.*, {near(f'k{t}')} AS j, {names} FROM pt JOIN k{t} USING ({key})) GROUP BY ALL)")
+    last = f"k{steps}"
+    ways = ", ".join(
+        "{'cost': " + " + ".join(f"({away(lambda a, i=i: f'p.c{i}{a}', lambda a, j=j: f'n.c{j}{a}')})" for i, j in enumerate(way))
+        + f", 'way': {list(way)}}}"
+        for way in permutations(range(k))
+    )
+    high = " || ".join(
+        f"CASE WHEN [{', '.join(f'c{j}{a}' for j in range(k))}][j + 1] * {k} >= {' + '.join(f'c{j}{a}' for j in range(k))} THEN 'High' ELSE 'Low' END || '{title}'"
+        for a, title in (("g", "Growth"), ("k", "Rank"))
+    )
+    return (
+        upto()
+        + f""", pt AS (SELECT {key}, region_name AS entity, round_even(growth_py_sales / 10.0::DOUBLE * 10000, 0)::BIGINT AS g,
+    round_even(mshare_deviation / 1.0::DOUBLE * 10000, 0)::BIGINT AS d, round_even(rank_sales_eur / 25.0::DOUBLE * 10000, 0)::BIGINT AS k
+  FROM region_metrics WHERE growth_py_sales IS NOT NULL AND mshare_deviation IS NOT NULL AND rank_sales_eur IS NOT NULL),
+{", ".join(stages)},
+mo AS (SELECT *, lag(year_month) OVER (PARTITION BY brand_name, period_type ORDER BY year_month) AS before FROM {last}),
+wy AS (SELECT n.brand_name, n.year_month, n.period_type, list_min([{ways}]).way AS way FROM mo n
+  JOIN {last} p ON p.brand_name = n.brand_name AND p.period_type = n.period_type AND p.year_month = n.before),
+pl AS (SELECT pt.*, {near(last)} AS j, {names} FROM pt JOIN {last} USING ({key})),
+nm AS (SELECT {key}, entity, j, {high} AS name FROM pl)
+SELECT n.brand_name, n.year_month, n.period_type, n.entity, n.j::INT AS cluster_now, way[b.j + 1]::INT AS cluster_before,
+  n.name AS name_now, b.name AS name_before, way[b.j + 1] <> n.j AS changed, CASE WHEN way[b.j + 1] <> n.j THEN 'high' END AS strength
+FROM nm n JOIN mo USING ({key}) JOIN wy USING ({key})
+JOIN nm b ON b.brand_name = n.brand_name AND b.period_type = n.period_type AND b.entity = n.entity AND b.year_month = mo.before"""
+    )
+
+
 def sql() -> dict[str, str]:
     all_ = market()
     regions = upto()
@@ -207,4 +258,5 @@ UNION ALL SELECT 'position', year_month, period_type, brand_name, region_name, g
             for m, u in TALL.items()
         ),
         "knn_outliers": _knn(),
+        "cluster_change": _clusters(),
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierwise.operators import clusters
 from tierwise.operators import market as mkt
 from tierwise.operators import neighbours as near
 from tierwise.operators import peers
@@ -80,5 +81,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gap_status": _gap_status,
         "metrics_tall": _tall,
         "knn_outliers": lambda s, d: near.outliers(_points(s, d)),
-        "cluster_change": lambda s, d: near.cluster_change(_points(s, d)),
+        "cluster_change": lambda s, d: clusters.cluster_change(_points(s, d)),
     }
