@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from tierwise.operators import clusters
+from tierwise.operators import clusters, order
 
 COLUMNS = "brand_name string, year_month string, period_type string, entity string, growth double, deviation double, rank double"
 AXES = ("growth", "deviation", "rank")
@@ -68,7 +68,7 @@ def made(seed, entities, months=5):
 @pytest.mark.parametrize("salt_rows", [100_000, 40])
 def test_cluster_change(spark, monkeypatch, salt_rows):
     """With 40 points a task the large brand month is dealt to several."""
-    monkeypatch.setattr(clusters, "SALT_ROWS", salt_rows)
+    monkeypatch.setattr(order, "LARGE", salt_rows)
     rows = made(3, 300)
     found = clusters.cluster_change(spark.createDataFrame(rows, COLUMNS)).collect()
     expected = plain(rows, clusters.CLUSTERS, clusters.STEPS)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tierwise.operators import order
 from tierwise.operators.neighbours import GROUP, SCALES
 from tierwise.sources.store import shared_dir
 
@@ -24,7 +25,6 @@ from tierwise.sources.store import shared_dir
 CLUSTERS = 4
 STEPS = 8
 UNIT = 10_000  # scaled features are whole numbers of 1 / UNIT
-SALT_ROWS = 100_000  # points of one brand month in a task, where centres meet their points in a shuffle
 
 SERIES = ["brand_name", "period_type"]
 AXES = list(SCALES)
@@ -69,22 +69,9 @@ def nearest_centre(k: int) -> Column:
     return F.array_min(F.array(*away)).getField("j")
 
 
-def with_centres(points: DataFrame, centres: DataFrame, salts: int) -> DataFrame:
-    """Each point beside the row of its brand month.
-
-    Spark broadcasts the centres where they are few. Where they aren't, a brand month of many points is dealt to `salts` tasks,
-    to each of which its centres go.
-    """
-    if salts == 1:
-        return points.join(centres, GROUP)
-    dealt = points.withColumn("_salt", F.pmod(F.xxhash64("entity"), F.lit(salts)).cast("int"))
-    copies = centres.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*GROUP, "_salt"]).drop("_salt")
-
-
 def step(points: DataFrame, centres: DataFrame, k: int, salts: int) -> DataFrame:
     """The centres moved to the means of their points; a centre without points stays."""
-    near = with_centres(points, centres, salts).withColumn("_near", nearest_centre(k))
+    near = order.beside(points, centres, GROUP, salts, "entity").withColumn("_near", nearest_centre(k))
     sums = [F.max("n").alias("n")]
     for j in range(k):
         inside = F.col("_near") == j
@@ -107,7 +94,7 @@ def fit(points: DataFrame, k: int = CLUSTERS, steps: int = STEPS) -> tuple[DataF
     centres = starts(points, k)
     centres.write.parquet(f"{base}/start")
     centres = spark.read.schema(centres.schema).parquet(f"{base}/start")
-    salts = 1 + (centres.agg(F.max("n")).first()[0] or 0) // SALT_ROWS
+    salts = order.salts_for(centres.agg(F.max("n")).first()[0])
     for _ in range(steps):
         centres = step(points, centres, k, salts)
     centres.write.parquet(f"{base}/centres")
@@ -151,7 +138,7 @@ def placed(points: DataFrame, k: int = CLUSTERS, steps: int = STEPS) -> DataFram
     """Every point with its cluster, the cluster's name, and what its brand month's clusters were a month before."""
     points = whole(points)
     centres, salts = fit(points, k, steps)
-    near = with_centres(points, matched(centres, k), salts).withColumn("cluster", nearest_centre(k))
+    near = order.beside(points, matched(centres, k), GROUP, salts, "entity").withColumn("cluster", nearest_centre(k))
     return near.select(*GROUP, "entity", "cluster", _name(F.col("cluster"), k).alias("name"), "month_before", "now_of")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tierwise.functions.numeric import rnd
+from tierwise.operators import order
 from tierwise.operators.loudness import SERIES, per_signal
 from tierwise.operators.signals import complete, with_lags
 from tierwise.specs import SIGNALS, SignalSpec, normalise_weights
@@ -133,8 +134,12 @@ def _place() -> Column:
     return F.row_number().over(W.partitionBy(*BUNDLE).orderBy(F.desc("composite_loudness"), "entity"))
 
 
-def top_loudest(rows: DataFrame, top_share: float = 0.05) -> DataFrame:
-    """The loudest slice of every bundle: at least one row."""
+def top_loudest(rows: DataFrame, top_share: float = 0.05, large: bool = False) -> DataFrame:
+    """The loudest slice of every bundle: at least one row. Large bundles are numbered over ranges of the loudness."""
+    if large:
+        placed = order.within(rows, BUNDLE, [F.desc("composite_loudness"), F.col("entity")], "entity")
+        keep = F.greatest(F.lit(1), F.floor(F.col("group_size") * F.lit(top_share)).cast("int"))
+        return placed.filter(F.col("place") <= keep).select(*rows.columns, F.col("place").cast("int").alias("place"))
     n = F.count(F.lit(1)).over(W.partitionBy(*BUNDLE))
     keep = F.greatest(F.lit(1), F.floor(n * F.lit(top_share)).cast("int"))
     return (

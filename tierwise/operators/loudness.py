@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tierwise.functions.numeric import rnd
 from tierwise.functions.trajectory import strength, variation
+from tierwise.operators import order
 from tierwise.operators.signals import complete, oldest_first, with_lags
 from tierwise.specs import (
     CONSTANT_HISTORY_SCORE,
@@ -98,8 +99,11 @@ def vs_self(wins: DataFrame, asof: Column) -> DataFrame:
     )
 
 
-def vs_peers(current: DataFrame) -> DataFrame:
-    """Share of the brand's entities whose v is at most the own one."""
+def vs_peers(current: DataFrame, large: bool = False) -> DataFrame:
+    """Share of the brand's entities whose v is at most the own one. A large brand is worked off by ranges of v."""
+    if large:
+        share = lambda below, n, known: rnd((below + n) / known, 3)
+        return order.ranked(current, ["signal_id", "brand_name"], "entity", {"vs_peers": "v"}, share)
     peers = W.partitionBy("signal_id", "brand_name").orderBy("v")
     return current.withColumn("vs_peers", rnd(F.cume_dist().over(peers), 3))
 
@@ -128,9 +132,9 @@ def read_text(direction: Column, shape: Column, tag_: Column, own: Column) -> Co
     return F.concat(base, context, F.when(unusual, sigma).otherwise(""), F.lit("."))
 
 
-def analyze(stacked: DataFrame, asof: Column) -> DataFrame:
+def analyze(stacked: DataFrame, asof: Column, large: bool = False) -> DataFrame:
     """Loudness, trajectory scores, tag and read of every signal, brand and entity at the as-of month."""
-    current = vs_peers(vs_self(windows(stacked), asof))
+    current = vs_peers(vs_self(windows(stacked), asof), large)
     scored = current.select("*", *strength(oldest_first("m"), F.col("kind"), F.col("better")))
     tagged = scored.withColumn("tag", tag(F.col("vs_peers"), F.col("vs_self")))
     return tagged.select(

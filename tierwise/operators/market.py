@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tierwise.functions.numeric import pct_growth, pct_of, rnd
+from tierwise.operators import order
 from tierwise.operators.periods import period_rows
 from tierwise.specs import PERIODS
 
@@ -134,19 +135,25 @@ def attribution(signals: DataFrame, segments: DataFrame, band: float = STABLE_BA
     )
 
 
-def displacement(rows: DataFrame, match: float = MATCH) -> DataFrame:
+def displacement(rows: DataFrame, match: float = MATCH, large: bool = False) -> DataFrame:
     """Regions whose market fell, and whether the franchise rose by about as many units elsewhere in the same period.
 
     The lost units are compared with the summed rise of the other regions, as documented; the region that rose most is named
-    as the leading destination. A group holds one row per region of the dense grid.
+    as the leading destination. A group holds one row per region of the dense grid; the sums of a large one are joined back.
     """
     group = ["year_month", "period_type", "franchise"]
     delta = (F.col("tot_u") - F.col("tot_u_py")).cast("decimal(28,4)")
     moved = rows.withColumn("delta", delta).filter(F.col("delta").isNotNull() & (F.col("delta") != 0))
-    everyone = W.partitionBy(*group)
     rise = F.when(F.col("delta") > 0, F.col("delta"))
     top = F.when(F.col("delta") > 0, F.struct("delta", "region_name"))
-    found = moved.withColumns({"risen": F.sum(rise).over(everyone), "top": F.max(top).over(everyone)}).filter(F.col("delta") < 0)
+    if large:
+        sums = moved.groupBy(*group).agg(F.sum(rise).alias("risen"), F.max(top).alias("top"), F.count(F.lit(1)).alias("_n"))
+        salts = order.salts_for(sums.agg(F.max("_n")).first()[0])
+        found = order.beside(moved.filter(F.col("delta") < 0), sums.drop("_n"), group, salts, "region_name")
+    else:
+        everyone = W.partitionBy(*group)
+        sums = {"risen": F.sum(rise).over(everyone), "top": F.max(top).over(everyone)}
+        found = moved.withColumns(sums).filter(F.col("delta") < 0)
     lost = (-F.col("delta")).cast("double")
     risen = F.coalesce(F.col("risen").cast("double"), F.lit(0.0))
     hit = F.abs(lost - risen) <= F.lit(match) * lost

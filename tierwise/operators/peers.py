@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tierwise.functions.numeric import rnd
+from tierwise.operators import order
 from tierwise.operators.comparatives import PEERS
 from tierwise.specs import MEASURES, RANKED, REGION, Grain
 
@@ -37,13 +38,21 @@ POSITION_SIZES = ((1.0, "Significant"), (0.5, "Moderate"), (None, "Aligned"))
 UNITS = {"units": "units", "sales_eur": "EUR", "market_share": "%"}
 
 
-def peer_gap(metrics: DataFrame, metric: str, grain: Grain = REGION, steady: float = STEADY) -> DataFrame:
+def with_median(metrics: DataFrame, metric: str, entity: str, large: bool) -> DataFrame:
+    """The median of the brand month as `peer_median`; of large brand months from the counts of distinct values."""
+    if not large:
+        return metrics.withColumn("peer_median", rnd(F.median(metric).over(W.partitionBy(*PEERS)), 6))
+    middles = order.medians(metrics, PEERS, metric, "_middle")
+    sizes = metrics.groupBy(*PEERS).agg(F.count(F.lit(1)).alias("_n"))
+    salts = order.salts_for(sizes.agg(F.max("_n")).first()[0])
+    middles = sizes.join(middles, list(PEERS), "left").select(*PEERS, rnd(F.col("_middle"), 6).alias("peer_median"))
+    return order.beside(metrics, middles, PEERS, salts, entity)
+
+
+def peer_gap(metrics: DataFrame, metric: str, grain: Grain = REGION, steady: float = STEADY, large: bool = False) -> DataFrame:
     """Gap to the peer median, the gap one row earlier and its momentum, for every month."""
-    peers = W.partitionBy(*PEERS)
     series = W.partitionBy(*grain.series_keys, "period_type").orderBy("year_month")
-    gaps = metrics.withColumn("peer_median", rnd(F.median(metric).over(peers), 6)).withColumn(
-        "gap", rnd(F.col(metric) - F.col("peer_median"), 2)
-    )
+    gaps = with_median(metrics, metric, grain.entity, large).withColumn("gap", rnd(F.col(metric) - F.col("peer_median"), 2))
     moved = gaps.withColumn("previous_gap", F.lag("gap", 1).over(series)).withColumn(
         "momentum", rnd(F.col("gap") - F.col("previous_gap"), 2)
     )

@@ -37,13 +37,15 @@ def _pick(*columns: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _growth_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.peer_gap(Pipeline(spark, sf_dir).all_periods("region"), "growth_py_sales")
+    pipe = Pipeline(spark, sf_dir)
+    return peers.peer_gap(pipe.all_periods("region"), "growth_py_sales", large=pipe.large())
 
 
 def _gap_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pipe = Pipeline(spark, sf_dir)
     growth = peers.gap_status(_growth_gap(spark, sf_dir), peers.GROWTH_STATUS, peers.GROWTH_SIZES)
     position = peers.gap_status(
-        peers.peer_gap(Pipeline(spark, sf_dir).all_periods("region"), "mshare_deviation"),
+        peers.peer_gap(pipe.all_periods("region"), "mshare_deviation", large=pipe.large()),
         peers.POSITION_STATUS,
         peers.POSITION_SIZES,
     )
@@ -51,6 +53,11 @@ def _gap_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("kind", "year_month", "period_type", "brand_name", "region_name", "gap", "movement", "size_class", "status")
 
 
+def _displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pipe = Pipeline(spark, sf_dir)
+    return mkt.displacement(mkt.market_rows(pipe.monthly()), large=pipe.large())
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.features(Pipeline(spark, sf_dir).all_periods("region"))
 
@@ -75,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             *KEY, "market_growth", "share_momentum", "pie", "slice", "archetype"
         ),
         "attribution": lambda s, d: mkt.attribution(_signals(s, d), _rivals(Pipeline(s, d))),
-        "displacement": lambda s, d: mkt.displacement(mkt.market_rows(Pipeline(s, d).monthly())),
+        "displacement": _displacement,
         "rule_findings": lambda s, d: peers.rule_findings(Pipeline(s, d).all_periods("region")),
         "peer_gap": _growth_gap,
         "gap_status": _gap_status,

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwise.operators import comparatives as c
+from tierwise.operators import order
 from tierwise.operators.grid import dense_sales, roll_up
 from tierwise.operators.periods import forecast_growth, period_rows
 from tierwise.sources import orderlines
 from tierwise.sources.store import Store
-from tierwise.specs import GRAINS, MEASURES, PERIODS, REGION, Grain
+from tierwise.specs import GRAINS, MEASURES, NATIONAL, PERIODS, REGION, Grain
 
 SUMS = ("own_u", "own_s", "tot_s")
 
@@ -29,23 +30,31 @@ def build_metrics(
     brand_forecast: DataFrame,
     grain: Grain = REGION,
     periods: Sequence[str] = PERIODS,
+    large: bool = False,
 ) -> DataFrame:
     """Tiers 1 and 2 at one grain.
 
     Shuffles: one by series (period windows), one by brand month (national reference and all nine
-    ranks), one by series for the rank trend.
+    ranks), one by series for the rank trend. A large brand month has too many entities for one task: its national sums are
+    joined back and its ranks come from the counts of distinct values, by ranges.
     """
     rows = c.join_forecast(grain_rows(monthly, grain, periods), forecast_growth(brand_forecast, periods))
+    if large:
+        rows = c.with_peer_sums(rows, grain.entity)
+    total = c.joined_sum if large else c.peer_sum
     compared = (
         rows.withColumns({**c.share_columns(), **c.growth_columns()})
         .withColumns(
-            {**c.growth_vs_forecast_columns(), **c.growth_deviation_columns(), **c.share_deviation_columns()}
+            {**c.growth_vs_forecast_columns(), **c.growth_deviation_columns(total), **c.share_deviation_columns(total)}
         )
         .withColumns(c.deviation_change_columns())
         .withColumnsRenamed({"own_u": "units", "own_s": "sales_eur"})
     )
     ids = ["year_month", "period_type", *grain.id_columns, *MEASURES]
-    ranked = compared.select(*ids, *[col.alias(name) for name, col in c.rank_columns().items()])
+    if large:
+        ranked = c.large_ranks(compared.select(*ids), grain.entity)
+    else:
+        ranked = compared.select(*ids, *[col.alias(name) for name, col in c.rank_columns().items()])
     return ranked.select("*", c.rank_trend_column(grain))
 
 
@@ -55,6 +64,8 @@ class Pipeline:
     With a folder the tables are kept for later applications.
     """
 
+    _regions: dict[str, int] = {}  # of each source
+
     def __init__(self, spark: SparkSession, sf_dir: str, folder: str | None = None):
         self.spark, self.sf_dir = spark, sf_dir
         self.store = Store(spark, sf_dir, folder)
@@ -78,7 +89,14 @@ class Pipeline:
         return self.store.table("monthly", lambda: dense_sales(self.sales(), self.regions()))
 
     def compute(self, grain: str, periods: Sequence[str] = PERIODS) -> DataFrame:
-        return build_metrics(self.monthly(), self.brand_forecast(), GRAINS[grain], periods)
+        large = grain != NATIONAL.name and self.large()  # one row of a nation is one of a brand month
+        return build_metrics(self.monthly(), self.brand_forecast(), GRAINS[grain], periods, large)
+
+    def large(self) -> bool:
+        """Whether a brand month, one row for each region, is too large for one task."""
+        if self.store.base not in Pipeline._regions:
+            Pipeline._regions[self.store.base] = self.regions().count()
+        return Pipeline._regions[self.store.base] > order.LARGE
 
     def all_periods(self, grain: str) -> DataFrame:
         """The written metric tables of a grain, all periods."""

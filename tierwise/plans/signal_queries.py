@@ -70,7 +70,7 @@ def stacked(pipe: Pipeline, specs: list[SignalSpec], back: int | None = None) ->
 
 def analysis(spark: SparkSession, sf_dir: str, specs: list[SignalSpec]) -> DataFrame:
     pipe = Pipeline(spark, sf_dir)
-    return loud.analyze(stacked(pipe, specs), sig.latest(pipe.metrics(REGION.name)))
+    return loud.analyze(stacked(pipe, specs), sig.latest(pipe.metrics(REGION.name)), pipe.large())
 
 
 def step_scale(pipe: Pipeline) -> DataFrame:
@@ -160,7 +160,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "composite_reads": lambda s, d: rows(s, d, [PAIR]).select(
             "combo_id", "brand_name", "entity", "main_driver", "read"
         ),
-        "composite_top": lambda s, d: comp.top_loudest(rows(s, d, [PAIR])).select(
+        "composite_top": lambda s, d: comp.top_loudest(rows(s, d, [PAIR]), large=Pipeline(s, d).large()).select(
             "combo_id", "brand_name", "entity", "composite_loudness", "place"
         ),
         "composite_scorecard": lambda s, d: comp.scorecard(rows(s, d, [PAIR])),
