@@ -44,7 +44,7 @@ def month_text(n: Column) -> Column:
     )
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_lines(lineitem: DataFrame) -> DataFrame:
     """Keys, months and exact amounts per line: qty in 1/10000 of a unit, value in 1/10^10 of the currency.
 
     Prices and quantities keep four decimals, discounts six. Amounts are exact whole numbers, so sums do not depend
@@ -52,7 +52,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     price = F.rint(F.col("l_extendedprice") * 10_000).cast("long")
     kept = 1_000_000 - F.rint(F.col("l_discount") * 1_000_000).cast("long")
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         "l_orderkey",
         "l_partkey",
         month_number(F.col("l_shipdate")).alias("ship_month"),
@@ -74,7 +74,7 @@ def whole_units() -> Column:
     return F.round("units", 0).cast("long").alias("units")
 
 
-def _lines_by_place(spark: SparkSession, sf_dir: str, own_only: bool) -> DataFrame:
+def _lines_by_place(spark: SparkSession, sf_dir: str, own_only: bool, lineitem: DataFrame | None = None) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     if own_only:
         part = part.filter(brand_number(F.col("p_brand")) <= OWN_BRANDS)
@@ -85,7 +85,7 @@ def _lines_by_place(spark: SparkSession, sf_dir: str, own_only: bool) -> DataFra
     placed = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         "o_orderkey", "order_month", "c_nationkey"
     )
-    lines = order_lines(spark, sf_dir)
+    lines = order_lines(table(spark, sf_dir, "lineitem") if lineitem is None else lineitem)
     return lines.join(part, lines.l_partkey == part.p_partkey).join(
         placed, lines.l_orderkey == placed.o_orderkey
     )
@@ -135,12 +135,15 @@ def sales(spark: SparkSession, sf_dir: str, own_only: bool = False) -> DataFrame
     return _named(cells, spark, sf_dir)
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+CELL = ("ship_month", "order_month", "p_brand", "c_nationkey")
+
+
+def cells(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Ship month x order month x brand x country: one pass over the lines from which both the
-    sales and the brand forecast roll up."""
+    sales and the brand forecast roll up. lineitem: other lines than the folder's."""
     return (
-        _lines_by_place(spark, sf_dir, own_only=False)
-        .groupBy("ship_month", "order_month", "p_brand", "c_nationkey")
+        _lines_by_place(spark, sf_dir, own_only=False, lineitem=lineitem)
+        .groupBy(*CELL)
         .agg(*_amounts())
     )
 
@@ -174,7 +177,7 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines of other products are dropped before the orders join, so the large shuffle carries own
     products only.
     """
-    lines = order_lines(spark, sf_dir).select("l_orderkey", "l_partkey", "qty", "value")
+    lines = order_lines(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_partkey", "qty", "value")
     own = skus(spark, sf_dir).select(F.col("sku_id").alias("l_partkey"))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", month_number(F.col("o_orderdate")).alias("order_month")
