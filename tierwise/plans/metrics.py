@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,13 +98,9 @@ class Pipeline:
         return Pipeline._regions[self.store.base] > order.LARGE
 
     def all_periods(self, grain: str) -> DataFrame:
-        """The written metric tables of a grain, all periods."""
-        return reduce(DataFrame.unionByName, [self.metrics(grain, p) for p in PERIODS])
+        """The written metric table of a grain: all periods from one pass over the months, a partition each."""
+        return self.store.table(f"{grain}_metrics", lambda: self.compute(grain), sort="year_month", by="period_type")
 
     def metrics(self, grain: str, period: str = "MAT") -> DataFrame:
-        """The written metric table of a grain and period."""
-        return self.store.table(
-            f"{grain}_metrics/period_type={period}",
-            lambda: self.compute(grain, [period]).drop("period_type"),
-            sort="year_month",
-        ).withColumn("period_type", F.lit(period))
+        """The rows of one period; other partitions aren't read."""
+        return self.all_periods(grain).filter(F.col("period_type") == period)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tierwise.sources.files import read_if_exists
+from tierwise.sources.files import for_partitions, read_if_exists
 
 _LOCAL_BASE: dict[str, str] = {}
 _REBUILD = ""  # marks a store whose written tables must not be taken over
@@ -85,10 +85,11 @@ class Store:
     def _complete(self, name: str) -> bool:
         return read_if_exists(self.spark, self.path(f"done/{name}"), "n int") is not None
 
-    def table(self, name: str, build: Callable[[], DataFrame], sort: str | None = None) -> DataFrame:
+    def table(self, name: str, build: Callable[[], DataFrame], sort: str | None = None, by: str | None = None) -> DataFrame:
         """The written table, building it on first use.
 
-        Files sorted by month let readers of a few months skip row groups by their statistics.
+        Files sorted by month let readers of a few months skip row groups by their statistics. `by` is a column to partition by; it
+        comes last.
         """
         path = self.path(name)
         with Store._lock:
@@ -96,8 +97,13 @@ class Store:
             if self.kept and not {name, _REBUILD} & done and self._complete(name):
                 return self.spark.read.parquet(path)
             if name not in done:
-                df = build() if sort is None else build().sortWithinPartitions(sort)
-                df.write.mode("overwrite").parquet(path)
+                df = build()
+                columns = [by] if by else []
+                if by:
+                    df = for_partitions(df.select(*[c for c in df.columns if c != by], by), columns)
+                if sort:
+                    df = df.sortWithinPartitions(*columns, sort)
+                df.write.mode("overwrite").partitionBy(*columns).parquet(path)
                 Store._schemas[path] = df.schema
                 done.add(name)
                 if self.kept:
