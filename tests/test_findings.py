@@ -190,10 +190,13 @@ def brute_nearest(points, k):
     return out
 
 
-@pytest.mark.parametrize("seed,n,spread", [(1, 120, 1.0), (2, 60, 200.0), (3, 4, 1.0), (4, 1, 1.0)])
-def test_nearest_is_exact(spark, seed, n, spread):
+@pytest.mark.parametrize("seed,n,spread,leaf", [(1, 120, 1.0, 64), (1, 400, 1.0, 8), (2, 60, 200.0, 4), (2, 60, 200.0, 64), (3, 4, 1.0, 64), (4, 1, 1.0, 64), (5, 9, 1.0, 2)])
+def test_nearest_is_exact(spark, seed, n, spread, leaf, monkeypatch):
+    """By the whole group, and by space with small leaves, where the top of the tree goes by ranges and with salts."""
     import random
 
+    monkeypatch.setattr(neighbours.order, "LARGE", 50)
+
     rng = random.Random(seed)
     pts = []
     for i in range(n):
@@ -207,7 +210,7 @@ def test_nearest_is_exact(spark, seed, n, spread):
         "brand_name string, year_month string, period_type string, entity string, growth double, deviation double, rank double",
     )
     got = {}
-    for r in neighbours.nearest(df, 5, slots=3).orderBy("place").collect():
+    for r in neighbours.nearest(df, 5, leaf).orderBy("place").collect():
         got.setdefault(r.me.entity, []).append(r.peer.entity)
     want = {e: near for e, near in brute_nearest(pts, 5).items() if near}
     assert got == want

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tierwise.functions.numeric import rnd
+from tierwise.operators import order
 
 GROUP = ["brand_name", "year_month", "period_type"]
 
@@ -14,8 +17,8 @@ GROUP = ["brand_name", "year_month", "period_type"]
 SCALES = {"growth": 10.0, "deviation": 1.0, "rank": 25.0}
 OFF = 1.0
 NEIGHBOURS = 5
-SLOTS = 5
-CELL = 64  # points of a cell
+LEAF = 64  # places of a leaf; a brand month with no more points is compared whole
+SLACK = 1e-8  # more than the rounding of a squared distance
 
 
 def features(metrics: DataFrame, entity: str = "region_name") -> DataFrame:
@@ -32,102 +35,149 @@ def features(metrics: DataFrame, entity: str = "region_name") -> DataFrame:
     )
 
 
-def _distance(a: str, b: str) -> Column:
-    """Squared distance of two points given as structs, at 9 decimals."""
+AXES = list(SCALES)
+PLACE = [*GROUP, *AXES]
+
+
+def _squared(x: Column, y: Column) -> Column:
+    """Squared distance of two structs, at 9 decimals."""
     total = F.lit(0.0)
-    for c in SCALES:
-        d = F.col(f"{a}.{c}") - F.col(f"{b}.{c}")
+    for a in AXES:
+        d = x.getField(a) - y.getField(a)
         total = total + d * d
     return rnd(total, 9)
 
 
-def _cells(points: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Points cut by count, not by width: strips in the order of growth, and in each strip cells of at most CELL points in
-    the order of deviation. Also the bounds of strips and cells. Dense places get small cells."""
-    n = F.count(F.lit(1)).over(W.partitionBy(*GROUP))
-    by_growth = F.row_number().over(W.partitionBy(*GROUP).orderBy("growth", "entity"))
-    size = F.ceil(F.sqrt(n * CELL))  # points of a strip: as many cells as there are strips
-    points = points.withColumn("_strip", F.floor((by_growth - 1) / size))
-    by_deviation = F.row_number().over(W.partitionBy(*GROUP, "_strip").orderBy("deviation", "entity"))
-    points = points.withColumn("_cell", F.floor((by_deviation - 1) / CELL))
+def _closest(me: Column, others: Column, k: int) -> Column:
+    """The first k of `others`, structs of entity and axes, as structs (d2, entity, axes); ties by entity."""
+    each = F.transform(
+        others, lambda p: F.struct(_squared(me, p).alias("d2"), p.getField("entity").alias("entity"), *[p.getField(a).alias(a) for a in AXES])
+    )
+    return F.slice(F.sort_array(each), 1, k)
 
-    def bounds(columns) -> list[Column]:
-        return [f(c).alias(f"{c}_{name}") for c in columns for f, name in ((F.min, "low"), (F.max, "high"))]
 
-    strips = points.groupBy(*GROUP, "_strip").agg(*bounds(["growth"]))
-    return points, strips, points.groupBy(*GROUP, "_strip", "_cell").agg(*bounds(SCALES))
+def nearest_lists(points: DataFrame, k: int = NEIGHBOURS, leaf: int = LEAF) -> DataFrame:
+    """Each point with `near`, its k nearest peers of the brand month as structs (d2, entity, axes); ties by entity.
 
+    Brand months of up to `leaf` points are gathered and compared whole. Where there is a larger one, space is split for all brand
+    months at once, see _by_space. Points without a peer have no row.
+    """
+    n = points.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    me = F.struct("entity", *AXES)
+    if n > leaf:
+        return _by_space(points, k, leaf, n)
+    # a set number of partitions: few bytes, but much work for each, so they shouldn't be put together
+    dealt = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *GROUP)
+    gathered = dealt.groupBy(*GROUP).agg(F.collect_list(me).alias("all")).filter(F.size("all") > 1)
+    each = gathered.select(*GROUP, "all", F.explode("all").alias("me"))
+    return each.select(*GROUP, "me", _without(F.col("me.entity"), _closest(F.col("me"), F.col("all"), k + 1), k).alias("near"))
 
-def nearest(points: DataFrame, k: int = NEIGHBOURS, slots: int = SLOTS) -> DataFrame:
-    """The k nearest peers of every point within its brand month, exactly, without forming all pairs.
 
-    Each point is first compared with a few places on either side in the order of every coordinate.
-    The k-th distance found there bounds the true one, so every nearer peer lies in a box of that
-    half-width around the point; the cells that the box meets hold them all, and cells have few points each. Of points at
-    one and the same place only the first k + 1 names can be among anyone's nearest, so a pile of
-    equal points does not multiply. Nothing is capped: the box always holds the k nearest.
-    """
-    xyz = F.struct("entity", *SCALES)
-    around = []
-    for c in SCALES:
-        order = W.partitionBy(*GROUP).orderBy(c, "entity")
-        around += [shift("me", i).over(order) for shift in (F.lag, F.lead) for i in range(1, slots + 1)]
-    seen = points.withColumn("me", xyz).withColumn(
-        "around", F.array_distinct(F.array_compact(F.array(*around)))
-    )
+def _without(entity: Column, near: Column, k: int) -> Column:
+    """The first k of the k + 1 closest, the point itself left out."""
+    return F.slice(F.filter(near, lambda x: x.getField("entity") != entity), 1, k)
 
-    def gap(p: Column) -> Column:
-        total = F.lit(0.0)
-        for c in SCALES:
-            d = p.getField(c) - F.col(c)
-            total = total + d * d
-        return rnd(total, 9)
-
-    near = seen.withColumn("near", F.array_sort(F.transform("around", gap)))
-    # Fewer than k places means that the whole group was seen; its farthest place is the bound.
-    probes = near.filter(F.size("around") > 0).withColumn(
-        "reach", F.sqrt(F.coalesce(F.get("near", F.lit(k - 1)), F.array_max("near"))) + 1e-4
-    )
 
-    probes = probes.select(*GROUP, "me", "reach")
-    pile = W.partitionBy(*GROUP, *SCALES).orderBy("entity")
-    peers = points.withColumn("_n", F.row_number().over(pile)).filter(F.col("_n") <= k + 1).drop("_n")
-    celled, strips, cells = _cells(peers)
-
-    def meets(c: str) -> Column:
-        x, reach = F.col(f"me.{c}"), F.col("reach")
-        return (F.col(f"{c}_low") <= x + reach) & (F.col(f"{c}_high") >= x - reach)
-
-    reached = probes.join(strips, GROUP).filter(meets("growth")).drop("growth_low", "growth_high")
-    reached = reached.join(cells, [*GROUP, "_strip"]).filter(meets("growth") & meets("deviation") & meets("rank"))
-    peer = celled.select(*GROUP, "_strip", "_cell", xyz.alias("peer"))
-    pairs = reached.select(*GROUP, "me", "reach", "_strip", "_cell").join(peer, [*GROUP, "_strip", "_cell"])
-    inside = F.lit(True)
-    for c in SCALES:
-        inside = inside & (F.abs(F.col(f"me.{c}") - F.col(f"peer.{c}")) <= F.col("reach"))
-    pairs = pairs.filter((F.col("me.entity") != F.col("peer.entity")) & inside)
-    place = F.row_number().over(
-        W.partitionBy(*GROUP, "me").orderBy("d2", F.col("peer.entity"))
-    )
-    return pairs.withColumn("d2", _distance("me", "peer")).withColumn("place", place).filter(F.col("place") <= k)
+def _places(points: DataFrame, k: int) -> DataFrame:
+    """Different places with the first k + 1 names at each: of points in one place no more can be among anyone's nearest."""
+    pile = W.partitionBy(*PLACE).orderBy("entity")
+    heads = points.withColumn("_n", F.row_number().over(pile)).filter(F.col("_n") <= k + 1)
+    return heads.groupBy(*PLACE).agg(F.collect_list("entity").alias("names")).withColumn("_id", F.xxhash64(*AXES))
 
 
-def outliers(points: DataFrame, k: int = NEIGHBOURS, off: float = OFF) -> DataFrame:
-    """Entities that differ from the median of their nearest peers on at least two metrics."""
-    grouped = nearest(points, k).groupBy(*GROUP, "me").agg(
-        *[rnd(F.median(F.col(f"peer.{c}")), 6).alias(f"_{c}") for c in SCALES],
-        F.sum("d2").alias("_d2"),
-        F.count(F.lit(1)).alias("neighbours"),
+def _split(places: DataFrame, levels: int, n: int) -> DataFrame:
+    """places with `node`, the number of their leaf: the root is 1, the halves of a node are 2 node and 2 node + 1.
+
+    Nodes are halved by count, along one axis after the other. Nodes too large for a task are numbered over ranges.
+    """
+    places = places.withColumn("node", F.lit(1).cast("long"))
+    for level in range(levels):
+        turn = [AXES[(level + i) % len(AXES)] for i in range(len(AXES))]
+        group = [*GROUP, "node"]
+        if n >> level > order.LARGE:
+            placed = order.within(places, group, [F.col(a) for a in turn], "_id")
+        else:
+            inside = W.partitionBy(*group)
+            size = F.count(F.lit(1)).over(inside)
+            placed = places.withColumns({"place": F.row_number().over(inside.orderBy(*turn)), "group_size": size})
+        half = (F.col("place") * 2 > F.col("group_size") + 1).cast("long")
+        places = placed.withColumn("node", F.col("node") * 2 + half).drop("place", "group_size")
+    return order.written(places)
+
+
+def _by_space(points: DataFrame, k: int, leaf: int, n: int) -> DataFrame:
+    """nearest_lists by a tree of boxes, exactly.
+
+    The (k + 1)-th distance within a place's own leaf bounds the true one. From the root down, a place goes on to those halves whose box
+    comes within that distance; in the leaves it arrives at, the closest names are taken. All places of all brand months descend
+    in one join a level, and none is compared with all others.
+    """
+    levels = math.ceil(math.log2(n / leaf))
+    places = _split(_places(points, k), levels, n)
+    ups = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda i: F.call_function("shiftright", F.col("node"), i))
+    bounds = [f(a).alias(f"{a}_{name}") for a in AXES for f, name in ((F.min, "low"), (F.max, "high"))]
+    leaves = places.groupBy(*GROUP, "node").agg(*bounds)
+    above = [F.min(f"{a}_low").alias(f"{a}_low") for a in AXES] + [F.max(f"{a}_high").alias(f"{a}_high") for a in AXES]
+    boxes = leaves.withColumn("node", F.explode(ups)).groupBy(*GROUP, "node").agg(*above)
+    boxes = order.written(boxes)
+
+    entry = F.struct(*AXES, "names")
+    held = places.groupBy(*GROUP, "node").agg(F.collect_list(entry).alias("held"))  # a leaf
+    spread = F.flatten(
+        F.transform("held", lambda p: F.transform(p.getField("names"), lambda e: F.struct(e.alias("entity"), *[p.getField(a).alias(a) for a in AXES])))
     )
+    held = order.written(held.select(*GROUP, "node", "held", spread.alias("others")))
+    own = held.select(*GROUP, "node", "others", F.explode("held").alias("me"))
+    own = own.select(*GROUP, "node", "me", _closest(F.col("me"), F.col("others"), k + 1).alias("near"))
+    reach = F.coalesce(F.get("near", F.lit(k)).getField("d2"), F.lit(float("inf"))) + SLACK
+    own = order.written(own.select(*GROUP, *[F.col(f"me.{a}").alias(a) for a in AXES], "node", "near", reach.alias("reach")))
+
+    seeking = own.select(*PLACE, "reach", F.col("node").alias("_own"), F.lit(1).cast("long").alias("node"))
+    seeking = seeking.withColumn("_id", F.xxhash64(*AXES))
+    for level in range(1, levels + 1):
+        away = F.lit(0.0)
+        for a in AXES:
+            d = F.greatest(F.col(f"{a}_low") - F.col(a), F.col(a) - F.col(f"{a}_high"), F.lit(0.0))
+            away = away + d * d
+        down = seeking.withColumn("node", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)))
+        met = order.beside(down, boxes, [*GROUP, "node"], order.salts_for(n >> level), "_id")
+        seeking = met.filter(away <= F.col("reach")).select(*seeking.columns)
+    seeking = seeking.filter(F.col("node") != F.col("_own"))
+    arrived = seeking.join(held.select(*GROUP, "node", "others"), [*GROUP, "node"])
+    found = arrived.select(*PLACE, _closest(F.struct(*AXES), F.col("others"), k + 1).alias("near"))
+    lists = found.unionByName(own.select(*PLACE, "near")).groupBy(*PLACE).agg(F.flatten(F.collect_list("near")).alias("near"))
+    near = _without(F.col("entity"), F.slice(F.sort_array("near"), 1, k + 1), k)
+    named = points.join(lists, PLACE).select(*GROUP, F.struct("entity", *AXES).alias("me"), near.alias("near"))
+    return named.filter(F.size("near") > 0)
+
+
+def nearest(points: DataFrame, k: int = NEIGHBOURS, leaf: int = LEAF) -> DataFrame:
+    """One row a point and peer: me, peer, d2 and place 1 to k."""
+    rows = nearest_lists(points, k, leaf).select(*GROUP, "me", F.posexplode("near").alias("place", "x"))
+    peer = F.struct(F.col("x.entity").alias("entity"), *[F.col(f"x.{a}").alias(a) for a in AXES])
+    return rows.select(*GROUP, "me", peer.alias("peer"), F.col("x.d2").alias("d2"), (F.col("place") + 1).alias("place"))
+
+
+def _median(axis: str) -> Column:
+    """The median of an axis over the nearest peers, a short array."""
+    ordered, n = F.array_sort(F.transform("near", lambda x: x.getField(axis))), F.size("near")
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
+def outliers(points: DataFrame, k: int = NEIGHBOURS, off: float = OFF, leaf: int = LEAF) -> DataFrame:
+    """Entities that differ from the median of their nearest peers on at least two metrics."""
+    lists = nearest_lists(points, k, leaf)
     count = F.lit(0)
-    for c in SCALES:
-        count = count + (F.abs(F.col(f"me.{c}") - F.col(f"_{c}")) > off).cast("int")
-    mean = rnd(F.sqrt(rnd(F.col("_d2"), 6) / F.col("neighbours")), 4)
-    return grouped.withColumn("metrics_off", count).select(
+    for a in AXES:
+        middle = rnd(_median(a), 6)
+        count = count + (F.abs(F.col(f"me.{a}") - middle) > off).cast("int")
+    d2 = F.aggregate("near", F.lit(0.0), lambda total, x: total + x.getField("d2"))
+    neighbours = F.size("near").cast("long")
+    return lists.withColumn("metrics_off", count).select(
         *GROUP,
         F.col("me.entity").alias("entity"),
-        "neighbours",
-        mean.alias("distance"),
+        neighbours.alias("neighbours"),
+        rnd(F.sqrt(rnd(d2, 6) / neighbours), 4).alias("distance"),
         "metrics_off",
         (F.col("metrics_off") >= 2).alias("outlier"),
     )
