@@ -345,8 +345,10 @@ def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
-    for df, rows in ((docs, EDGES), (small(spark), rows_of(small(spark), "doc_id", "text"))):
+    special = [(70, "a <|endoftext|> b"), (71, "Word<|startoftext|>word <|ENDOFTEXT|>,"), (72, "<|endoftext|>" * 3), (73, "<|endoftext")]
+    assert 49407 in tokenizer.encode(special[0][1], add_special_tokens=False).ids
+    given = spark.createDataFrame(special, "doc_id long, text string")
+    for df, rows in ((given, special), (docs, EDGES), (small(spark), rows_of(small(spark), "doc_id", "text"))):
         ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
         expected, start = [], 0
         for d, t in ordered:
@@ -361,13 +363,17 @@ def test_token_files(spark, docs):
 
 
 def test_words_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
     random.seed(3)
     words = token_files.Words(public_tokenizers.path("word_bpe_49k.json"))
     letters = " \n\t\x0b\x1c\x85\xa0ab'stéΣßÉ中½²٣.!? \r_漢🙂é,;'İſ<|endoftext|>"
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 14))) for _ in range(5000)] + ["a <|endoftext|> b"]
-    plain = words.tokenizer.encode_batch(texts, add_special_tokens=False)
-    for t, a, b in zip(texts, words.encode([t.encode() for t in texts]), plain):
-        assert np.frombuffer(a, "<i4").tolist() == [*b.ids, 1], t
+    texts += ["".join(random.choices(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "a", "É.", " ", "!"], k=6)) for _ in range(3000)]
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode_batch(texts, add_special_tokens=False)
+    ids, n = words.encode(pa.array(texts))
+    for t, a, b in zip(texts, np.split(ids, np.cumsum(n)[:-1]), plain, strict=True):
+        assert a.tolist() == [*b.ids, 1], t
 
 
 def warc_expected(rows):

@@ -16,7 +16,7 @@ from llm.brute import ITEM_WORDS, ascii_lower
 from llm.test_documents import COLUMNS, EDGES, rows_of, same, small
 from pyspark.sql import functions as F
 
-from tierwise.llm import exact_dedup, hard_negatives, importance
+from tierwise.llm import exact_dedup, hard_negatives, importance, shared
 
 MORE = [
     (20, "a b"), (21, "a\t\n b"), (22, " a b"), (23, "a b "), (24, "a b "), (25, "a b"), (26, "A b"), (27, "ab"), (28, "  "), (29, " "),
@@ -230,6 +230,6 @@ def test_features_of_slices():
     for i in range(5):
         for j in range(i, 5):
             part = batch.slice(i, j - i)
-            assert importance._texts(part).to_pylist() == [t or "" for t in texts[i:j]]
+            assert shared.from_zero(part.column("text")).to_pylist() == [t or "" for t in texts[i:j]]
             whole = importance.Features(pa.array([t or "" for t in texts[i:j]], pa.large_string()))
-            assert (importance.Features(importance._texts(part)).counts() == whole.counts()).all()
+            assert (importance.Features(shared.from_zero(part.column("text"))).counts() == whole.counts()).all()

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierwise.llm.shared import byte_view, parts, written
+from tierwise.llm.shared import from_zero, parts, written
 from tierwise.operators.order import numbered
 
 BUCKETS = 10_000
@@ -128,17 +128,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for part in parts(batch, size=PART_BYTES):
-            total += Features(_texts(part)).counts()
+            total += Features(from_zero(part.column("text"))).counts()
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
 
-def _texts(batch: pa.RecordBatch) -> pa.Array:
-    """Texts whose offsets start at 0, as ascii_lower needs them; a slice's don't."""
-    data, offsets = byte_view(batch.column("text"))
-    return pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-
-
 def bucket_counts(docs: DataFrame) -> DataFrame:
     """(bucket, n): the features of all texts, repeats counted. At most BUCKETS rows."""
     each = docs.select("text").mapInArrow(_counted, "bucket long, n long")
@@ -175,7 +169,7 @@ def scored(docs: DataFrame, gain: DataFrame, seed: int = SEED) -> DataFrame:
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, size=PART_BYTES):
-                n_words, n, total = Features(_texts(part)).sums(known)
+                n_words, n, total = Features(from_zero(part.column("text"))).sums(known)
                 mean = np.where(n > 0, total // np.maximum(n, 1), 0)
                 columns = [part.column("doc_id"), *map(pa.array, (n_words, n, mean))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_features", "weight"])

@@ -112,6 +112,12 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def from_zero(column: pa.Array) -> pa.Array:
+    """The texts as an array whose offsets start at 0, as Arrow's ascii kernels need them; those of a slice don't."""
+    data, offsets = byte_view(column)
+    return pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, delimiter: np.ndarray):
     """Starts and ends of words, and the n + 1 word numbers where texts begin."""
     inside = ~delimiter[data]

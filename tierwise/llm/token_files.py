@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierwise.llm.files import commit, made, put
-from tierwise.llm.shared import parts, scratch, written
+from tierwise.llm.shared import LOWER, SPACE, byte_view, parts, scratch, word_bounds, written
 
 END = 1  # the id after each document
 FILE_BYTES = 16 << 20  # a file is closed once it has so many
@@ -63,18 +63,62 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return four.view("<u4").ravel() & _MASKS[sizes]
 
 
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for first, last in ranges:
+        out[first : last + 1] = True
+    return out
+
+
+#: ASCII letters and the bytes of accented Latin ones; ASCII punctuation but for the apostrophe and the low line.
+_LETTER = _bytes((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xBF), (0xC3, 0xC3))
+_MARK = _bytes((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x5E), (0x60, 0x60), (0x7B, 0x7E))
+_LATIN_LEAD, _SIGNS = 0xC3, (0x97, 0xB7)  # the lead byte of accented Latin letters, and the two signs among them
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The texts' units, which the tokenizer encodes each by itself, and how many each text has.
+
+    Texts fall apart at ASCII white space, which the tokenizer drops. A word of Latin letters with marks behind it is two units, the
+    letters in lower case and the marks; any other word is one as it stands.
+    """
+    starts, ends, first = word_bounds(data, offsets, SPACE)
+    letter, mark = _LETTER[data], _MARK[data]
+    before = np.r_[np.uint8(0), data[:-1]]
+    lead = before == _LATIN_LEAD
+    odd = ~(letter | mark | SPACE[data])
+    follows = (data >= 0x80) & (data < 0xC0)  # a second byte
+    odd |= follows & (~lead | (data == _SIGNS[0]) | (data == _SIGNS[1]))
+    after_mark = np.r_[False, mark[:-1]]
+    odd |= letter & after_mark
+    odd[starts] |= mark[starts]
+    if len(starts):
+        strange = np.logical_or.reduceat(odd, starts)
+        edges = np.zeros(len(data) + 1, np.int8)
+        edges[starts[strange]] += 1
+        edges[ends[strange]] -= 1
+        as_is = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
+        cuts = np.flatnonzero(mark & ~after_mark & ~as_is)
+        data = np.where(as_is, data, LOWER[data])
+    else:
+        cuts = starts
+    starts, ends = np.sort(np.r_[starts, cuts]), np.sort(np.r_[ends, cuts])
+    kept = np.repeat(starts - np.r_[0, np.cumsum(ends - starts)[:-1]], ends - starts) + np.arange((ends - starts).sum())
+    bounds = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
+    units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[kept])])
+    return units, np.diff(np.searchsorted(starts, offsets))
+
+
 class Words:
     """A tokenizer of a file whose texts fall apart at white space; ids of words are remembered."""
 
-    #: A Latin word with what follows it is the word in lower case and the rest, each by itself.
-    _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'À-￿]*)").fullmatch
+    _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(file)  # as loaded: a special token's string in a text is that token
         self.size = self.tokenizer.get_vocab_size()
         self.ending = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
         self.new: dict[bytes, bytes] = {}
@@ -90,10 +134,10 @@ class Words:
         return missing
 
     def _encode_units(self, units: list[bytes]) -> None:
-        """Remembers the ids of units. Plain words are encoded many at a time: each ends with an id that ends a word."""
+        """Remembers the ids of units. Words of letters are encoded many at a time: each ends with an id that ends a word."""
         texts = [u.decode() for u in units]
-        plain = [t for t in texts if t.isascii() and t.isalpha()]
-        others = [t for t in texts if not (t.isascii() and t.isalpha())]
+        plain = [t for t in texts if self._LETTERS(t)]
+        others = [t for t in texts if not self._LETTERS(t)]
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             (encoded,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
@@ -105,31 +149,26 @@ class Words:
         for t, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             self.new[t.encode()] = array("i", e.ids).tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as 32-bit integers, END last."""
-        words = [t.split() for t in texts]  # of bytes: at ASCII white space, which the tokenizer drops
-        made = []  # words of two units, with them
-        units = set()
-        for w in self._known(set().union(*words)):
-            simple = self._SIMPLE(w.decode())
-            if simple is None:
-                units.add(w)
-                continue
-            word, rest = simple[1].lower().encode(), simple[2].encode()
-            units.add(word)
-            if rest:
-                units.add(rest)
-            if word != w:
-                made.append((w, word, rest))
-        self._encode_units(self._known(units))
-        new = self.new
-        for w, word, rest in made:
-            new[w] = new[word] + new[rest] if rest else new[word]
-        end = np.array([END], "<i4").tobytes()
-        out = [b"".join([*map(new.__getitem__, ws), end]) for ws in words]
-        if len(new) > REMEMBERED:
-            self.old, self.new = new, {}
-        return out
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts as 32-bit integers, END after each, and how many each has.
+
+        The texts' bytes are cut into units, Arrow numbers the different ones, Python sees each of these once, and their
+        ids are gathered by number.
+        """
+        units, per_text = cut(*byte_view(texts))
+        found = units.dictionary_encode()
+        wanted = found.dictionary.to_pylist()
+        self._encode_units(self._known(set(wanted)))
+        ids = [self.new[u] for u in wanted]
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        ids.append(np.array([END], "<i4").tobytes())
+        ends = np.cumsum(per_text)
+        numbers = np.insert(found.indices.to_numpy(), ends, len(ids) - 1)
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(numbers))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(numbers) + 1]
+        bounds = offsets[np.r_[0, ends + np.arange(1, len(texts) + 1)]] // 4
+        return np.frombuffer(taken.buffers()[2], "<i4")[: bounds[-1]], np.diff(bounds)
 
 
 @lru_cache(maxsize=1)
@@ -158,10 +197,11 @@ def _encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         for batch in batches:
             for part in parts(batch):
-                found = w.encode([x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()])
-                n = np.array([len(x) // 4 for x in found], np.int64)
-                counts += np.bincount(np.frombuffer(b"".join(found), "<i4"), minlength=len(counts))
-                small = [np.frombuffer(x, "<i4").astype("<u4" if len(counts) > 1 << 16 else "<u2").tobytes() for x in found]
+                ids, n = w.encode(part.column("text"))
+                counts += np.bincount(ids, minlength=len(counts))
+                ids = ids.astype("<u4" if len(counts) > 1 << 16 else "<u2")
+                ends = np.r_[0, np.cumsum(n)] * ids.itemsize
+                small = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
                 yield rows(part.column("doc_id"), n, small, [None] * len(n))
                 place, before = place + len(n), before + int(n.sum())
         if place:
