@@ -7,6 +7,7 @@ from tierwise.functions.numeric import half_up, rnd, short_number
 from tierwise.functions.trajectory import persistence, relevance, strength
 from tierwise.specs import SignalSpec, combinations_by_grain, normalise_weights
 
+# Documented series and their scores.
 GOLDEN = [
     ([-5.60, -4.92, -4.71, -4.36], "position", 1.24, 1.24, 1.0, "improving", "trend"),
     ([-5.23, -5.41, -4.79, -4.55], "position", 1.04, 0.68, 0.654, "improving", "trend"),

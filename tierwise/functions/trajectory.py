@@ -91,6 +91,7 @@ def persistence(rho: Column) -> Column:
 
 def relevance(rank: Column, v: Column, period: Column, kind: Column, prefix: str = "") -> list[Column]:
     """materiality x loudness x horizon, with its band."""
+    # Bounds of the rank and of the score.
     materiality = F.when(rank >= 90, 4).when(rank >= 75, 3).when(rank >= 50, 2).otherwise(1)
     a = F.abs(v)
     loudness = (

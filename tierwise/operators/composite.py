@@ -103,6 +103,7 @@ def composite_rows(parts: DataFrame) -> DataFrame:
     )
     net = rnd(F.col("good"), 3)
     ker = F.when(F.col("path") > 0, F.signum(net) * F.col("reach") / F.nullif(F.col("path"), F.lit(0.0)))
+    # The wording of the reading.
     agree = F.when(
         F.col("ways") <= 1, "reinforcing — components move the same way"
     ).otherwise("divergent — components pull opposite ways")

@@ -1,4 +1,4 @@
-"""Comparisons with peers: median gaps, rule findings, nearest neighbours, clusters, tall layout."""
+"""Comparisons with peers: median gaps, rule findings, tall layout."""
 
 from __future__ import annotations
 

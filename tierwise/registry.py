@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tierwise.oracle import findings_sql, market_sql, metrics_sql, signals_sql
+from tierwise.oracle import findings_sql, market_sql, period_sql, signals_sql
 from tierwise.plans import finding_queries, market_queries, metric_queries, signal_queries
 
 _QUERIES = (metric_queries, signal_queries, finding_queries, market_queries)
-_ORACLES = (metrics_sql, signals_sql, findings_sql, market_sql)
+_ORACLES = (period_sql, signals_sql, findings_sql, market_sql)
 
 
 def queries():
