@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tierwise.llm.files import folder
 from tierwise.sources.store import shared_dir
 
 #: White space of the contracts: blank and 9 to 13.
@@ -29,6 +30,7 @@ _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 _READY: set[str] = set()
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -48,9 +50,9 @@ def ready(spark: SparkSession) -> SparkSession:
 
         if not spark.range(1).mapInArrow(found, "known boolean").first().known:
             package = Path(__file__).resolve().parents[1]
-            folder = tempfile.mkdtemp(prefix="tierwise-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            with zipfile.ZipFile(f"{folder}/tierwise.zip", "w", zipfile.ZIP_DEFLATED) as out:
+            made = tempfile.mkdtemp(prefix="tierwise-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            with zipfile.ZipFile(f"{made}/tierwise.zip", "w", zipfile.ZIP_DEFLATED) as out:
                 for file in sorted(package.rglob("*.py")):
                     out.write(file, file.relative_to(package.parent))
             context.addPyFile(out.filename)  # Spark's driver serves it to the executors
@@ -67,14 +69,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tierwise-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: cuts the lineage, and a lost executor costs a re-read."""
+def written(df: DataFrame, name: str, release: bool = False, **options: str) -> DataFrame:
+    """df as a written table, options as Spark's writer takes them: cuts the lineage, and a lost executor costs a re-read.
+
+    With release, the shuffles of df go when the table is there. Whoever uses df itself again has them made anew.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, str(release).lower())
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes a table that `written` made and nothing reads any more. Where Arrow doesn't know the kind of folder, it stays."""
+    for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        try:
+            system, base = folder(path)
+        except pa.ArrowInvalid:
+            continue
+        system.delete_dir(base)
+
+
 def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     """A 64-bit hash of each ordered pair."""
     x = (b ^ (b >> _31)) * _R2

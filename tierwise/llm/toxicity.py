@@ -26,13 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierwise.llm.shared import LOWER, byte_view, mix, parts, word_bounds, word_hashes, written
+from tierwise.llm.shared import LOWER, byte_view, mix, parts, removed, word_bounds, word_hashes, written
 
 STEM = 5
 PART = 1 << 20  # bytes of text that are scored at once
-BLOCK = 16 << 20  # bytes of text, about, that share a dictionary
+BLOCK = 32 << 20  # bytes of text, about, that share a dictionary
+SUMMED = 8 << 20  # bytes of text whose words and pairs are summed before they travel
+RANGE = 12 << 20  # bytes of text for each range of hashes that one task sums
 FILTER_BITS = (16, 28)  # least and greatest size of the bit filter, as powers of two
 SLICE = 16  # bits of a filter's slice, as a power of two
+LABEL_BITS = 26  # size of the bit map of labelled ids, as a power of two
 DISCOUNT = 4.0  # taken from each class count; so much evidence of an expression is no evidence
 WINDOWS = (1, 3, 8)  # words of the windows whose largest mean counts
 STRONG = 3.0  # what a word's difference must exceed to count by itself
@@ -42,16 +45,22 @@ CALIBRATION_ROWS = 20_000  # labelled rows, those of lowest hash, that the curve
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
-_STEM, _NONE = np.uint64(0x5DEECE66D1CE4E5B), np.zeros(0, np.uint64)
+_STEM = np.uint64(0x5DEECE66D1CE4E5B)
 _COUNTS = ("toxic", "ordinary", "toxic_third", "ordinary_third")
 _NEIGHBOURS = ("left", "left_all", "right", "right_all")
 _GRAMS = ", ".join(f"{c} long" for c in ("a", "b", *_COUNTS))
+_PACKED = pa.schema([("part", pa.int64()), ("pair", pa.bool_()), ("n", pa.int64()), ("packed", pa.binary())])
+_CODEC = pa.Codec("zstd", 1)
 
 
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _different(keys: np.ndarray) -> np.ndarray:
+    return pc.unique(pa.array(keys)).to_numpy()  # by hashing, several times faster than by sorting
+
+
 def _words(text: pa.Array) -> tuple[np.ndarray, ...]:
     """Hashes of each word and of its stem, whether a word of its text comes before it; row of each word; n + 1 first words."""
     data, offsets = byte_view(text)
@@ -68,20 +77,97 @@ def _pairs(word: np.ndarray) -> np.ndarray:
     return np.r_[word[:1], mix(word[:-1], word[1:])]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (word, stem) and pairs (word, word after it) with their counts by class, in the third and in the other rows."""
+def _planes(x: np.ndarray) -> bytes:
+    """Byte by byte, all first bytes first: the leading bytes of sorted steps and of small counts are alike."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _summed(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (a, b) in ascending order with the sums of their counts."""
+    order = np.lexsort((b, a))
+    a, b, counts = a[order], b[order], counts[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+    return a[first], b[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
+
+
+def _pack(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted rows as bytes: steps of a, b, and the four counts."""
+    steps = np.diff(a, prepend=np.uint64(0))
+    return _CODEC.compress(_planes(steps) + _planes(b) + _planes(counts), asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> tuple[np.ndarray, ...]:
+    planes = np.frombuffer(_CODEC.decompress(packed, 48 * n, asbytes=True), np.uint8).reshape(-1, n)
+    whole = lambda x, kind: np.ascontiguousarray(x.T).view(kind)
+    steps, b = whole(planes[:8], np.uint64).ravel(), whole(planes[8:16], np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64), b, whole(planes[16:], np.int64).reshape(n, 4)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Words (word, stem) and pairs (word, word after it) with their counts by class, in the third and in the other rows.
+
+    Sums of about SUMMED bytes of text each, a packed row a range of hashes.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        for pair in (False, True):
+            a, b, kind = (np.concatenate([x[3 * pair + i] for x in held]) for i in range(3))
+            place = np.lexsort((b, a))
+            a, b, kind = a[place], b[place], kind[place]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+            counts = np.bincount((np.cumsum(new) - 1) * 4 + kind, minlength=4 * int(new.sum())).reshape(-1, 4)
+            a, b = a[new], b[new]
+            hashed = mix(a, b) if pair else a
+            at = ((hashed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            numbers, first = np.unique(at[order], return_index=True)
+            for number, these in zip(numbers.tolist(), np.split(order, first[1:])):
+                packed = _pack(a[these], b[these], counts[these])
+                yield pa.RecordBatch.from_pylist(
+                    [{"part": number + pair * ranges, "pair": pair, "n": len(these), "packed": packed}], schema=_PACKED
+                )
+        held.clear()
+
+    size = 0
     for batch in batches:
         for part in parts(batch):
             word, stem, after, rows, _ = _words(part.column("text"))
             kind = (1 - part.column("label").to_numpy() + 2 * part.column("third").to_numpy())[rows]
             at = np.flatnonzero(after)
-            for pair, a, b, key, k in ((False, word, stem, word, kind), (True, word[at - 1], word[at], _pairs(word)[at], kind[at])):
-                _, one, place = np.unique(key, return_index=True, return_inverse=True)
-                sums = np.bincount(place * 4 + k, minlength=4 * len(one)).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(one), pair)), _longs(a[one]), _longs(b[one]), *[_longs(x.astype(np.int64)) for x in sums.T]],
-                    ["pair", "a", "b", *_COUNTS],
-                )
+            held.append((word, stem, kind, word[at - 1], word[at], kind[at]))
+            size += int(pc.sum(pc.binary_length(part.column("text"))).as_py() or 0)
+            if size >= SUMMED:
+                yield from sums()
+                size = 0
+    if held:
+        yield from sums()
+
+
+def _entries(table: pa.Table) -> pa.Table:
+    """The exact rows of one range: words; or pairs with evidence, and neighbours of words, a partial sum of this range."""
+    rows = [_unpack(x, n) for x, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist())]
+    a, b, counts = _summed(*(np.concatenate(x) for x in zip(*rows)))
+    pair = table.column("pair")[0].as_py()
+
+    def entries(pair: bool, a: np.ndarray, b: np.ndarray | None, counts: np.ndarray | None, beside: np.ndarray | None) -> pa.Table:
+        zero = np.zeros((len(a), 4), np.int64)
+        columns = [*(zero if counts is None else counts).T, *(zero if beside is None else beside).T]
+        return pa.table(
+            [pa.array(np.full(len(a), pair)), _longs(a), pa.nulls(len(a), pa.int64()) if b is None else _longs(b), *map(_longs, columns)],
+            ["pair", "a", "b", *_COUNTS, *_NEIGHBOURS],
+        )
+
+    if not pair:
+        return entries(False, a, b, counts, None)
+    # a pair counts once as a follower of its first word and once as a predecessor of its second
+    learned = (counts[:, 0] + counts[:, 1] > 0).astype(np.int64)
+    one, none = np.ones(len(a), np.int64), np.zeros(len(a), np.int64)
+    words = np.r_[a, b]
+    beside = np.r_[np.c_[none, none, learned, one], np.c_[learned, one, none, none]]
+    words, _, beside = _summed(words, np.zeros(len(words), np.uint64), beside)
+    evident = (counts[:, 0] + counts[:, 2] > DISCOUNT) | (counts[:, 1] + counts[:, 3] > DISCOUNT)
+    return pa.concat_tables([entries(True, a[evident], b[evident], counts[evident], None), entries(False, words, None, None, beside)])
 
 
 def grams(rows: DataFrame) -> DataFrame:
@@ -89,26 +175,14 @@ def grams(rows: DataFrame) -> DataFrame:
 
     Words also have the number of different words before (left) and after them (right), among the other two thirds and among all
     rows. Pairs of which the discount leaves nothing are no rows, but their words are neighbours.
-    """
-    sums = rows.mapInArrow(_counted, f"pair boolean, {_GRAMS}").groupBy("pair", "a", "b").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    learned = (F.col("toxic") + F.col("ordinary") > 0).cast("long")
 
-    def entry(pair: bool, a: str, b: Column, counts: bool, *neighbours: Column) -> Column:
-        columns = [F.col(c) if counts else zero for c in _COUNTS]
-        named = zip(("pair", "a", "b", *_COUNTS, *_NEIGHBOURS), (F.lit(pair), F.col(a), b, *columns, *neighbours))
-        return F.struct(*[x.alias(c) for c, x in named])
-
-    # a pair counts once as a follower of its first word and once as a predecessor of its second
-    nothing, none = (zero,) * 4, F.lit(None).cast("long")
-    beside = [entry(False, "b", none, False, learned, one, zero, zero), entry(False, "a", none, False, zero, zero, learned, one)]
-    evident = (F.col("toxic") + F.col("toxic_third") > DISCOUNT) | (F.col("ordinary") + F.col("ordinary_third") > DISCOUNT)
-    entries = (
-        F.when(~F.col("pair"), F.array(entry(False, "a", F.col("b"), True, *nothing)))
-        .when(evident, F.array(entry(True, "a", F.col("b"), True, *nothing), *beside))
-        .otherwise(F.array(*beside))
-    )
-    each = sums.select(F.explode(entries).alias("x")).select("x.*")
+    Sums of single tasks travel packed, dealt by the hash of the pair, so a frequent word's pairs are dealt evenly. The number of
+    ranges grows with the text: a range holds the different words or pairs of RANGE bytes of it at most.
+    """
+    ranges = 1 + int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE
+    packed = rows.mapInArrow(lambda batches: _counted(batches, ranges), "part long, pair boolean, n long, packed binary")
+    neighbours = ", ".join(f"{c} long" for c in _NEIGHBOURS)
+    each = packed.groupBy("part").applyInArrow(_entries, f"pair boolean, {_GRAMS}, {neighbours}")
     # words meet their neighbour counts under (word, 0); the stem is known to the word's own row only
     key = F.when(F.col("pair"), F.col("b")).otherwise(0).alias("second")
     added = [F.sum(c).alias(c) for c in (*_COUNTS, *_NEIGHBOURS)]
@@ -150,7 +224,7 @@ def differences(found: DataFrame, everything: bool) -> DataFrame:
     words = words.join(stems, "stem").select(
         F.col("a").alias("word"), "t", "o", rest.alias("rest"), *[(discounted(k) / n[k] + back * lower * F.col(f"low_{k}")).alias(f"p_{k}") for k in "to"],
     )
-    words = written(words, "words")
+    words = written(words, "words", release=True)
     pairs = found.where("pair").select("a", "b", "t", "o").where((F.col("t") > DISCOUNT) | (F.col("o") > DISCOUNT))
     pairs = pairs.join(words.select(F.col("word").alias("a"), F.col("t").alias("a_t"), F.col("o").alias("a_o"), "rest"), "a")
     pairs = pairs.join(words.select(F.col("word").alias("b"), "p_t", "p_o"), "b")
@@ -161,7 +235,9 @@ def differences(found: DataFrame, everything: bool) -> DataFrame:
     known = words.where((F.col("t") > DISCOUNT) | (F.col("o") > DISCOUNT))
     rows = rows.unionByName(known.select(F.col("word").alias("a"), none, F.log(F.col("p_t") / F.col("p_o")).alias("d")))
     rows = rows.unionByName(pairs.select("a", "b", F.log(after["t"] / after["o"]).alias("d")))
-    return written(rows.mapInArrow(_keyed, "key long, d float"), "differences")
+    known = written(rows.mapInArrow(_keyed, "key long, d float"), "differences", release=True)
+    removed(words)
+    return known
 
 
 def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -190,6 +266,27 @@ def _filter(known: DataFrame) -> np.ndarray:
     return out
 
 
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block in each batch, compressed: block, bytes that n bytes of an Arrow stream became."""
+    codec = pa.Codec("zstd", 3)
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        numbers, first = np.unique(block[order], return_index=True)
+        for number, these in zip(numbers.tolist(), np.split(order, first[1:])):
+            sink = pa.BufferOutputStream()
+            rows = pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(these))], ["row"])
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_batch(rows)
+            plain = sink.getvalue()
+            packed = codec.compress(plain, asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([plain.size]), pa.array([packed], pa.binary())], ["block", "n", "rows"])
+
+
+def _unbundled(packed: bytes, n: int) -> pa.Table:
+    return pa.ipc.open_stream(_CODEC.decompress(packed, n)).read_all()
+
+
 def _text(rows: pa.Array | pa.ChunkedArray) -> pa.Array:
     text = pc.struct_field(rows, "text")
     return text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
@@ -231,28 +328,31 @@ def _measured(docs: DataFrame, known: DataFrame) -> DataFrame:
     fits = known.sparkSession.sparkContext.broadcast(_filter(known))
     dealt = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
     packed = docs.select(F.pmod(dealt, F.lit(n_blocks)).alias("block"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = packed.schema["row"].dataType.simpleString()
+    packed = packed.mapInArrow(_bundled, "block long, n long, rows binary")
     packed = packed.repartition(n_blocks, "block")  # both its readers take this one shuffle
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, held = fits.value, {}
         bits = len(marks).bit_length() + 2
         for batch in batches:
-            plain = pa.RecordBatch.from_arrays([batch.column("block"), _text(batch.column("row"))], ["block", "text"])
-            for part in parts(plain):
-                word, stem, after, rows, _ = _words(part.column("text"))
-                block = part.column("block").to_numpy()[rows]
-                pair = _pairs(word)
-                for number in np.unique(block).tolist():
-                    these = block == number
-                    keys = np.unique(np.r_[stem[these], word[these], pair[these & after]])
+            for number, n, packed_rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                plain = pa.RecordBatch.from_arrays([_text(_unbundled(packed_rows, n).column("row"))], ["text"])
+                for part in parts(plain):
+                    word, stem, after, _, _ = _words(part.column("text"))
+                    keys = np.r_[stem, word, _pairs(word)[after]]
                     slots = _slots(keys, bits)
-                    keys = keys[marks[slots >> 3] >> (7 - (slots & 7)) & 1 == 1]
-                    held[number] = np.union1d(held.get(number, _NONE), keys)
-        for number, keys in held.items():
+                    keys = _different(keys[marks[slots >> 3] >> (7 - (slots & 7)) & 1 == 1])
+                    held.setdefault(number, []).append(keys)
+                if len(held.get(number, ())) > 15:
+                    held[number] = [_different(np.concatenate(held[number]))]
+        for number, some in held.items():
+            keys = _different(np.concatenate(some))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number)), _longs(keys)], ["block", "key"])
 
     def measured(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.column("row").combine_chunks()
+        rows = pa.concat_tables([_unbundled(x, n) for x, n in zip(left.column("rows").to_pylist(), left.column("n").to_pylist())])
+        rows = rows.column("row").combine_chunks()
         rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
         keys = right.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
@@ -262,7 +362,6 @@ def _measured(docs: DataFrame, known: DataFrame) -> DataFrame:
         return pa.table({"row": rows, "x": pa.array([y for some in x for y in some], pa.list_(pa.float64()))})
 
     found = packed.mapInArrow(wanted, "block long, key long").join(known.hint("merge"), "key").select("block", "key", "d")
-    row = packed.schema["row"].dataType.simpleString()
     return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(measured, f"row {row}, x array<double>")
 
 
@@ -294,25 +393,28 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from labelled rows (text, label 0 or 1, order: a hash).
+    """A model from labelled rows (text, label 0 or 1, order: a hash of the text).
 
-    The curve is fitted on up to CALIBRATION_ROWS of a third of the rows, under the counts of the others; the model
+    The curve is fitted on up to CALIBRATION_ROWS different texts of a third of the rows, under the counts of the others; the model
     then gets the counts of all. Rows with a null label teach nothing; null and empty texts have no words. Where either
     part lacks a label every score is the share of toxic rows in the third, 0 without any.
     """
     third = (F.pmod("order", F.lit(3)) == 0).cast("long").alias("third")
-    labelled = written(labelled.where("label in (0, 1)").select("text", F.col("label").cast("long"), "order", third), "labelled")
-    found = written(grams(labelled.select("text", "label", "third")), "grams")
+    labelled = written(labelled.where("label in (0, 1)").select("text", F.col("label").cast("long"), "order", third), "labelled", release=True, compression="zstd")
+    found = written(grams(labelled.select("text", "label", "third")), "grams", release=True)
     counts = found.where("not pair").agg(F.sum("toxic"), F.sum("ordinary")).first()
     chosen = labelled.where("third = 1").select("order", "text", "label")
-    last = chosen.select("order").orderBy("order").limit(CALIBRATION_ROWS).agg(F.max("order")).first()[0]
-    chosen = chosen.where(F.col("order") <= (0 if last is None else last))
+    last = chosen.select("order", "label").distinct().orderBy("order").limit(CALIBRATION_ROWS).agg(F.max("order")).first()[0]
+    chosen = chosen.where(F.col("order") <= (0 if last is None else last)).dropDuplicates(["order", "label"])
     share = float(chosen.agg(F.avg("label")).first()[0] or 0)
     if not (0 < share < 1 and counts[0] and counts[1]):
         return Model(share=share)
     rows = _measured(chosen, differences(found, everything=False)).select("row.label", "x").limit(CALIBRATION_ROWS).collect()
     weights = _logistic(np.array([r.x for r in rows]), np.array([r.label for r in rows], float))
-    return Model(differences(found, everything=True), weights, share)
+    known = differences(found, everything=True)
+    removed(labelled)
+    removed(found)
+    return Model(known, weights, share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -334,10 +436,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _may_match(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id labels have, and a few more: a broadcast of at most 2**(LABEL_BITS - 6) words of a bit map.
+
+    With more than some tens of millions of labels it lets more rows through; the join that follows then moves more, and
+    results are the same.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - LABEL_BITS)
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = labels.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    placed = docs.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
+    return placed.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "place", "bits")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled rows that are not held out. Of several labels of an id the highest counts."""
-    labels = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held_out())
-    texts = docs.select("doc_id", "text").where(~held_out())
+    """A model from the labelled rows that are not held out. Of several labels of an id the highest counts.
+
+    Labels whose id the documents' type of id can't hold match nothing. Equal texts are in the same third.
+    """
+    labels = labels.withColumn("doc_id", F.col("doc_id").try_cast(docs.schema["doc_id"].dataType)).where("doc_id is not null")
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held_out() & F.col("label").isNotNull())
+    texts = _may_match(docs.select("doc_id", "text").where(~held_out()), labels)
     # by merging at every size: labels grow with the documents, so a plan that broadcasts few of them says nothing about many
-    rows = texts.join(labels.hint("merge"), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("order"))
+    rows = texts.join(labels.hint("merge"), "doc_id").select("text", "label", F.xxhash64("text").alias("order"))
     return fit(rows)
