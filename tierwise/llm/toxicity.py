@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tierwise.llm.shared import LOWER, byte_view, mix, parts, removed, word_bounds, word_hashes, written
 
 STEM = 5
-PART = 1 << 20  # bytes of text that are scored at once
+PART = 4 << 20  # bytes of text that are scored at once
 BLOCK = 32 << 20  # bytes of text, about, that share a dictionary
 SUMMED = 8 << 20  # bytes of text whose words and pairs are summed before they travel
 RANGE = 12 << 20  # bytes of text for each range of hashes that one task sums
@@ -82,12 +82,28 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
+def _ranked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a and b in ascending order, and their places for each (a, b) as one number of 62 bits."""
+    coded = pc.dictionary_encode(pa.array(np.r_[a, b]))
+    values = coded.dictionary.to_numpy()
+    order = np.argsort(values)
+    place = np.empty(len(values), np.uint64)
+    place[order] = np.arange(len(values), dtype=np.uint64)
+    place = place[coded.indices.to_numpy()]
+    return values[order], place[: len(a)] << np.uint64(31) | place[len(a) :]
+
+
+def _unranked(values: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return values[ranked >> np.uint64(31)], values[ranked & np.uint64((1 << 31) - 1)]
+
+
 def _summed(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct (a, b) in ascending order with the sums of their counts."""
-    order = np.lexsort((b, a))
-    a, b, counts = a[order], b[order], counts[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
-    return a[first], b[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
+    values, ranked = _ranked(a, b)
+    order = np.argsort(ranked)
+    ranked = ranked[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]][: len(a)])
+    return *_unranked(values, ranked[first]), np.add.reduceat(counts[order], first, axis=0) if len(first) else counts
 
 
 def _pack(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> bytes:
@@ -113,11 +129,12 @@ def _counted(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Reco
     def sums() -> Iterator[pa.RecordBatch]:
         for pair in (False, True):
             a, b, kind = (np.concatenate([x[3 * pair + i] for x in held]) for i in range(3))
-            place = np.lexsort((b, a))
-            a, b, kind = a[place], b[place], kind[place]
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+            values, ranked = _ranked(a, b)
+            ranked = np.sort(ranked << np.uint64(2) | kind.astype(np.uint64))  # whole numbers sort faster than places
+            kind, ranked = (ranked & np.uint64(3)).astype(np.int64), ranked >> np.uint64(2)
+            new = np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)]
             counts = np.bincount((np.cumsum(new) - 1) * 4 + kind, minlength=4 * int(new.sum())).reshape(-1, 4)
-            a, b = a[new], b[new]
+            a, b = _unranked(values, ranked[new])
             hashed = mix(a, b) if pair else a
             at = ((hashed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(at, kind="stable")
@@ -183,10 +200,12 @@ def grams(rows: DataFrame) -> DataFrame:
     packed = rows.mapInArrow(lambda batches: _counted(batches, ranges), "part long, pair boolean, n long, packed binary")
     neighbours = ", ".join(f"{c} long" for c in _NEIGHBOURS)
     each = packed.groupBy("part").applyInArrow(_entries, f"pair boolean, {_GRAMS}, {neighbours}")
-    # words meet their neighbour counts under (word, 0); the stem is known to the word's own row only
-    key = F.when(F.col("pair"), F.col("b")).otherwise(0).alias("second")
+    each = written(each, "entries", release=True)
+    # a pair is whole in its range; words meet their neighbour counts, and the stem is known to the word's own row only
     added = [F.sum(c).alias(c) for c in (*_COUNTS, *_NEIGHBOURS)]
-    return each.groupBy("pair", "a", key).agg(F.max("b").alias("b"), *added).drop("second")
+    words = each.where("not pair").groupBy("a").agg(F.max("b").alias("b"), *added)
+    words = written(words.select(F.lit(False).alias("pair"), "a", "b", *_COUNTS, *_NEIGHBOURS), "words", release=True)
+    return words.where("not pair").unionByName(each.where("pair"))  # each reader of one kind scans one table
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,13 +312,13 @@ def _text(rows: pa.Array | pa.ChunkedArray) -> pa.Array:
 
 
 def _features(text: pa.Array, keys: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Features of texts; d are the differences of the sorted keys, and a word without one has that of its back-off."""
+    """Features of texts; d are the differences of the keys, and a word without one has that of its back-off."""
     word, stem, after, rows, first = _words(text)
     value = np.zeros(len(word))
-    for these, some in ((stem, True), (word, True), (_pairs(word), after)):
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, these), len(keys) - 1)
-            value = np.where((keys[at] == these) & some, d[at], value)
+    places = pc.index_in(_longs(np.r_[stem, word, _pairs(word)]), value_set=_longs(keys)).fill_null(-1).to_numpy()
+    for at, some in zip(places.reshape(3, -1), (True, True, after)):
+        known = (at >= 0) & some
+        value[known] = d[at[known]]
     d = np.clip(value, -12, 12)
     n_rows, size = len(first) - 1, np.diff(first)
     out = np.zeros((n_rows, len(WINDOWS) + 4))
@@ -355,8 +374,7 @@ def _measured(docs: DataFrame, known: DataFrame) -> DataFrame:
         rows = rows.column("row").combine_chunks()
         rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
         keys = right.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, d = keys[order], right.column("d").to_numpy()[order].astype(float)
+        d = right.column("d").to_numpy().astype(float)
         plain = pa.RecordBatch.from_arrays([_text(rows)], ["text"])
         x = [_features(part.column("text"), keys, d) for part in parts(plain, size=PART)]
         return pa.table({"row": rows, "x": pa.array([y for some in x for y in some], pa.list_(pa.float64()))})
@@ -401,7 +419,7 @@ def fit(labelled: DataFrame) -> Model:
     """
     third = (F.pmod("order", F.lit(3)) == 0).cast("long").alias("third")
     labelled = written(labelled.where("label in (0, 1)").select("text", F.col("label").cast("long"), "order", third), "labelled", release=True, compression="zstd")
-    found = written(grams(labelled.select("text", "label", "third")), "grams", release=True)
+    found = grams(labelled.select("text", "label", "third"))
     counts = found.where("not pair").agg(F.sum("toxic"), F.sum("ordinary")).first()
     chosen = labelled.where("third = 1").select("order", "text", "label")
     last = chosen.select("order", "label").distinct().orderBy("order").limit(CALIBRATION_ROWS).agg(F.max("order")).first()[0]
