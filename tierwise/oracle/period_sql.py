@@ -32,6 +32,11 @@ def period(name: str) -> str:
 
 def sql() -> dict[str, str]:
     return {
+        "bucketed_sales": BASE
+        + "SELECT year_month, brand_name, franchise, region_name, territory_id, territory_name, units, "
+        "sales_eur::DOUBLE AS sales_eur FROM sales",
+        "bucketed_forecast": BASE
+        + "SELECT year_month, brand_name, franchise, units, sales_eur::DOUBLE AS sales_eur FROM brand_forecast",
         "own_sales": BASE
         + "SELECT year_month, brand_name, franchise, region_name, territory_id, territory_name, units, "
         "sales_eur::DOUBLE AS sales_eur FROM sales WHERE is_own_brand = 1",

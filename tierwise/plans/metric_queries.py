@@ -15,6 +15,7 @@ from tierwise.operators.periods import forecast_growth
 from tierwise.operators.signals import latest
 from tierwise.plans.metrics import Pipeline, grain_rows
 from tierwise.sources import orderlines
+from tierwise.sources.bucketed import BucketedLines
 from tierwise.specs import NATIONAL, PERIODS, RANKED, REGION, TERRITORY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,19 @@ def _vs_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _bucketed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales of all brands from the lines' bucketed layout."""
+    cells = BucketedLines(Pipeline(spark, sf_dir).store).cells()
+    sales = orderlines.sales_of_cells(cells, spark, sf_dir)
+    return as_double(sales, "sales_eur").drop("is_own_brand")
+
+
+def _bucketed_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The own brands' forecast from the lines' bucketed layout."""
+    cells = BucketedLines(Pipeline(spark, sf_dir).store).cells()
+    return as_double(orderlines.brand_forecast_of_cells(cells), "sales_eur")
+
+
 def _grain(name: str) -> Query:
     return lambda spark, sf_dir: as_double(Pipeline(spark, sf_dir).compute(name), "sales_eur")
 
@@ -101,6 +115,8 @@ def launch_report(metrics: DataFrame, months_back: tuple[int, ...] = (0, 3, 6, 9
 
 def queries() -> dict[str, Query]:
     return {
+        "bucketed_sales": _bucketed_sales,
+        "bucketed_forecast": _bucketed_forecast,
         "own_sales": lambda s, d: as_double(grid.own_sales(orderlines.sales(s, d, own_only=True)), "sales_eur"),
         "market_totals": lambda s, d: as_double(grid.market_totals(orderlines.sales(s, d)), "tot_s"),
         "brand_forecast": lambda s, d: as_double(

@@ -12,6 +12,7 @@ from tierwise.operators import order
 from tierwise.operators.grid import dense_sales, roll_up
 from tierwise.operators.periods import forecast_growth, period_rows
 from tierwise.sources import orderlines
+from tierwise.sources.bucketed import BucketedLines
 from tierwise.sources.store import Store
 from tierwise.specs import GRAINS, MEASURES, NATIONAL, PERIODS, REGION, Grain
 
@@ -60,17 +61,19 @@ def build_metrics(
 class Pipeline:
     """Order lines to metric tables, each written once and then read.
 
-    With a folder the tables are kept for later applications.
+    With a folder the tables are kept for later applications. Bucketed: lines and orders are laid out by order key first, so
+    later builds of the cells don't shuffle them.
     """
 
     _regions: dict[str, int] = {}  # of each source
 
-    def __init__(self, spark: SparkSession, sf_dir: str, folder: str | None = None):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str | None = None, bucketed: bool = False):
+        self.spark, self.sf_dir, self.bucketed = spark, sf_dir, bucketed
         self.store = Store(spark, sf_dir, folder)
 
     def cells(self) -> DataFrame:
-        return self.store.table("cells", lambda: orderlines.cells(self.spark, self.sf_dir))
+        build = BucketedLines(self.store).cells if self.bucketed else lambda: orderlines.cells(self.spark, self.sf_dir)
+        return self.store.table("cells", build)
 
     def sales(self) -> DataFrame:
         return self.store.table(

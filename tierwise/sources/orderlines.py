@@ -61,11 +61,11 @@ def order_lines(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def _amounts() -> list[Column]:
+def amounts() -> list[Column]:
     """Sums in units and currency with four decimals."""
     return [
         (F.sum("qty").cast("decimal(24,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast(MONEY).alias("units"),
-        (F.sum("value") * F.lit("0.0000000001").cast("decimal(11,10)")).cast(MONEY).alias("sales_eur"),
+        (F.sum("value").cast("decimal(29,0)") * F.lit("0.0000000001").cast("decimal(11,10)")).cast(MONEY).alias("sales_eur"),
     ]
 
 
@@ -74,17 +74,20 @@ def whole_units() -> Column:
     return F.round("units", 0).cast("long").alias("units")
 
 
-def _lines_by_place(spark: SparkSession, sf_dir: str, own_only: bool, lineitem: DataFrame | None = None) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    if own_only:
-        part = part.filter(brand_number(F.col("p_brand")) <= OWN_BRANDS)
+def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their month and the country of their customer."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", month_number(F.col("o_orderdate")).alias("order_month")
     )
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    placed = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
-        "o_orderkey", "order_month", "c_nationkey"
-    )
+    return orders.join(customer, orders.o_custkey == customer.c_custkey).select("o_orderkey", "order_month", "c_nationkey")
+
+
+def _lines_by_place(spark: SparkSession, sf_dir: str, own_only: bool, lineitem: DataFrame | None = None) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    if own_only:
+        part = part.filter(brand_number(F.col("p_brand")) <= OWN_BRANDS)
+    placed = placed_orders(spark, sf_dir)
     lines = order_lines(table(spark, sf_dir, "lineitem") if lineitem is None else lineitem)
     return lines.join(part, lines.l_partkey == part.p_partkey).join(
         placed, lines.l_orderkey == placed.o_orderkey
@@ -130,7 +133,7 @@ def sales(spark: SparkSession, sf_dir: str, own_only: bool = False) -> DataFrame
     cells = (
         _lines_by_place(spark, sf_dir, own_only)
         .groupBy("ship_month", "p_brand", "c_nationkey")
-        .agg(*_amounts())
+        .agg(*amounts())
     )
     return _named(cells, spark, sf_dir)
 
@@ -144,7 +147,7 @@ def cells(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -
     return (
         _lines_by_place(spark, sf_dir, own_only=False, lineitem=lineitem)
         .groupBy(*CELL)
-        .agg(*_amounts())
+        .agg(*amounts())
     )
 
 
@@ -186,7 +189,7 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.join(own, "l_partkey", "left_semi")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("order_month", "l_partkey")
-        .agg(*_amounts())
+        .agg(*amounts())
         .select(
             month_text(F.col("order_month")).alias("year_month"),
             F.col("l_partkey").alias("sku_id"),
