@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -485,6 +486,82 @@ def test_url_tree(spark):
     assert found["http://q.org/es/0.html"][1] == "allow"
 
 
+def plain_tree(urls):
+    """template and purity of each (host, path, label), one host at a time: see url_templates."""
+    t = url_templates
+    fixed = lambda x: "{x}" if re.fullmatch("[0-9a-fA-F-]{8,}", x) and re.search("[0-9]", x) and re.search("[a-fA-F-]", x) else x
+    rows = [[h, [re.sub("[0-9]+", "{n}", fixed(x)) for x in p.split("/") if x], label] for h, p, label in sorted(set(urls), key=str)]
+
+    def at(place):
+        nodes = collections.defaultdict(lambda: collections.defaultdict(list))
+        for row in rows:
+            if len(row[1]) > place:
+                nodes[row[0], tuple(row[1][:place])][row[1][place]].append(row)
+        return nodes.values()
+
+    deepest = max((len(r[1]) for r in rows), default=0)
+    for place in range(deepest):
+        for node in at(place):
+            sizes = [len(x) for x in node.values()]
+            if t.BRANCHES * sum(n * n for n in sizes) < sum(sizes) ** 2:
+                for row in sum(node.values(), []):
+                    row[1][place] = "*"
+    for place in reversed(range(deepest)):
+        for node in at(place):
+            alike = collections.defaultdict(list)
+            for token, members in node.items():
+                if len(members) >= t.EVIDENCE:
+                    seen = collections.Counter(r[1][place + 1] if len(r[1]) > place + 1 else "" for r in members)
+                    children = tuple(sorted(c for c, n in seen.items() if n * t.CHILDREN >= len(members)))
+                    bad, good = (sum(r[2] == x for r in members) for x in ("block", "allow"))
+                    kind = None if not bad + good else "bad" if bad >= t.PURITY * (bad + good) else "good" if good >= t.PURITY * (bad + good) else "mixed"
+                    alike[children].append((token, kind))
+            groups = []
+            for branches in alike.values():
+                split = len({k for _, k in branches} - {None}) > 1
+                for kind in {k for _, k in branches} if split else [0]:
+                    tokens = sorted(x for x, k in branches if not split or k == kind)
+                    if len(tokens) > 1:
+                        groups.append((-sum(len(node[x]) for x in tokens), tokens))
+            for i, (_, tokens) in enumerate(sorted(groups, key=lambda g: (g[0], g[1][0]))):
+                for row in sum((node[x] for x in tokens), []):
+                    row[1][place] = "+" + tokens[0] * (i > 0)
+    by_template = collections.defaultdict(lambda: [0, 0])
+    for h, segments, label in rows:
+        if label:
+            by_template[h, tuple(segments)][label == "allow"] += 1
+    bad, good = (sum(x[i] for x in by_template.values()) for i in (0, 1))
+    share = min(0.5, bad / max(1, bad + good))
+    found = {}
+    for (h, p, _), (_, segments, _) in zip(sorted(set(urls), key=str), rows):
+        b, g = by_template[h, tuple(segments)]
+        found[h, p] = ("/" + "/".join(segments), round((b + t.SMOOTHING * share) / (b + g + t.SMOOTHING), 9))
+    return found
+
+
+def test_url_tree_is_the_plain_one(spark):
+    """Templates, purity and verdicts against a plain tree: hosts with two kinds of sections, ties, deep and contradictory branches."""
+    rng = random.Random(5)
+    urls = [url for _, url in rows_of(small(spark, "pages"), "page_id", "url")] + [None, "", "http://empty.org"]
+    urls += [f"http://two.com/s{chr(97 + i)}/{'a' if i < 5 else 'b'}/{j}-{'x' * j}" for i in range(10) for j in range(9)]
+    urls += [f"http://odd.com/{s}/{rng.choice('pqr')}/w{rng.randrange(40)}" for s in ("de", "en", "fr", "it") for _ in range(12)]
+    urls += [f"http://deep.com/de/{'/'.join('bcdefghijkl')}/{x}/{i}" for x in ("blog", "shop/item") for i in range(6)]
+    urls += [f"http://x.net/{s}/{w}{i}" for s in ("en", "us", "uk", "au") for w in "vw" for i in range(7)]
+    urls += [f"http://big.example.com/{s}/{i}.html" for s in ("de", "en", "fr") for i in range(30)]  # the rule is on one of three alike
+    urls += [f"http://tags.com/{'de/' * (i % 2)}tag/{chr(97 + i % 26)}{chr(97 + i // 26)}y/{i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_templates.judge(df, queries.URL_RULES).collect()
+    parts_of = [url_parts(u) for u in urls]
+    plain = plain_tree([(h, p, r[1] if r else None) for h, p, r in parts_of])
+    assert {(r.host, r.path): (r.template, round(r.purity, 9)) for r in found} == plain
+    assert all(r.verdict == ("block" if r.purity >= url_templates.PURITY else "allow") for r in found if r.rule is None)
+    assert {"block", "allow"} == {r.verdict for r in found if r.rule is None}
+    two = {r.template for r in found if r.host == "two.com"}
+    assert len(two) == 2 and len({r.template for r in found if r.host == "deep.com"}) == 2
+    ten = url_templates.judge(df.crossJoin(spark.range(10)).select("page_id", "url"), queries.URL_RULES)
+    assert {(r.page_id, r.template, r.verdict) for r in ten.collect()} == {(r.page_id, r.template, r.verdict) for r in found}
+
+
 def test_pipeline_stages(spark):
     """Each stage against its plain version, on what the stage before has kept."""
     sf = "/root/testdata/sf0.01"

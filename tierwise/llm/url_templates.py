@@ -2,13 +2,15 @@
 
 A rule names a host and a path; it fits the host and its subdomains where the path begins so, and the longest decides. What rules
 decide are the labels of the tree. A path is cut into segments; runs of digits and long hexadecimal names become wildcards at
-once. Then, from the root down, a place with many branches that are rarely seen becomes a wildcard, and from the leaves up,
-branches of one place whose children and labels are distributed like those of all branches there (a chi-square bound) merge. A template's
-purity is the blocked share of its labelled URLs, smoothed towards the share over all labelled URLs (a half at most) by SMOOTHING
-pseudo-URLs and one for each of its URLs without a label, so a rule on one branch says little about the others; templates from
-PURITY on are blocked.
-
-All steps work on distinct generalised paths with their counts, which partial sums collapse before any shuffle.
+once. Then, from the root down, a place becomes a wildcard where its URLs spread over more than BRANCHES branches in effect
+(the inverse of the summed squares of their shares). From the leaves up, branches of one place merge that have the same main
+children, each at least 1 in CHILDREN of the branch's URLs; where labelled ones among them contradict each other, each kind merges
+by itself. A template's purity is the blocked share of its labelled URLs, smoothed towards the share over all labelled
+URLs (a half at most) by SMOOTHING pseudo-URLs; templates from PURITY on are blocked.
+
+Evidence are different URLs without query and fragment, so repeated pages change nothing, and everything but EVIDENCE, the URLs
+a branch needs to be known at all, is a share. Paths are told apart at any depth; the steps visit the places where paths part only. All
+steps work on distinct generalised paths with their counts, which partial sums collapse before any shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from tierwise.llm.shared import written
 
-DEPTH = 8  # segments that are told apart; what lies deeper counts as one
-BRANCHES, SEEN = 16, 8  # a place with more branches, seen less often on average, is variable
+BRANCHES = 16  # a place with more branches in effect is variable
+CHILDREN = 8  # a main child has at least one in so many of its branch's URLs
+EVIDENCE = 5  # different URLs that a branch needs to be compared
 SMOOTHING = 5.0
 PURITY = 0.8
 WILD, SIMILAR = "*", "+"  # a variable segment, merged branches
@@ -46,7 +49,6 @@ def matched(rules: list[tuple[str, str, str]], host: str, path: str) -> Column:
 def segments(path: str) -> Column:
     """The segments of a path with fixed wildcards: {n} for digits, {x} for hexadecimal names of eight characters or more."""
     s = F.filter(F.split(path, "/"), lambda x: x != "")
-    s = F.when(F.size(s) > DEPTH, F.concat(F.slice(s, 1, DEPTH - 1), F.array(F.lit("{rest}")))).otherwise(s)
     named = F.transform(s, lambda x: F.when(x.rlike("^[0-9a-fA-F-]{8,}$") & x.rlike("[0-9]") & x.rlike("[a-fA-F-]"), "{x}").otherwise(x))
     return F.transform(named, lambda x: F.regexp_replace(x, "[0-9]+", "{n}"))
 
@@ -55,67 +57,78 @@ def _sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in ("n", "bad", "good")]
 
 
+def _replaced(place: int, token: Column) -> Column:
+    """template with another token at a place."""
+    after = F.slice("template", F.lit(place + 2), F.greatest(F.size("template") - place - 1, F.lit(0)))
+    return F.concat(F.slice("template", 1, place), F.array(token), after)
+
+
+def _next_place(paths: DataFrame, place: int) -> int | None:
+    """The first place from here on where paths part that agree before it."""
+    nodes = paths.where(F.size("template") > place).select("host", "template", F.posexplode("template").alias("place", "token"))
+    before = F.xxhash64(F.slice("template", F.lit(1), F.col("place"))).alias("before")
+    nodes = nodes.where(F.col("place") >= place).groupBy("host", "place", before)
+    return nodes.agg(F.min("token").alias("first"), F.max("token").alias("last")).where("first < last").agg(F.min("place")).first()[0]
+
+
 def _generalised(paths: DataFrame, place: int) -> DataFrame:
-    """template with a wildcard at a place that has many rare branches; the places before are settled."""
+    """template with a wildcard at a place that has many branches in effect; the places before are settled."""
     before, here = F.slice("template", 1, place), F.get("template", F.lit(place))
     branches = paths.where(F.size("template") > place).groupBy("host", before.alias("before"), here.alias("token")).agg(F.sum("n").alias("n"))
-    variable = branches.groupBy("host", "before").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    variable = variable.where((F.col("k") > BRANCHES) & (F.col("n") < SEEN * F.col("k"))).select("host", "before", F.lit(True).alias("variable"))
-    after = F.slice("template", place + 2, DEPTH)
-    wild = F.concat(before, F.array(F.lit(WILD)), after)
+    spread = F.sum(F.col("n").cast("double") * F.col("n"))
+    variable = branches.groupBy("host", "before").agg(F.sum("n").cast("double").alias("n"), spread.alias("squares"))
+    variable = variable.where(BRANCHES * F.col("squares") < F.col("n") * F.col("n")).select("host", "before", F.lit(True).alias("variable"))
     joined = paths.withColumn("before", before).join(variable, ["host", "before"], "left")
-    template = F.when(F.col("variable") & (F.size("template") > place), wild).otherwise(F.col("template"))
-    return joined.withColumn("template", template).drop("before", "variable")
+    wild = F.when(F.col("variable") & (F.size("template") > place), _replaced(place, F.lit(WILD))).otherwise(F.col("template"))
+    return joined.withColumn("template", wild).drop("before", "variable")
 
 
 def _merged(paths: DataFrame, place: int) -> DataFrame:
-    """template with SIMILAR at a place for the branches that are like all branches there together."""
+    """template with SIMILAR at a place for branches that are alike; of several such groups all but the largest are named too."""
+    node, branch = ["host", "before"], ["host", "before", "token"]
     before, here = F.slice("template", 1, place), F.get("template", F.lit(place))
     child = F.coalesce(F.get("template", F.lit(place + 1)), F.lit("")).alias("child")
-    o = paths.where(F.size("template") > place).groupBy("host", before.alias("before"), here.alias("token"), child).agg(*_sums())
-    pool = o.groupBy("host", "before", "child").agg(F.sum("n").alias("all_n"))
-    whole = o.groupBy("host", "before").agg(
-        F.sum("n").alias("whole"), F.countDistinct("child").alias("children"), F.countDistinct("token").alias("branches"),
-        F.sum("bad").alias("all_bad"), F.sum(F.col("bad") + F.col("good")).alias("all_labelled"),
-    )
-    each = o.join(pool, ["host", "before", "child"]).groupBy("host", "before", "token").agg(
-        *_sums(), F.sum(F.col("n") * F.col("n") / F.col("all_n")).alias("ratio")
-    )
-    each = each.join(whole.where("branches > 1"), ["host", "before"])
-    chi = F.col("whole") * F.col("ratio") / F.col("n") - F.col("n")  # the sum of (o - e)^2 / e over all children
+    each = paths.where(F.size("template") > place).groupBy("host", before.alias("before"), here.alias("token"), child).agg(*_sums())
+    whole = each.groupBy(*branch).agg(*_sums()).where(F.col("n") >= EVIDENCE)
+    main = each.join(whole.select(*branch, F.col("n").alias("total")), branch).where(F.col("n") * CHILDREN >= F.col("total"))
+    main = main.groupBy(*branch).agg(F.array_sort(F.collect_set("child")).alias("children"))  # CHILDREN at most
     labelled = F.col("bad") + F.col("good")
-    rate = F.col("all_bad") / F.col("all_labelled")
-    spread = labelled * rate * (1 - rate)
-    chi += F.when((F.col("all_labelled") > 0) & (spread > 0), (F.col("bad") - labelled * rate) ** 2 / spread).otherwise(0)
-    freedom = F.col("children")
-    alike = each.where(chi <= freedom + 3 * F.sqrt(2 * freedom)).select("host", "before", "token")
-    several = alike.groupBy("host", "before").agg(F.count("*").alias("k")).where("k > 1")
-    alike = alike.join(several, ["host", "before"]).select("host", "before", "token", F.lit(True).alias("alike"))
-    joined = paths.withColumn("before", before).withColumn("token", here).join(alike, ["host", "before", "token"], "left")
-    new = F.concat(before, F.array(F.lit(SIMILAR)), F.slice("template", place + 2, DEPTH))
-    return joined.withColumn("template", F.when(F.col("alike"), new).otherwise(F.col("template"))).drop("before", "token", "alike")
+    kind = F.when(labelled == 0, None).when(F.col("bad") >= PURITY * labelled, "bad").when(F.col("good") >= PURITY * labelled, "good").otherwise("mixed")
+    known = whole.select(*branch, "n", kind.alias("kind")).join(main, branch)
+    kinds = known.groupBy(*node, "children").agg(F.min("kind").alias("first_kind"), F.max("kind").alias("last_kind"))
+    agreed = F.coalesce(F.col("first_kind") == F.col("last_kind"), F.lit(True))
+    part = F.when(agreed, "").otherwise(F.coalesce("kind", F.lit("none")))
+    known = known.join(kinds, [*node, "children"]).withColumn("part", part)
+    groups = known.groupBy(*node, "children", "part").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("token").alias("first")).where("k > 1")
+    largest = groups.groupBy(*node).agg(F.min_by("first", F.struct(-F.col("n"), F.col("first"))).alias("largest"))
+    name = F.when(F.col("first") == F.col("largest"), SIMILAR).otherwise(F.concat(F.lit(SIMILAR), "first"))
+    groups = groups.join(largest, node).select(*node, "children", "part", name.alias("name"))
+    alike = known.join(groups, [*node, "children", "part"]).select(*branch, "name")
+    joined = paths.withColumn("before", before).withColumn("token", here).join(alike, branch, "left")
+    new = F.when(F.col("name").isNotNull(), _replaced(place, F.col("name"))).otherwise(F.col("template"))
+    return joined.withColumn("template", new).drop("before", "token", "name")
 
 
 def tree(urls: DataFrame) -> DataFrame:
-    """host, segments, template (text), purity and labelled (URLs) of every distinct generalised path.
+    """host, segments, template (text), purity and labelled (different URLs) of every distinct generalised path.
 
-    urls has host, segments, and label: "block", "allow" or null.
+    urls has host, path, segments (of the path), and label: "block", "allow" or null. Of several labels of a path "block" counts.
     """
-    count = lambda label: F.sum((F.col("label") == label).cast("long"))
-    paths = urls.groupBy("host", "segments").agg(
-        F.count("*").alias("n"), F.coalesce(count("block"), F.lit(0)).alias("bad"), F.coalesce(count("allow"), F.lit(0)).alias("good")
-    )
+    different = urls.groupBy("host", "path").agg(F.any_value("segments").alias("segments"), F.max("label").alias("label"))
+    count = lambda label: F.count(F.when(F.col("label") == label, 1))
+    paths = different.groupBy("host", "segments").agg(F.count("*").alias("n"), count("block").alias("bad"), count("allow").alias("good"))
     paths = written(paths.withColumn("template", F.col("segments")), "paths")
-    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for place in range(deepest):
+    places, place = [], _next_place(paths, 0)
+    while place is not None:
+        places.append(place)
         paths = written(_generalised(paths, place), "paths")
-    for place in reversed(range(deepest)):
+        place = _next_place(paths, place + 1)
+    for place in reversed(places):
         paths = written(_merged(paths, place), "paths")
     bad, good = paths.agg(F.sum("bad"), F.sum("good")).first()
     share = min(0.5, (bad or 0) / max(1, (bad or 0) + (good or 0)))
     labelled = F.col("bad") + F.col("good")
-    weight = SMOOTHING + F.col("n") - labelled
-    purity = (F.col("bad") + weight * share) / (labelled + weight)
+    purity = (F.col("bad") + SMOOTHING * share) / (labelled + SMOOTHING)
     templates = paths.groupBy("host", "template").agg(*_sums()).select("host", "template", purity.alias("purity"), labelled.alias("labelled"))
     return paths.select("host", "segments", "template").join(templates, ["host", "template"]).select(
         "host", "segments", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity", "labelled"
@@ -131,7 +144,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     host, path = host_and_path("url")
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     urls = urls.withColumn("found", matched(rules, "host", "path")).withColumn("segments", segments("path"))
-    known = tree(urls.select("host", "segments", F.col("found.action").alias("label")))
+    known = tree(urls.select("host", "path", "segments", F.col("found.action").alias("label")))
     verdict = F.coalesce("found.action", F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
     return urls.join(known, ["host", "segments"], "left").select(
         "page_id", "url", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "template", "purity"
