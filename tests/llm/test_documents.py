@@ -625,3 +625,20 @@ def test_matches_sql(spark, con, key):
 
 def test_workers_get_the_package(spark):
     assert shared.ready(spark) is spark and spark.sparkContext.applicationId in shared._READY
+
+
+def test_byte_bpe_plain_pieces_need_no_pattern():
+    """F-op8: words of letters and marks are cut without the pattern, and a pre-token with its blank is remembered once."""
+    import public_tokenizers
+
+    text = "Ein größeres, don't — it's x² ﬁn Éa's 12a a12 ŉb ×c ÷d a×b ɏz ɐz _a a_ 'sa s' áb .\n\nnext," + " wort" * 9
+    file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    codec, plain = byte_bpe.Codec(file, public_tokenizers.PATTERN), byte_bpe.Codec(file, public_tokenizers.PATTERN)
+    found = [plain.merge([m.encode()])[0].tobytes() for m in plain.matches(text)]
+    assert codec.encode([text, "", text]) == [b"".join(found), b"", b"".join(found)]
+    codec, cut = byte_bpe.Codec(file, public_tokenizers.PATTERN), []
+    pattern = codec.matches
+    codec.matches = lambda x: cut.append(x) or pattern(x)
+    codec.encode(["eins zwei, drei!! zwei größe."])
+    assert cut == ["eins"]
+    assert set(codec.pieces[0]) == {"zwei,", "zwei", "drei!!", "drei", "größe.", "größe"} and " zwei" not in codec.known[0]

@@ -7,13 +7,15 @@ when a merge makes a pair of lower rank, the rest of the bucket waits for it. An
 stale and skipped. n bytes take about n steps, and a very long pre-token is no hazard.
 
 Texts are cut at blanks before the pattern runs, which changes nothing where each blank precedes a visible character, and
-the ids of such pieces and of pre-tokens are remembered in two generations of bounded size.
+the ids of such pieces and of pre-tokens are remembered in two generations of bounded size. A pre-token with its blank is a
+piece itself, so it is remembered once. Pieces of Latin letters and final ASCII marks are cut without the pattern.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame
 
 from tierwise.llm.shared import parts
 
-PIECES, PRETOKENS = 50_000, 120_000  # remembered in each generation
+PIECES, PRETOKENS = 150_000, 20_000  # remembered in each generation
 PART = 1 << 20  # bytes of text whose new pre-tokens are merged at once
 
 #: The characters that the pattern's \s means.
 WHITE = r"\t-\r \x85\xa0  -     　"
+#: Letters up to U+024F, and the ASCII marks, which are neither letters, numbers nor white space.
+PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 class RankQueue:
@@ -162,10 +166,18 @@ class Codec:
                 missing.append(x)
         return missing
 
+    def _found(self, pretokens: list[str]) -> list[bytes]:
+        """The ids of each pre-token; one that is a token needs no merge."""
+        raw = [x.encode() for x in pretokens]
+        whole = [self.ranks.get(x) for x in raw]
+        ids, ends = self.merge([x for x, rank in zip(raw, whole) if rank is None])
+        packed, at = ids.tobytes(), zip((ends * 4).tolist(), (ends[1:] * 4).tolist())
+        return [packed[slice(*next(at))] if rank is None else rank.to_bytes(4, sys.byteorder) for rank in whole]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
         cut: list = []
-        wanted, tokens = set(), set()
+        wanted, tokens, first_parts = set(), set(), set()
         for text in texts:
             if self.joined(text):
                 cut.append((self.matches(text), ()))
@@ -174,15 +186,25 @@ class Codec:
                 cut.append((self.matches(first), rest))
                 wanted.update(rest)
             tokens.update(cut[-1][0])
-        parts_of = {p: self.matches(" " + p) for p in self._new(wanted, self.pieces)}
-        tokens.update(*parts_of.values())
+        parts_of = {}  # of pieces: the piece of its first pre-token, and the pre-tokens after it
+        for p in self._new(wanted, self.pieces):
+            if plain := PLAIN(p):
+                head, marks = plain.groups()
+                after = (marks,) if marks else ()
+            else:
+                head, *after = self.matches(" " + p)
+                head = head[1:]
+            first_parts.add(head)
+            if after:
+                parts_of[p] = head, after
+                tokens.update(after)
         known, pieces = self.known[0], self.pieces[0]
-        missing = self._new(tokens, self.known)
-        ids, ends = self.merge([m.encode() for m in missing])
-        raw, ends = ids.tobytes(), (ends * 4).tolist()
-        known.update(zip(missing, [raw[i:j] for i, j in zip(ends, ends[1:])]))
-        for piece, found in parts_of.items():
-            pieces[piece] = b"".join([known[x] for x in found])
+        heads, missing = self._new(first_parts, self.pieces), self._new(tokens, self.known)
+        ids = self._found([*[" " + x for x in heads], *missing])
+        pieces.update(zip(heads, ids))
+        known.update(zip(missing, ids[len(heads) :]))
+        for piece, (head, after) in parts_of.items():
+            pieces[piece] = b"".join([pieces[head], *map(known.__getitem__, after)])
         out = [b"".join([*map(known.__getitem__, a), *map(pieces.__getitem__, b)]) for a, b in cut]
         for generations, most in ((self.pieces, PIECES), (self.known, PRETOKENS)):
             if len(generations[0]) > most:
