@@ -642,3 +642,30 @@ def test_byte_bpe_plain_pieces_need_no_pattern():
     codec.encode(["eins zwei, drei!! zwei größe."])
     assert cut == ["eins"]
     assert set(codec.pieces[0]) == {"zwei,", "zwei", "drei!!", "drei", "größe.", "größe"} and " zwei" not in codec.known[0]
+
+
+def test_toxicity_keys_travel_packed(spark):
+    """op2: a wanted key takes less than 7 bytes on its way, one that is known less than 11, and none is lost at the ends of a range."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 59, 30_000, dtype=np.uint64)) | np.uint64(31 << 59)
+    keys[-1] = np.uint64(2**64 - 1)
+    known = {int(k): np.float32(v) for k, v in zip(keys[::2], rng.normal(size=len(keys)))} | {int(keys[-1]): np.float32(7)}
+    packed = toxicity._pack_keys(keys)
+    assert len(packed) < 7 * len(keys)
+    order = rng.permutation(len(known))
+    left = pa.table({"key": np.array(list(known), np.uint64).view(np.int64)[order], "d": np.array(list(known.values()))[order]})
+    right = pa.table({"block": [3, 4], "n": [len(keys), 1], "keys": [packed, toxicity._pack_keys(keys[1:2])]})
+    met = toxicity._met(left, right).to_pylist()
+    assert [(x["block"], x["n"]) for x in met] == [(3, len(known))] and len(met[0]["keys"]) < 11 * len(known)
+    found, d = toxicity._unpack_keys(met[0]["keys"], met[0]["n"], True)
+    assert dict(zip(found.tolist(), d)) == known
+    assert toxicity._met(left.slice(0, 0), right).num_rows == 0
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    made = shared.written(spark.range(0, 25, 1, 1).mapInArrow(sizes, "n long"), "sizes", batch=10)
+    assert max(r.n for r in made.collect()) == 10 and spark.conf.get(rows) == before

@@ -31,6 +31,7 @@ _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 
 _READY: set[str] = set()
 _RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -69,19 +70,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tierwise-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, release: bool = False, **options: str) -> DataFrame:
+def written(df: DataFrame, name: str, release: bool = False, batch: int | None = None, **options: str) -> DataFrame:
     """df as a written table, options as Spark's writer takes them: cuts the lineage, and a lost executor costs a re-read.
 
-    With release, the shuffles of df go when the table is there. Whoever uses df itself again has them made anew.
+    With release, the shuffles of df go when the table is there. Whoever uses df itself again has them made anew. batch is the most rows
+    of an Arrow batch meanwhile, for rows that are large.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(_RELEASE, "false")
-    spark.conf.set(_RELEASE, str(release).lower())
+    meanwhile = {_RELEASE: str(release).lower()} | ({_ROWS: str(batch)} if batch else {})
+    before = {key: spark.conf.get(key, None) for key in meanwhile}
     try:
+        for key, value in meanwhile.items():
+            spark.conf.set(key, value)
         df.write.options(**options).parquet(path)
     finally:
-        spark.conf.set(_RELEASE, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

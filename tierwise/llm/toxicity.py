@@ -10,8 +10,8 @@ and the log of the length turns it into a score.
 Counts cover every labelled row and are exact, one row a word or pair in a Spark table, which grows with the corpus; words are
 64-bit hashes. The discount is fixed. What both classes share cancels out, so an expression whose counts the discount
 takes away in both differs in nothing from its back-off: the table of differences (key, d) leaves it out without loss.
-The texts' expressions meet that table in shuffles, block by block of text. A broadcast bit filter of bounded size spares
-most expressions that the table lacks the way; what passes it by chance finds no row in the join.
+The texts' expressions meet that table in shuffles, block by block of text, as sorted and packed ranges of hashes. A broadcast
+bit filter of bounded size spares most expressions that the table lacks the way; what passes it by chance finds nothing there.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ from tierwise.llm.shared import LOWER, byte_view, mix, parts, removed, word_boun
 
 STEM = 5
 PART = 4 << 20  # bytes of text that are scored at once
+SMALL = 2 << 20  # bytes of text whose words are looked at at once
 BLOCK = 32 << 20  # bytes of text, about, that share a dictionary
+SPREAD = 3  # partitions for each block, so few of them meet in one
+BATCH = 2000  # rows of text in an Arrow batch while words are counted
 SUMMED = 8 << 20  # bytes of text whose words and pairs are summed before they travel
 RANGE = 12 << 20  # bytes of text for each range of hashes that one task sums
 FILTER_BITS = (16, 28)  # least and greatest size of the bit filter, as powers of two
@@ -127,14 +130,27 @@ def _counted(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Reco
     held: list[tuple[np.ndarray, ...]] = []
 
     def sums() -> Iterator[pa.RecordBatch]:
+        word, stem, kinds, after = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         for pair in (False, True):
-            a, b, kind = (np.concatenate([x[3 * pair + i] for x in held]) for i in range(3))
-            values, ranked = _ranked(a, b)
-            ranked = np.sort(ranked << np.uint64(2) | kind.astype(np.uint64))  # whole numbers sort faster than places
-            kind, ranked = (ranked & np.uint64(3)).astype(np.int64), ranked >> np.uint64(2)
+            if pair:
+                del stem
+                at = np.flatnonzero(after)  # the word before one that is after another is of the same text
+                values, ranked = _ranked(word[at - 1], word[at])
+                kind = kinds[at]
+                del word, at
+            else:
+                kind = kinds
+                values, ranked = _ranked(word, stem)
+            ranked <<= np.uint64(2)
+            ranked |= kind
+            ranked.sort()  # whole numbers sort faster than places
+            kind = (ranked & np.uint64(3)).astype(np.int64)
+            ranked >>= np.uint64(2)
             new = np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)]
             counts = np.bincount((np.cumsum(new) - 1) * 4 + kind, minlength=4 * int(new.sum())).reshape(-1, 4)
             a, b = _unranked(values, ranked[new])
+            del values, ranked, kind, new
             hashed = mix(a, b) if pair else a
             at = ((hashed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(at, kind="stable")
@@ -144,15 +160,14 @@ def _counted(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_pylist(
                     [{"part": number + pair * ranges, "pair": pair, "n": len(these), "packed": packed}], schema=_PACKED
                 )
-        held.clear()
+        pa.default_memory_pool().release_unused()
 
     size = 0
     for batch in batches:
-        for part in parts(batch):
+        for part in parts(batch, size=SMALL):
             word, stem, after, rows, _ = _words(part.column("text"))
             kind = (1 - part.column("label").to_numpy() + 2 * part.column("third").to_numpy())[rows]
-            at = np.flatnonzero(after)
-            held.append((word, stem, kind, word[at - 1], word[at], kind[at]))
+            held.append((word, stem, kind.astype(np.uint8), after))
             size += int(pc.sum(pc.binary_length(part.column("text"))).as_py() or 0)
             if size >= SUMMED:
                 yield from sums()
@@ -200,7 +215,7 @@ def grams(rows: DataFrame) -> DataFrame:
     packed = rows.mapInArrow(lambda batches: _counted(batches, ranges), "part long, pair boolean, n long, packed binary")
     neighbours = ", ".join(f"{c} long" for c in _NEIGHBOURS)
     each = packed.groupBy("part").applyInArrow(_entries, f"pair boolean, {_GRAMS}, {neighbours}")
-    each = written(each, "entries", release=True)
+    each = written(each, "entries", release=True, batch=BATCH)
     # a pair is whole in its range; words meet their neighbour counts, and the stem is known to the word's own row only
     added = [F.sum(c).alias(c) for c in (*_COUNTS, *_NEIGHBOURS)]
     words = each.where("not pair").groupBy("a").agg(F.max("b").alias("b"), *added)
@@ -311,6 +326,37 @@ def _text(rows: pa.Array | pa.ChunkedArray) -> pa.Array:
     return text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
 
 
+def _pack_keys(keys: np.ndarray, d: np.ndarray | None = None) -> bytes:
+    """Ascending keys as bytes: their steps, and the differences of the keys."""
+    planes = _planes(np.diff(keys, prepend=np.uint64(0)))
+    return _CODEC.compress(planes + (b"" if d is None else _planes(d.astype(np.float32))), asbytes=True)
+
+
+def _unpack_keys(packed: bytes, n: int, with_d: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    planes = np.frombuffer(_CODEC.decompress(packed, (8 + 4 * with_d) * n, asbytes=True), np.uint8).reshape(-1, n)
+    steps = np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel()
+    d = np.ascontiguousarray(planes[8:].T).view(np.float32).ravel() if with_d else None
+    return np.cumsum(steps, dtype=np.uint64), d
+
+
+def _met(known: pa.Table, wanted: pa.Table) -> pa.Table:
+    """Of one range of keys, the packed rows (block, n, keys) with only the known keys, and their differences."""
+    keys = known.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys, d = keys[order], known.column("d").to_numpy()[order]
+    blocks, sizes, found = [], [], []
+    for block, n, packed in zip(*(wanted.column(c).to_pylist() for c in ("block", "n", "keys"))):
+        asked, _ = _unpack_keys(packed, n)
+        at = np.searchsorted(keys, asked)
+        at[at == len(keys)] = 0
+        hit = keys[at] == asked if len(keys) else np.zeros(n, bool)
+        if hit.any():
+            blocks.append(block)
+            sizes.append(int(hit.sum()))
+            found.append(_pack_keys(asked[hit], d[at[hit]]))
+    return pa.table({"block": pa.array(blocks, pa.int64()), "n": pa.array(sizes, pa.int64()), "keys": pa.array(found, pa.binary())})
+
+
 def _features(text: pa.Array, keys: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Features of texts; d are the differences of the keys, and a word without one has that of its back-off."""
     word, stem, after, rows, first = _words(text)
@@ -340,24 +386,26 @@ def _features(text: pa.Array, keys: np.ndarray, d: np.ndarray) -> np.ndarray:
 def _measured(docs: DataFrame, known: DataFrame) -> DataFrame:
     """row (a struct of the columns of docs) and x, the features of its text.
 
-    Rows are dealt into blocks of about BLOCK bytes of text. A block's expressions that pass the filter are joined to the
-    known ones, and come back to it as a dictionary.
+    Rows are dealt into blocks of about BLOCK bytes of text. A block's expressions that pass the filter meet the known ones range
+    by range of their keys, sorted and packed, and come back to it as a dictionary.
     """
     n_blocks = 1 + int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK
+    range_bits = n_blocks.bit_length()  # as many ranges of keys as blocks, or up to twice as many
     fits = known.sparkSession.sparkContext.broadcast(_filter(known))
     dealt = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
     packed = docs.select(F.pmod(dealt, F.lit(n_blocks)).alias("block"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     row = packed.schema["row"].dataType.simpleString()
     packed = packed.mapInArrow(_bundled, "block long, n long, rows binary")
-    packed = packed.repartition(n_blocks, "block")  # both its readers take this one shuffle
+    packed = packed.repartition(SPREAD * n_blocks, "block")  # both its readers take this one shuffle
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, held = fits.value, {}
         bits = len(marks).bit_length() + 2
         for batch in batches:
-            for number, n, packed_rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                plain = pa.RecordBatch.from_arrays([_text(_unbundled(packed_rows, n).column("row"))], ["text"])
-                for part in parts(plain):
+            for number, n, packed_rows in zip(*map(batch.column, range(3))):
+                number = number.as_py()
+                plain = pa.RecordBatch.from_arrays([_text(_unbundled(packed_rows.as_buffer(), n.as_py()).column("row"))], ["text"])
+                for part in parts(plain, size=SMALL):
                     word, stem, after, _, _ = _words(part.column("text"))
                     keys = np.r_[stem, word, _pairs(word)[after]]
                     slots = _slots(keys, bits)
@@ -365,21 +413,36 @@ def _measured(docs: DataFrame, known: DataFrame) -> DataFrame:
                     held.setdefault(number, []).append(keys)
                 if len(held.get(number, ())) > 15:
                     held[number] = [_different(np.concatenate(held[number]))]
-        for number, some in held.items():
-            keys = _different(np.concatenate(some))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number)), _longs(keys)], ["block", "key"])
+        while held:
+            number, some = held.popitem()
+            keys = np.sort(_different(np.concatenate(some)))
+            ranges, first = np.unique(_slots(keys, range_bits), return_index=True)
+            some = [(r, len(k), _pack_keys(k)) for r, k in zip(ranges.tolist(), np.split(keys, first[1:])) if len(k)]
+            if some:
+                numbers, sizes, bytes_ = zip(*some)
+                columns = [pa.array(numbers, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array(sizes, pa.int64()), pa.array(bytes_, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "block", "n", "keys"])
 
     def measured(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = pa.concat_tables([_unbundled(x, n) for x, n in zip(left.column("rows").to_pylist(), left.column("n").to_pylist())])
-        rows = rows.column("row").combine_chunks()
-        rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
-        keys = right.column("key").to_numpy().view(np.uint64)
-        d = right.column("d").to_numpy().astype(float)
-        plain = pa.RecordBatch.from_arrays([_text(rows)], ["text"])
-        x = [_features(part.column("text"), keys, d) for part in parts(plain, size=PART)]
-        return pa.table({"row": rows, "x": pa.array([y for some in x for y in some], pa.list_(pa.float64()))})
-
-    found = packed.mapInArrow(wanted, "block long, key long").join(known.hint("merge"), "key").select("block", "key", "d")
+        some = [_unpack_keys(x, n, True) for x, n in zip(right.column("keys").to_pylist(), right.column("n").to_pylist())]
+        keys, d = (np.concatenate(x) for x in zip(*some)) if some else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        held, out = [], []
+        bundles = list(zip(left.column("rows"), left.column("n")))
+        for i, (packed_rows, n) in enumerate(bundles):  # a few bundles at a time; a block's rows are not copied once more
+            held.append(_unbundled(packed_rows.as_buffer(), n.as_py()))
+            if sum(x.nbytes for x in held) >= PART or i == len(bundles) - 1:
+                rows = pa.concat_tables(held).combine_chunks()
+                held = []
+                plain = pa.RecordBatch.from_arrays([_text(rows.column("row"))], ["text"])
+                x = np.concatenate([_features(part.column("text"), keys, d) for part in parts(plain, size=PART)])
+                at = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+                out.append(pa.table({"row": rows.column("row"), "x": pa.ListArray.from_arrays(at, pa.array(x.ravel()))}))
+        pa.default_memory_pool().release_unused()
+        return pa.concat_tables(out)
+
+    dealt = known.select(F.shiftrightunsigned("key", 64 - range_bits).alias("range"), "key", "d")
+    asked = packed.mapInArrow(wanted, "range long, block long, n long, keys binary")
+    found = dealt.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(_met, "block long, n long, keys binary")
     return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(measured, f"row {row}, x array<double>")
 
 
@@ -424,10 +487,15 @@ def fit(labelled: DataFrame) -> Model:
     chosen = labelled.where("third = 1").select("order", "text", "label")
     last = chosen.select("order", "label").distinct().orderBy("order").limit(CALIBRATION_ROWS).agg(F.max("order")).first()[0]
     chosen = chosen.where(F.col("order") <= (0 if last is None else last)).dropDuplicates(["order", "label"])
+    chosen = written(chosen, "chosen", release=True, compression="zstd")
     share = float(chosen.agg(F.avg("label")).first()[0] or 0)
     if not (0 < share < 1 and counts[0] and counts[1]):
         return Model(share=share)
-    rows = _measured(chosen, differences(found, everything=False)).select("row.label", "x").limit(CALIBRATION_ROWS).collect()
+    known = differences(found, everything=False)
+    measured = written(_measured(chosen, known).select("row.label", "x"), "measured", release=True)
+    rows = measured.limit(CALIBRATION_ROWS).collect()
+    for done in (chosen, measured, known):
+        removed(done)
     weights = _logistic(np.array([r.x for r in rows]), np.array([r.label for r in rows], float))
     known = differences(found, everything=True)
     removed(labelled)
