@@ -9,6 +9,8 @@ partial sums by cell. Amounts stay the exact whole numbers of the lines.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,11 @@ from tierwise.sources.files import read_if_exists
 from tierwise.sources.orderlines import CELL, amounts, order_lines, placed_orders, table
 from tierwise.sources.store import Store
 
-BUCKET_BYTES = 128 << 20  # bytes of the line files for each bucket
-LEAST_BUCKETS = 8
+BUCKET_BYTES = 16 << 20  # bytes of the line files for each bucket, about a million lines: a task sorts one
+LEAST_BUCKETS, MOST_BUCKETS = 8, 100_000  # Spark refuses more
+SPLIT_BYTES = 16 << 20  # bytes of the line files that one task reads: few lines of an order meet there, so it holds nearly all of them
+
+_SPLIT = "spark.sql.files.maxPartitionBytes"
 
 LINES = "l_orderkey bigint, ship_month int, p_brand string, qty bigint, value decimal(29,0)"
 ORDERS = "o_orderkey bigint, order_month int, c_nationkey int"
@@ -27,7 +32,19 @@ ORDERS = "o_orderkey bigint, order_month int, c_nationkey int"
 def bucket_count(spark: SparkSession, sf_dir: str) -> int:
     """Buckets in proportion to the line files; only their listing is read."""
     files = spark.read.format("binaryFile").load(f"{sf_dir.rstrip('/')}/lineitem.parquet")
-    return max(LEAST_BUCKETS, -(-int(files.agg(F.sum("length")).first()[0] or 0) // BUCKET_BYTES))
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-int(files.agg(F.sum("length")).first()[0] or 0) // BUCKET_BYTES)))
+
+
+@contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are read in splits of SPLIT_BYTES at most, so what a task holds doesn't follow the size of the files."""
+    before = spark.conf.get(_SPLIT)
+    least = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(_SPLIT, str(min(SPLIT_BYTES, least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_SPLIT, before)
 
 
 def _columns(ddl: str) -> list:
@@ -54,7 +71,8 @@ class BucketedLines:
     def _write(self, side: str, rows: DataFrame, key: str, ddl: str, n: int) -> None:
         dealt = rows.select(*_columns(ddl)).repartition(n, key)  # one file a bucket
         writer = dealt.write.format("parquet").mode("overwrite").bucketBy(n, key).sortBy(key)
-        writer.option("path", self.store.path(f"bucketed/{side}")).saveAsTable(self._name(side))
+        with small_splits(self.spark):
+            writer.option("path", self.store.path(f"bucketed/{side}")).saveAsTable(self._name(side))
 
     def _register(self, side: str, key: str, ddl: str, n: int) -> None:
         self.spark.sql(
