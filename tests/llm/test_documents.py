@@ -669,3 +669,19 @@ def test_toxicity_keys_travel_packed(spark):
 
     made = shared.written(spark.range(0, 25, 1, 1).mapInArrow(sizes, "n long"), "sizes", batch=10)
     assert max(r.n for r in made.collect()) == 10 and spark.conf.get(rows) == before
+
+
+def test_near_duplicates_travel_in_small_batches(spark, docs, monkeypatch):
+    """op10: steps whose rows hold texts or sets bound the rows of an Arrow batch; all pairs of a large group are one task's."""
+    asked, write = {}, near_dedup.written
+
+    def noted(df, name, **options):
+        asked.setdefault(name, []).append(options.get("batch"))
+        return write(df, name, **options)
+
+    monkeypatch.setattr(near_dedup, "written", noted)
+    copies = [(i, f"{'lorem ipsum dolor sit amet ' * 3}{' '.join(f'w{j}' for j in range(60))} end{i}") for i in range(1200)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 1200
+    for name in ("signatures", "sets", "confirmed"):
+        assert all(n and n <= 500 for n in asked[name]), (name, asked)

@@ -30,6 +30,7 @@ VALUES, CHUNK = 64, 4
 MOST_ERRORS = 2 * VALUES // CHUNK - 1
 TILE = 1024  # classes of a bucket that are compared at once
 BLOCK = 500_000  # shingles of the sets that are held at once, from each of two blocks
+BATCH = 500  # texts or pairs of sets in an Arrow batch: a large group's pairs meet in one task
 
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, VALUES), dtype=np.uint64) | np.uint64(1)
 
@@ -114,7 +115,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 )
 
     asked = docs.select("doc_id", "text").join(ids.toDF("doc_id"), "doc_id", "left_semi")
-    return written(asked.mapInArrow(sets, "id long, grams binary"), "sets")
+    return written(asked.mapInArrow(sets, "id long, grams binary"), "sets", batch=BATCH)
 
 
 def _confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of white space have empty sets and link with nothing. Rows that repeat a doc_id are one node; each gets its row. A null
     doc_id can't be named in a link: its row gets a null component and is kept.
     """
-    sets = written(signatures(docs), "signatures")
+    sets = written(signatures(docs), "signatures", batch=BATCH)
     named = sets.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
@@ -303,12 +304,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .mapInArrow(_near, "a long, b long, errors long")
     )
     sets_of = _sets(docs, shared.select("id").distinct())
-    links = written(_confirm(sets_of, near.select("a", "b")), "confirmed")
+    links = written(_confirm(sets_of, near.select("a", "b")), "confirmed", batch=BATCH)
     same = named.join(classes.select("h1", "h2", "n_shingles", "id"), ["h1", "h2", "n_shingles"])
     same = written(same.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct(), "copies")
     first = components(links.union(same))
     first = written(first, "components")
-    late = written(_across(shared.select("key", "number", "id"), classes, first, chosen, sets_of), "confirmed")
+    late = written(_across(shared.select("key", "number", "id"), classes, first, chosen, sets_of), "confirmed", batch=BATCH)
     final = first if late.isEmpty() else components(first.toDF("a", "b").union(late))
     out = sets.join(final.toDF("doc_id", "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
