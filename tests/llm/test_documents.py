@@ -685,3 +685,31 @@ def test_near_duplicates_travel_in_small_batches(spark, docs, monkeypatch):
     assert {r.component_id for r in found} == {0} and len(found) == 1200
     for name in ("signatures", "sets", "confirmed"):
         assert all(n and n <= 500 for n in asked[name]), (name, asked)
+
+
+def test_toxicity_sums_hold_their_rows_once():
+    """pipeline: what a range's rows take while they are summed; before, more than 300 bytes a row of pairs."""
+    import tracemalloc
+
+    rng, packs = np.random.default_rng(1), []
+    words = rng.integers(0, 2**63, 50_000, dtype=np.uint64)
+    expected = collections.Counter()
+    for _ in range(20):
+        a, b = words[(rng.random((2, 10_000)) ** 3 * len(words)).astype(int)]
+        counts = rng.integers(0, 4, (10_000, 4))
+        order = np.lexsort((b, a))
+        packs.append(toxicity._pack(a[order], b[order], counts[order]))
+        for x, y, n in zip(a.tolist(), b.tolist(), counts[:, 0].tolist()):
+            expected[x, y] += n
+    table = pa.table({"part": [1] * 20, "pair": [True] * 20, "n": [10_000] * 20, "packed": pa.array(packs, pa.binary())})
+    tracemalloc.start()
+    found = toxicity._entries(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 200_000, peak
+    rows = found.to_pylist()
+    after = collections.Counter(x for x, _ in expected)
+    mask = 2**64 - 1
+    assert {x["a"] & mask: x["right_all"] for x in rows if not x["pair"] and x["right_all"]} == after
+    pairs = {(x["a"] & mask, x["b"] & mask): x["toxic"] for x in rows if x["pair"]}
+    assert pairs and all(expected[k] == n for k, n in pairs.items())

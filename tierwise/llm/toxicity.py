@@ -100,13 +100,14 @@ def _unranked(values: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.nd
     return values[ranked >> np.uint64(31)], values[ranked & np.uint64((1 << 31) - 1)]
 
 
-def _summed(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (a, b) in ascending order with the sums of their counts."""
+def _summed(a: np.ndarray, b: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct (a, b) in ascending order with the sums of each of their counts."""
     values, ranked = _ranked(a, b)
     order = np.argsort(ranked)
     ranked = ranked[order]
     first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]][: len(a)])
-    return *_unranked(values, ranked[first]), np.add.reduceat(counts[order], first, axis=0) if len(first) else counts
+    sums = [np.add.reduceat(c[order], first, dtype=np.int64) if len(first) else c.astype(np.int64) for c in counts]
+    return *_unranked(values, ranked[first]), sums
 
 
 def _pack(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> bytes:
@@ -115,11 +116,12 @@ def _pack(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> bytes:
     return _CODEC.compress(_planes(steps) + _planes(b) + _planes(counts), asbytes=True)
 
 
-def _unpack(packed: bytes, n: int) -> tuple[np.ndarray, ...]:
+def _unpack(packed: pa.Buffer, n: int) -> list[np.ndarray]:
+    """a, b and the four counts, which are those of a few MB of text and fit 32 bits."""
     planes = np.frombuffer(_CODEC.decompress(packed, 48 * n, asbytes=True), np.uint8).reshape(-1, n)
-    whole = lambda x, kind: np.ascontiguousarray(x.T).view(kind)
-    steps, b = whole(planes[:8], np.uint64).ravel(), whole(planes[8:16], np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64), b, whole(planes[16:], np.int64).reshape(n, 4)
+    whole = lambda x, kind: np.ascontiguousarray(x.T).view(kind).ravel()
+    counts = [whole(planes[i : i + 4], np.uint32) for i in range(16, 48, 8)]  # the low bytes come first
+    return [np.cumsum(whole(planes[:8], np.uint64), dtype=np.uint64), whole(planes[8:16], np.uint64), *counts]
 
 
 def _counted(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
@@ -178,28 +180,35 @@ def _counted(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Reco
 
 def _entries(table: pa.Table) -> pa.Table:
     """The exact rows of one range: words; or pairs with evidence, and neighbours of words, a partial sum of this range."""
-    rows = [_unpack(x, n) for x, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist())]
-    a, b, counts = _summed(*(np.concatenate(x) for x in zip(*rows)))
     pair = table.column("pair")[0].as_py()
-
-    def entries(pair: bool, a: np.ndarray, b: np.ndarray | None, counts: np.ndarray | None, beside: np.ndarray | None) -> pa.Table:
-        zero = np.zeros((len(a), 4), np.int64)
-        columns = [*(zero if counts is None else counts).T, *(zero if beside is None else beside).T]
+    rows = [_unpack(x.as_buffer(), n.as_py()) for x, n in zip(table.column("packed"), table.column("n"))]
+    columns = []
+    for i in range(6):  # column by column, so that the rows are there once
+        columns.append(np.concatenate([x[i] for x in rows]))
+        for x in rows:
+            x[i] = None
+    a, b, counts = _summed(columns[0], columns[1], columns[2:])
+    del rows, columns
+
+    def entries(pair: bool, a: np.ndarray, b: np.ndarray | None, counts: list[np.ndarray] | None, beside: list[np.ndarray] | None) -> pa.Table:
+        zero = [np.zeros(len(a), np.int64)] * 4
         return pa.table(
-            [pa.array(np.full(len(a), pair)), _longs(a), pa.nulls(len(a), pa.int64()) if b is None else _longs(b), *map(_longs, columns)],
+            [pa.array(np.full(len(a), pair)), _longs(a), pa.nulls(len(a), pa.int64()) if b is None else _longs(b), *map(_longs, [*(counts or zero), *(beside or zero)])],
             ["pair", "a", "b", *_COUNTS, *_NEIGHBOURS],
         )
 
     if not pair:
         return entries(False, a, b, counts, None)
     # a pair counts once as a follower of its first word and once as a predecessor of its second
-    learned = (counts[:, 0] + counts[:, 1] > 0).astype(np.int64)
-    one, none = np.ones(len(a), np.int64), np.zeros(len(a), np.int64)
-    words = np.r_[a, b]
-    beside = np.r_[np.c_[none, none, learned, one], np.c_[learned, one, none, none]]
-    words, _, beside = _summed(words, np.zeros(len(words), np.uint64), beside)
-    evident = (counts[:, 0] + counts[:, 2] > DISCOUNT) | (counts[:, 1] + counts[:, 3] > DISCOUNT)
-    return pa.concat_tables([entries(True, a[evident], b[evident], counts[evident], None), entries(False, words, None, None, beside)])
+    learned = counts[0] + counts[1] > 0
+    coded = pc.dictionary_encode(pa.array(np.r_[a, b]))
+    words, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    before, after = at[len(a) :], at[: len(a)]
+    beside = [np.bincount(x, minlength=len(words)) for x in (before[learned], before, after[learned], after)]
+    evident = (counts[0] + counts[2] > DISCOUNT) | (counts[1] + counts[3] > DISCOUNT)
+    found = [entries(True, a[evident], b[evident], [c[evident] for c in counts], None), entries(False, words, None, None, beside)]
+    pa.default_memory_pool().release_unused()
+    return pa.concat_tables(found)
 
 
 def grams(rows: DataFrame) -> DataFrame:
