@@ -46,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and text as the ids give it back."""
-    ids = byte_bpe.decode(byte_bpe.encode(docs, VOCABULARY), VOCABULARY)
+    ids = byte_bpe.round_trip(docs, VOCABULARY)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 

@@ -627,6 +627,15 @@ def test_workers_get_the_package(spark):
     assert shared.ready(spark) is spark and spark.sparkContext.applicationId in shared._READY
 
 
+def test_byte_bpe_takes_one_worker_a_task(spark, docs, tiktoken_encoding):
+    """pipeline: encoding and decoding are one Python step, so later steps of an executor find no more workers than cores."""
+    steps = (corpus_pipeline.tokenize(spark, docs, SF), queries.op8_byte_level_bpe(spark, SF))
+    for df in steps:
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = rows_of(byte_bpe.round_trip(docs, "byte_bpe_multi_50k.tiktoken"), "doc_id", "ids", "decoded")
+    same(found, [(d, tiktoken_encoding.encode_ordinary(t or ""), (t or "").encode()) for d, t in EDGES])
+
+
 def test_byte_bpe_plain_pieces_need_no_pattern():
     """F-op8: words of letters and marks are cut without the pattern, and a pre-token with its blank is remembered once."""
     import public_tokenizers

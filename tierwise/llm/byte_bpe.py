@@ -220,23 +220,33 @@ def codec(file: str, pattern: str) -> Codec:
     return Codec(file, pattern)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, pattern: str | None = None) -> Iterator[pa.RecordBatch]:
+    c = codec(public_tokenizers.path(vocabulary), pattern or public_tokenizers.PATTERN)
+    for batch in batches:
+        for part in parts(batch, size=PART):
+            found = c.encode([x or "" for x in part.column("text").to_pylist()])
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    c = codec(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+    for batch in batches:
+        ids = batch.column("ids")
+        values = ids.values.to_numpy()
+        ends = ids.offsets.to_numpy()
+        texts = [c.decode(values[i:j]) for i, j in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) for every row of docs; null and empty texts have no ids.
 
     vocabulary names a rank file of the tokenizer package, which each worker reads from its own installation.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(public_tokenizers.path(vocabulary), pattern or public_tokenizers.PATTERN)
-        for batch in batches:
-            for part in parts(batch, size=PART):
-                found = c.encode([x or "" for x in part.column("text").to_pylist()])
-                ends = np.cumsum([0, *map(len, found)]) // 4
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(batches, vocabulary, pattern), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -244,16 +254,17 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     An id outside the vocabulary is an error.
     """
+    return encoded.select("doc_id", "ids").mapInArrow(
+        lambda batches: _decoded(batches, vocabulary), "doc_id long, ids array<int>, decoded binary"
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
-        for batch in batches:
-            ids = batch.column("ids")
-            values = ids.values.to_numpy()
-            ends = ids.offsets.to_numpy()
-            texts = [c.decode(values[i:j]) for i, j in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), ids, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"]
-            )
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """What decode gives for encode's rows, in one Python worker a task.
+
+    Two steps in a row take two workers, each with its own codec; all of them stay for later jobs and take turns there, so
+    an executor holds the most memory that any step needs four times instead of twice on two cores.
+    """
+    return docs.select("doc_id", "text").mapInArrow(
+        lambda batches: _decoded(_encoded(batches, vocabulary), vocabulary), "doc_id long, ids array<int>, decoded binary"
+    )

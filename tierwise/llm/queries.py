@@ -68,7 +68,7 @@ def op7_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = "byte_bpe_multi_50k.tiktoken"
-    ids = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    ids = byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
